@@ -29,7 +29,8 @@ def scd2(
     ``open_first`` moves the start of the first version back to that date.
     """
     tracked = list(tracked)
-    observed = latest_per_key(changes.select(entity, at, *tie, *tracked), [entity, at], tie)
+    newest_by = list(dict.fromkeys([*tie, *tracked]))
+    observed = latest_per_key(changes.select(entity, at, *newest_by), [entity, at], newest_by)
     observed = observed.select(entity, F.col(at).alias("valid_from"), F.struct(*tracked).alias("state"))
 
     before = shift(observed, entity, "valid_from", F.col("state"), "previous", -1, hourly)

@@ -31,7 +31,7 @@ RELATIONS = {
     "sales": "SELECT * FROM classified WHERE registered AND product_known",
     "good": "SELECT * FROM sales WHERE line_eligible",
     "per_order": """
-        SELECT order_id, count(*) AS line_count, count_if(line_eligible) AS eligible_lines,
+        SELECT order_id, count(*) AS line_count, count(*) FILTER (WHERE line_eligible) AS eligible_lines,
                sum(amount) FILTER (WHERE line_eligible) AS booked, max(ship_date) AS delivered_date,
                bool_or(returned) AS any_returned
         FROM sales GROUP BY order_id""",
@@ -164,9 +164,9 @@ _MEASURES = f"""
     {_ratio('paid', 'orders')} AS paid_order_share"""
 
 _SOLD = "sum(amount) AS amount, sum(quantity) AS units, count(*) AS lines"
-_ORDERED = """count(*) AS orders, sum(booked) AS booked, count_if(order_status = 'CANCELLED') AS cancelled,
-    count_if(order_status = 'RETURNED') AS returned, count_if(ship_eligible) AS sla, count_if(on_time) AS punctual,
-    count_if(payment_status = 'PAID') AS paid"""
+_ORDERED = """count(*) AS orders, sum(booked) AS booked, count(*) FILTER (WHERE order_status = 'CANCELLED') AS cancelled,
+    count(*) FILTER (WHERE order_status = 'RETURNED') AS returned, count(*) FILTER (WHERE ship_eligible) AS sla, count(*) FILTER (WHERE on_time) AS punctual,
+    count(*) FILTER (WHERE payment_status = 'PAID') AS paid"""
 
 
 def _measures(context: str, of_date: str) -> str:
@@ -237,7 +237,7 @@ _MART_TOTALS = [
 
 _TOTALS = """
     t AS (SELECT sum(amount) AS sales, sum(quantity) AS units, count(*) AS lines FROM good),
-    u AS (SELECT sum(booked) AS booked, count(*) AS orders, count_if(ship_eligible) AS deliveries FROM eligible_orders)"""
+    u AS (SELECT sum(booked) AS booked, count(*) AS orders, count(*) FILTER (WHERE ship_eligible) AS deliveries FROM eligible_orders)"""
 
 ORACLE = {
     "dedup_lines": _with("lines")
@@ -334,15 +334,15 @@ ORACLE = {
         FROM y LEFT JOIN y AS p ON p.sale_year = y.sale_year - 1""",
     "mart_order_lifecycle": _with("eligible_orders")
     + f""", x AS (SELECT order_status, booked FROM eligible_orders UNION ALL SELECT 'ALL', booked FROM eligible_orders),
-        n AS (SELECT count_if(order_status = 'CANCELLED') AS c, count_if(order_status = 'RETURNED') AS r FROM eligible_orders)
+        n AS (SELECT count(*) FILTER (WHERE order_status = 'CANCELLED') AS c, count(*) FILTER (WHERE order_status = 'RETURNED') AS r FROM eligible_orders)
         SELECT order_status, count(*) AS orders, CAST(sum(booked) AS DOUBLE) AS booked_sales,
                {_ratio('sum(booked)', 'count(*)')} AS average_order_value,
                CASE order_status WHEN 'ALL' THEN {_ratio('any_value(c)', 'count(*)')} WHEN 'CANCELLED' THEN 1.0 ELSE 0.0 END AS cancellation_rate,
                CASE order_status WHEN 'ALL' THEN {_ratio('any_value(r)', 'count(*)')} WHEN 'RETURNED' THEN 1.0 ELSE 0.0 END AS return_rate
         FROM x, n GROUP BY 1""",
     "mart_shipping_sla": _with("ord")
-    + f""" SELECT zone, count(*) AS deliveries, count_if(on_time) AS on_time_deliveries, count_if(NOT on_time) AS late_deliveries,
-               {_ratio('count_if(on_time)', 'count(*)')} AS on_time_rate, {_ratio('sum(delivery_days)', 'count(*)')} AS average_days
+    + f""" SELECT zone, count(*) AS deliveries, count(*) FILTER (WHERE on_time) AS on_time_deliveries, count(*) FILTER (WHERE NOT on_time) AS late_deliveries,
+               {_ratio('count(*) FILTER (WHERE on_time)', 'count(*)')} AS on_time_rate, {_ratio('sum(delivery_days)', 'count(*)')} AS average_days
         FROM ord WHERE ship_eligible GROUP BY 1""",
     "mart_payment_status": _with("eligible_orders")
     + " SELECT payment_status, count(*) AS orders, CAST(sum(booked) AS DOUBLE) AS booked_sales FROM eligible_orders GROUP BY 1",
@@ -379,7 +379,7 @@ ORACLE = {
     "quality_history": _with("classified")
     + "".join(
         f"{' UNION ALL' if i else ''} SELECT 'silver' AS stage, 'sales_order_line' AS object_name, '{rule}' AS rule,"
-        f" count_if({test}) AS failed_rows, count(*) AS total_rows FROM classified"
+        f" count(*) FILTER (WHERE {test}) AS failed_rows, count(*) AS total_rows FROM classified"
         for i, (rule, test) in enumerate(
             {
                 "soft_date": "soft_date",
@@ -391,7 +391,7 @@ ORACLE = {
     ),
     "contract_drift": """
         WITH f AS (SELECT unnest(json_keys(props)) AS field, props FROM events),
-             g AS (SELECT field, count(*) AS n, count_if(field = 'k' AND try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NULL) AS w
+             g AS (SELECT field, count(*) AS n, count(*) FILTER (WHERE field = 'k' AND try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NULL) AS w
                    FROM f GROUP BY 1),
              c AS (SELECT * FROM (VALUES ('k', 'bigint'), ('source', 'string')) AS v(field, expected_type))
         SELECT field, expected_type, coalesce(n, 0) AS row_count, coalesce(w, 0) AS wrong_type,
@@ -399,13 +399,13 @@ ORACLE = {
         FROM c FULL JOIN g USING (field)""",
     "audit_grain": _with("sales", "ord")
     + """ SELECT 'bronze_lines' AS table_name, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS key_count,
-               count_if(n > 1) AS repeated_keys, count_if(l_orderkey IS NULL OR l_linenumber IS NULL) AS null_keys
+               count(*) FILTER (WHERE n > 1) AS repeated_keys, count(*) FILTER (WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS null_keys
         FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)
         UNION ALL SELECT 'fact_sales', count(*), count(DISTINCT (order_id, line_no)), 0, 0 FROM sales
         UNION ALL SELECT 'fact_order', count(*), count(DISTINCT order_id), 0, 0 FROM ord""",
     "audit_denominators": _with("ord")
-    + """ SELECT 'eligible' AS measure, count_if(order_eligible) AS expected, count_if(order_eligible) AS actual, true AS matches FROM ord
-        UNION ALL SELECT 'deliveries', count_if(ship_eligible), count_if(ship_eligible), true FROM ord""",
+    + """ SELECT 'eligible' AS measure, count(*) FILTER (WHERE order_eligible) AS expected, count(*) FILTER (WHERE order_eligible) AS actual, true AS matches FROM ord
+        UNION ALL SELECT 'deliveries', count(*) FILTER (WHERE ship_eligible), count(*) FILTER (WHERE ship_eligible), true FROM ord""",
     "audit_reconcile": _with("good", "eligible_orders")
     + f", {_TOTALS} "
     + " UNION ALL ".join(
@@ -424,11 +424,11 @@ ORACLE = {
     + """, f AS (SELECT * FROM (SELECT * FROM lineitem WHERE l_shipdate > TIMESTAMP '1999-01-01')
                LEFT JOIN heads ON l_orderkey = order_id LEFT JOIN part ON l_partkey = p_partkey)
         SELECT 'sales_order_line' AS object_name, rule, failed_rows, total_rows FROM (
-            SELECT 'unknown_order' AS rule, count_if(order_id IS NULL) AS failed_rows, count(*) AS total_rows FROM f
-            UNION ALL SELECT 'unknown_customer', count_if(NOT registered), count(*) FROM f
-            UNION ALL SELECT 'unknown_product', count_if(p_partkey IS NULL), count(*) FROM f
-            UNION ALL SELECT 'ship_before_order', count_if(CAST(l_shipdate AS DATE) < order_date), count(*) FROM f
-            UNION ALL SELECT 'no_quantity', count_if(l_quantity <= 0), count(*) FROM f)""",
+            SELECT 'unknown_order' AS rule, count(*) FILTER (WHERE order_id IS NULL) AS failed_rows, count(*) AS total_rows FROM f
+            UNION ALL SELECT 'unknown_customer', count(*) FILTER (WHERE NOT registered), count(*) FROM f
+            UNION ALL SELECT 'unknown_product', count(*) FILTER (WHERE p_partkey IS NULL), count(*) FROM f
+            UNION ALL SELECT 'ship_before_order', count(*) FILTER (WHERE CAST(l_shipdate AS DATE) < order_date), count(*) FROM f
+            UNION ALL SELECT 'no_quantity', count(*) FILTER (WHERE l_quantity <= 0), count(*) FROM f)""",
     "order_identity": """
         SELECT l_orderkey AS order_id, count(*) AS line_count, min(l_partkey) AS min_product_id, max(l_partkey) AS max_product_id,
                CAST(min(l_shipdate) AS DATE) AS min_ship_date, CAST(max(l_shipdate) AS DATE) AS max_ship_date
