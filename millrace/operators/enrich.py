@@ -53,3 +53,26 @@ def latest_reference_as_of(
     probes = asked.select(at, F.explode(F.array(*[F.lit(f) for f in files])).alias(file))
     resolved = resolve(probes, history, file, at, [snapshot])
     return resolved.select(at, file, F.col("version")[snapshot].alias(snapshot))
+
+
+def snapshot_enrich(
+    facts: DataFrame,
+    snapshots: DataFrame,
+    on: str,
+    as_of: str,
+    at: str,
+    take: Sequence[str],
+    initial_history: str | None = None,
+) -> DataFrame:
+    """Enrich from the newest snapshot dated on or before each fact's date.
+
+    The snapshot is chosen per date, which involves a handful of rows; facts then join on key and
+    snapshot date. A key missing from that snapshot stays empty even if an older one had it.
+    """
+    dated = snapshots.select(F.lit("reference").alias("file"), F.col(as_of).alias("known_on"), F.col(as_of).alias("snapshot"))
+    history = scd2(dated, "file", "known_on", ["snapshot"], open_first=initial_history)
+    days = facts.select(at).where(F.col(at).isNotNull()).distinct().withColumn("file", F.lit("reference"))
+    chosen = resolve(days, history, "file", at, ["snapshot"]).select(at, F.col("version.snapshot").alias("snapshot"))
+    rows = snapshots.withColumnRenamed(as_of, "snapshot")
+    dated_facts = facts.join(chosen, at, "left")
+    return enrich(dated_facts, rows, [on, "snapshot"], take).drop("snapshot")

@@ -38,8 +38,13 @@ class TableStore:
     def _log_path(self) -> str:
         return f"{self.root}/publish_log"
 
-    def log(self) -> DataFrame:
-        return read_log(self.spark, self._log_path, LOG_SCHEMA)
+    def log(self, as_of: int | None = None) -> DataFrame:
+        """Entries that make up the state now or at an earlier version, from the last rebuild on."""
+        log = read_log(self.spark, self._log_path, LOG_SCHEMA)
+        if as_of is not None:
+            log = log.where(F.col("version") <= as_of)
+        rebuilt = log.where("kind = 'reset'").agg(F.max("version")).first()[0]
+        return log if rebuilt is None else log.where(F.col("version") >= rebuilt)
 
     def version(self) -> int:
         return self.log().agg(F.max("version")).first()[0] or 0
@@ -81,8 +86,12 @@ class TableStore:
 
     # -- publish and read -------------------------------------------------------------------
 
-    def publish(self, version: int, parts: Sequence[DataFrame], batches: Sequence[str] = ()) -> None:
-        head = [(version, "version", None, None)] + [(version, "batch", None, b) for b in batches]
+    def publish(
+        self, version: int, parts: Sequence[DataFrame], batches: Sequence[str] = (), reset: bool = False
+    ) -> None:
+        """Make a version visible; with ``reset`` it replaces everything published before."""
+        head = [(version, "reset" if reset else "version", None, None)]
+        head += [(version, "batch", None, b) for b in batches]
         entries = self.spark.createDataFrame(head, LOG_SCHEMA)
         for part in parts:
             entries = entries.unionByName(part)
@@ -96,9 +105,7 @@ class TableStore:
         self, table: str, schema: str | None = None, buckets: Sequence[int] | None = None, as_of: int | None = None
     ) -> DataFrame | None:
         """Published rows, all buckets or some, now or as of an earlier version."""
-        log = self.log().where((F.col("kind") == "part") & (F.col("table_name") == table))
-        if as_of is not None:
-            log = log.where(F.col("version") <= as_of)
+        log = self.log(as_of).where((F.col("kind") == "part") & (F.col("table_name") == table))
         if buckets is not None:
             log = log.where(F.col("item").isin([str(b) for b in buckets]))
         parts = log.groupBy("item").agg(F.max("version").alias("version")).collect()
