@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.classify import accepted
@@ -13,7 +13,7 @@ from millrace.operators.status import current_status
 from millrace.plans import audit, marts
 from millrace.plans.facts import order_flags, order_totals
 from millrace.plans.retail import CLASSIFIED_SCHEMA, EVENT_OBJECTS, EVENT_SCHEMA, REFERENCES
-from millrace.sources.tables import TableStore
+from millrace.sources.tables import Snapshot, TableStore
 
 LINE_KEY = ["sales_id"]
 
@@ -26,7 +26,7 @@ class SchemaMismatch(RuntimeError):
     pass
 
 
-def fact_sales(silver: TableStore, initial_history: str | None = None) -> DataFrame:
+def fact_sales(silver: Snapshot, initial_history: str | None = None) -> DataFrame:
     """Accepted lines enriched from every reference as of the order date.
 
     Each file is taken at its own newest snapshot on or before that date, so files may arrive on
@@ -40,7 +40,7 @@ def fact_sales(silver: TableStore, initial_history: str | None = None) -> DataFr
     return facts.withColumns({"location_id": F.col("postal_key"), "location_tier": F.col("region")})
 
 
-def fact_order(sales: DataFrame, silver: TableStore) -> DataFrame:
+def fact_order(sales: DataFrame, silver: Snapshot) -> DataFrame:
     """One row per order of accepted lines, with current statuses by event time."""
     orders = order_totals(
         sales,
@@ -89,7 +89,7 @@ COMPLETE_SALES_MARTS = [
 COMPLETE_ORDER_MARTS = ["mart_shipping_sla", "mart_payment_status", "mart_customer_order_frequency"]
 
 
-def audit_candidate(gold: TableStore, silver: TableStore, version: int) -> None:
+def audit_candidate(gold: TableStore, silver: Snapshot, version: int) -> None:
     """Grain, Silver against Gold, marts against facts. Any finding refuses the candidate."""
     sales, orders = gold.candidate("fact_sales", version), gold.candidate("fact_order", version)
     grain = audit.audit_grain(sales, orders, LINE_KEY).where("repeated_keys > 0 or null_keys > 0")
@@ -106,10 +106,10 @@ def audit_candidate(gold: TableStore, silver: TableStore, version: int) -> None:
         raise AuditFailed("; ".join(findings))
 
 
-def guard_schemas(gold: TableStore, version: int, tables: list[str]) -> None:
+def guard_schemas(gold: TableStore, served: Snapshot, version: int, tables: list[str]) -> None:
     """Refuse a candidate whose table differs in names or types from the one being served."""
     for table in tables:
-        serving = gold.read(table)
+        serving = served.read(table)
         if serving is not None:
             new = {f.name: f.dataType for f in gold.candidate(table, version).schema}
             old = {f.name: f.dataType for f in serving.schema}
@@ -118,8 +118,7 @@ def guard_schemas(gold: TableStore, version: int, tables: list[str]) -> None:
 
 
 def publish_gold(
-    spark: SparkSession,
-    silver: TableStore,
+    silver_store: TableStore,
     gold: TableStore,
     full_years: tuple[int, int],
     initial_history: str | None = None,
@@ -128,17 +127,18 @@ def publish_gold(
 
     An exception at any point leaves the served version as it was.
     """
-    version = gold.version() + 1
-    parts = [gold.write_whole("fact_sales", fact_sales(silver, initial_history), version)]
-    parts.append(gold.write_whole("fact_order", fact_order(gold.candidate("fact_sales", version), silver), version))
+    served, silver = gold.snapshot(), silver_store.snapshot()
+    version = served.version + 1
+    parts = gold.write_whole("fact_sales", fact_sales(silver, initial_history), version)
+    parts.extend(gold.write_whole("fact_order", fact_order(gold.candidate("fact_sales", version), silver), version))
     plans = mart_plans(full_years)
     for mart, (fact, plan) in plans.items():
-        parts.append(gold.write_whole(mart, plan(gold.candidate(fact, version)), version))
+        parts.extend(gold.write_whole(mart, plan(gold.candidate(fact, version)), version))
     kpi = audit.kpi_audit(gold.candidate("fact_sales", version), gold.candidate("fact_order", version))
-    parts.append(gold.write_whole("kpi_audit", kpi, version))
+    parts.extend(gold.write_whole("kpi_audit", kpi, version))
 
     audit_candidate(gold, silver, version)
-    guard_schemas(gold, version, ["fact_sales", "fact_order", *plans, "kpi_audit"])
+    guard_schemas(gold, served, version, ["fact_sales", "fact_order", *plans, "kpi_audit"])
     candidate_kpi = gold.candidate("kpi_audit", version).first()
     gold.publish(version, parts)
     if gold.read("kpi_audit").first() != candidate_kpi:

@@ -185,8 +185,12 @@ def committed_batches(
 ) -> DataFrame | None:
     """Rows of the given committed batches of an object, read from their partitions only."""
     mine = manifests(spark, root).where((F.col("object_name") == object_name) & F.col("batch_id").isin(list(batches)))
-    ids = [r.batch_id for r in mine.select("batch_id").distinct().collect()]
-    if not ids:
+    return read_batches(spark, root, object_name, [r.batch_id for r in mine.select("batch_id").distinct().collect()])
+
+
+def read_batches(spark: SparkSession, root: str, object_name: str, batches: Sequence[str]) -> DataFrame | None:
+    """The partitions of batches already known to be committed."""
+    if not batches:
         return None
     base = f"{root}/bronze/{object_name}"
-    return spark.read.option("basePath", base).option("mergeSchema", "true").parquet(*[f"{base}/batch_id={b}" for b in ids])
+    return spark.read.option("basePath", base).option("mergeSchema", "true").parquet(*[f"{base}/batch_id={b}" for b in batches])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from millrace.sources.bronze import append_entry, read_log
 LOG_SCHEMA = "version bigint, kind string, table_name string, item string"
 WHOLE = "whole"
 
+Entry = tuple[int, str, str | None, str | None]
+
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate result that several branches read."""
@@ -28,6 +31,37 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Snapshot:
+    """One published state: where each table's parts are and which input batches it contains.
+
+    Only this map, at most one entry per table and bucket, is held on the driver.
+    """
+
+    store: TableStore
+    version: int
+    parts: dict[str, dict[str, int]] = field(default_factory=dict)
+    batches: set[str] = field(default_factory=set)
+
+    def read(self, table: str, schema: str | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """Rows of a table, from all buckets or some. None, or no rows under ``schema``, if there are none."""
+        spark, parts = self.store.spark, self.parts.get(table, {})
+        if buckets is not None:
+            wanted = {str(b) for b in buckets}
+            parts = {item: version for item, version in parts.items() if item in wanted}
+        if not parts:
+            return spark.createDataFrame([], schema) if schema else None
+        base = f"{self.store.root}/{table}"
+        paths = [
+            f"{base}/version={version}" + ("" if item.startswith(WHOLE) else f"/bucket={item}")
+            for item, version in parts.items()
+        ]
+        reader = spark.read.option("basePath", base)
+        if schema:
+            reader = reader.schema(schema)
+        return reader.parquet(*paths).drop("version", "bucket")
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark = spark
@@ -38,20 +72,26 @@ class TableStore:
     def _log_path(self) -> str:
         return f"{self.root}/publish_log"
 
-    def log(self, as_of: int | None = None) -> DataFrame:
-        """Entries that make up the state now or at an earlier version, from the last rebuild on."""
+    def snapshot(self, as_of: int | None = None) -> Snapshot:
+        """The published state now or at an earlier version. Later publications do not alter it."""
         log = read_log(self.spark, self._log_path, LOG_SCHEMA)
         if as_of is not None:
             log = log.where(F.col("version") <= as_of)
-        rebuilt = log.where("kind = 'reset'").agg(F.max("version")).first()[0]
-        return log if rebuilt is None else log.where(F.col("version") >= rebuilt)
+        rows = log.groupBy("kind", "table_name", "item").agg(F.max("version").alias("version")).collect()
+        rebuilt = max((r.version for r in rows if r.kind == "reset"), default=0)
+        state = Snapshot(self, max((r.version for r in rows), default=0))
+        for r in rows:
+            if r.kind == "part" and r.version >= rebuilt:
+                state.parts.setdefault(r.table_name, {})[r.item] = r.version
+            elif r.kind == "batch" and r.version >= rebuilt:
+                state.batches.add(r.item)
+        return state
 
     def version(self) -> int:
-        return self.log().agg(F.max("version")).first()[0] or 0
+        return self.snapshot().version
 
-    def consumed(self) -> set[str]:
-        """Input batches contained in the published state."""
-        return {r.item for r in self.log().where("kind = 'batch'").select("item").distinct().collect()}
+    def read(self, table: str, schema: str | None = None, as_of: int | None = None) -> DataFrame | None:
+        return self.snapshot(as_of).read(table, schema)
 
     # -- buckets ----------------------------------------------------------------------------
 
@@ -62,7 +102,7 @@ class TableStore:
         """Buckets the rows fall into; at most ``buckets`` numbers reach the driver."""
         return [r.bucket for r in self.bucketed(df.select(*key), key).select("bucket").distinct().collect()]
 
-    def write_buckets(self, table: str, df: DataFrame, key: Sequence[str], version: int) -> DataFrame:
+    def write_buckets(self, table: str, df: DataFrame, key: Sequence[str], version: int) -> list[Entry]:
         """Write the rows of the touched buckets and return the log entries that publish them.
 
         The rebalance hint lets adaptive execution merge small and split large bucket outputs.
@@ -70,53 +110,22 @@ class TableStore:
         path = f"{self.root}/{table}/version={version}"
         rows = self.bucketed(df, key).hint("rebalance", "bucket")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
-        present = self.spark.read.parquet(path).select("bucket").distinct()
-        return self._entries(present.select(F.col("bucket").cast("string").alias("item")), table, version)
+        present = self.spark.read.parquet(path).select("bucket").distinct().collect()
+        return [(version, "part", table, str(r.bucket)) for r in present]
 
-    def write_whole(self, table: str, df: DataFrame, version: int, append: bool = False) -> DataFrame:
+    def write_whole(self, table: str, df: DataFrame, version: int, append: bool = False) -> list[Entry]:
         """Write an unbucketed table; with ``append`` earlier versions stay part of it."""
         df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.root}/{table}/version={version}")
-        item = f"{WHOLE}-{version}" if append else WHOLE
-        return self._entries(self.spark.createDataFrame([(item,)], "item string"), table, version)
-
-    def _entries(self, items: DataFrame, table: str, version: int) -> DataFrame:
-        return items.select(
-            F.lit(version).cast("bigint").alias("version"), F.lit("part").alias("kind"), F.lit(table).alias("table_name"), "item"
-        )
+        return [(version, "part", table, f"{WHOLE}-{version}" if append else WHOLE)]
 
-    # -- publish and read -------------------------------------------------------------------
+    # -- publish ----------------------------------------------------------------------------
 
-    def publish(
-        self, version: int, parts: Sequence[DataFrame], batches: Sequence[str] = (), reset: bool = False
-    ) -> None:
+    def publish(self, version: int, parts: Sequence[Entry], batches: Sequence[str] = (), reset: bool = False) -> None:
         """Make a version visible; with ``reset`` it replaces everything published before."""
-        head = [(version, "reset" if reset else "version", None, None)]
-        head += [(version, "batch", None, b) for b in batches]
-        entries = self.spark.createDataFrame(head, LOG_SCHEMA)
-        for part in parts:
-            entries = entries.unionByName(part)
-        append_entry(entries, self._log_path)
+        head = (version, "reset" if reset else "version", None, None)
+        entries = [head, *parts, *[(version, "batch", None, b) for b in batches]]
+        append_entry(self.spark.createDataFrame(entries, LOG_SCHEMA), self._log_path)
 
     def candidate(self, table: str, version: int) -> DataFrame:
         """A table of one version, published or not."""
         return self.spark.read.parquet(f"{self.root}/{table}/version={version}")
-
-    def read(
-        self, table: str, schema: str | None = None, buckets: Sequence[int] | None = None, as_of: int | None = None
-    ) -> DataFrame | None:
-        """Published rows, all buckets or some, now or as of an earlier version."""
-        log = self.log(as_of).where((F.col("kind") == "part") & (F.col("table_name") == table))
-        if buckets is not None:
-            log = log.where(F.col("item").isin([str(b) for b in buckets]))
-        parts = log.groupBy("item").agg(F.max("version").alias("version")).collect()
-        if not parts:
-            return self.spark.createDataFrame([], schema) if schema else None
-        base = f"{self.root}/{table}"
-        paths = [
-            f"{base}/version={p.version}" + ("" if p.item.startswith(WHOLE) else f"/bucket={p.item}") for p in parts
-        ]
-        reader = self.spark.read.option("basePath", base)
-        if schema:
-            reader = reader.schema(schema)
-        rows = reader.parquet(*paths)
-        return rows.drop("version", "bucket")

@@ -35,3 +35,12 @@ def sf_small():
 @pytest.fixture(scope="session")
 def sf_check():
     return f"{TESTDATA}/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def few_partitions(spark):
+    """Tiny fixtures gain nothing from eight shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

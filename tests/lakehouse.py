@@ -64,7 +64,7 @@ class Lakehouse:
         return run_silver(self.spark, self.root, self.silver, transform, **options)
 
     def publish(self, **options) -> int:
-        return publish_gold(self.spark, self.silver, self.gold, (2020, 2025), **options)
+        return publish_gold(self.silver, self.gold, (2020, 2025), **options)
 
     def classified(self) -> dict[int, Row]:
         rows = self.silver.read("sales_classified").collect()

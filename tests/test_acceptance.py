@@ -25,7 +25,7 @@ CHECKS = {
 
 
 @pytest.fixture(scope="module")
-def house(spark, tmp_path_factory):
+def house(spark, few_partitions, tmp_path_factory):
     return Lakehouse(spark, str(tmp_path_factory.mktemp("house")))
 
 
