@@ -449,3 +449,7 @@ ORACLE = {
             WHEN length > 10000 THEN 'oversized' END AS verdict
         FROM (SELECT page_id, {_PATH} AS path, CAST(strlen(html) AS BIGINT) AS length FROM pages)""",
 }
+
+# A published mart must equal the mart computed straight from the given tables.
+ORACLE["published_daily_sales"] = ORACLE["mart_daily_sales"]
+ORACLE["published_shipping_sla"] = ORACLE["mart_shipping_sla"]

@@ -19,6 +19,7 @@ from millrace.operators.status import current_status, event_fact
 from millrace.plans import audit, marts
 from millrace.plans.binding import LINE_KEY, Source
 from millrace.plans.measures import calendar, measures
+from millrace.plans.pipeline import run_in_shared_dir
 from millrace.session import tune
 from millrace.sources.bronze import watermark_slice
 from millrace.sources.contracts import field_drift
@@ -446,6 +447,18 @@ def order_identity(s: Source) -> DataFrame:
     return checks.inconsistent_orders(lines, "order_id", ["product_id", "ship_date"])
 
 
+# -- the whole path ------------------------------------------------------------------------------
+
+
+def published_daily_sales(s: Source) -> DataFrame:
+    """Two Bronze loads, two Silver increments, one audited publication; the served daily mart."""
+    return run_in_shared_dir(s, [BOUNDARY, None], FULL_YEARS).read("mart_daily_sales")
+
+
+def published_shipping_sla(s: Source) -> DataFrame:
+    return run_in_shared_dir(s, [None], FULL_YEARS).read("mart_shipping_sla")
+
+
 # -- text and files ------------------------------------------------------------------------------
 
 
@@ -540,6 +553,8 @@ QUERIES: dict[str, Query] = {
     "link_targets": link_targets,
     "file_rules": file_rules,
     "file_inventory": inventory,
+    "published_daily_sales": published_daily_sales,
+    "published_shipping_sla": published_shipping_sla,
 }
 
 
