@@ -89,10 +89,11 @@ def _second_of_day(ts: Column) -> Column:
     return (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("bigint")
 
 
-def hour_number(ts: Column) -> Column:
-    """Hours since 1970 of a date or timestamp without time zone."""
-    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
-    return (days * 24 + F.hour(ts)).cast("int")
+def time_box(ts: Column, minutes: int) -> Column:
+    """Number of the box of so many minutes, counted from 1970, that a timestamp without zone falls into."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minute = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(minute / minutes).cast("bigint")
 
 
 def full_year(day: Column, first_year: int, last_year: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.rules import hour_number
+from millrace.functions.rules import time_box
 
 
 def asof_join(
@@ -16,7 +16,7 @@ def asof_join(
     entity: str,
     at: str,
     take: dict[str, str],
-    hourly: bool = False,
+    box_minutes: int | None = None,
 ) -> DataFrame:
     """Left join ``facts`` to ``history`` on the entity and the interval ``[valid_from, valid_to)``.
 
@@ -24,16 +24,16 @@ def asof_join(
     of entity and date only, by merging them with the version starts in time order; no fact row is
     compared with every version of its entity. The facts then join on the exact pair, an equi-join
     that adaptive execution can split when one pair is hot. With dates a pair set holds one row per
-    entity and day at most; for timestamps set ``hourly`` to keep windows to one entity and hour.
+    entity and day at most; for timestamps set ``box_minutes`` to keep windows to one entity and time box.
     """
     probes = facts.select(entity, at).where(F.col(entity).isNotNull() & F.col(at).isNotNull()).distinct()
-    resolved = resolve(probes, history, entity, at, list(take), hourly)
+    resolved = resolve(probes, history, entity, at, list(take), box_minutes)
     renamed = resolved.select(entity, at, *[F.col("version")[c].alias(out) for c, out in take.items()])
     return facts.join(renamed, [entity, at], "left")
 
 
 def resolve(
-    probes: DataFrame, history: DataFrame, entity: str, at: str, take: Sequence[str], hourly: bool = False
+    probes: DataFrame, history: DataFrame, entity: str, at: str, take: Sequence[str], box_minutes: int | None = None
 ) -> DataFrame:
     """Version struct (``valid_to`` and ``take``) for each distinct pair of entity and date."""
     extra = [c for c in take if c not in ("valid_from", "valid_to")]
@@ -41,8 +41,8 @@ def resolve(
     starts = history.select(entity, F.col("valid_from").alias(at), version.alias("started"), F.lit(0).alias("probe"))
     asked = probes.select(entity, at, F.lit(None).cast(starts.schema["started"].dataType).alias("started"), F.lit(1).alias("probe"))
     merged = asked.unionByName(starts)
-    if hourly:
-        filled = _carry_by_hour(merged, entity, at)
+    if box_minutes is not None:
+        filled = _carry_by_box(merged, entity, at, box_minutes)
     else:
         so_far = Window.partitionBy(entity).orderBy(at, "probe").rowsBetween(Window.unboundedPreceding, 0)
         filled = merged.withColumn("version", F.last("started", ignorenulls=True).over(so_far))
@@ -50,18 +50,18 @@ def resolve(
     return filled.where((F.col("probe") == 1) & F.col("version").isNotNull() & still_open).select(entity, at, "version")
 
 
-def _carry_by_hour(merged: DataFrame, entity: str, at: str) -> DataFrame:
-    """Last version so far, with windows over one entity and hour plus one summary row per hour."""
-    timed = merged.withColumn("hour_no", hour_number(F.col(at)))
+def _carry_by_box(merged: DataFrame, entity: str, at: str, box_minutes: int) -> DataFrame:
+    """Last version so far, with windows over one entity and time box plus one summary row per box."""
+    timed = merged.withColumn("box_no", time_box(F.col(at), box_minutes))
     inside = (
-        Window.partitionBy(entity, "hour_no").orderBy(at, "probe").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(entity, "box_no").orderBy(at, "probe").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ends = timed.groupBy(entity, "hour_no").agg(
+    ends = timed.groupBy(entity, "box_no").agg(
         F.max_by("started", F.when(F.col("started").isNotNull(), F.col(at))).alias("end")
     )
-    earlier = Window.partitionBy(entity).orderBy("hour_no").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(entity, "hour_no", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    earlier = Window.partitionBy(entity).orderBy("box_no").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(entity, "box_no", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
     local = timed.withColumn("local", F.last("started", ignorenulls=True).over(inside))
-    return local.join(carried, [entity, "hour_no"], "left").select(
+    return local.join(carried, [entity, "box_no"], "left").select(
         entity, at, "probe", F.coalesce("local", "carried").alias("version")
     )

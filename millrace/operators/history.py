@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.rules import hour_number, version_key
+from millrace.functions.rules import time_box, version_key
 from millrace.operators.dedup import latest_per_key
 
 
@@ -18,14 +18,14 @@ def scd2(
     tracked: Sequence[str],
     tie: Sequence[str] = (),
     open_first: str | None = None,
-    hourly: bool = False,
+    box_minutes: int | None = None,
 ) -> DataFrame:
     """Versions ``[valid_from, valid_to)`` of each entity from its observations.
 
     Observations are first collapsed to one per entity and instant (map-side combine). With a date
     in ``at`` an entity is then left with one row per calendar day at most, which bounds its window
-    however many rows it had. With a timestamp there is no such bound: set ``hourly`` and the
-    windows run per entity and hour, joined up through one summary row per hour.
+    however many rows it had. With a timestamp there is no such bound: set ``box_minutes`` and the
+    windows run per entity and box of that many minutes, joined up through one edge row per box.
     ``open_first`` moves the start of the first version back to that date.
     """
     tracked = list(tracked)
@@ -33,11 +33,11 @@ def scd2(
     observed = latest_per_key(changes.select(entity, at, *newest_by), [entity, at], newest_by)
     observed = observed.select(entity, F.col(at).alias("valid_from"), F.struct(*tracked).alias("state"))
 
-    before = shift(observed, entity, "valid_from", F.col("state"), "previous", -1, hourly)
+    before = shift(observed, entity, "valid_from", F.col("state"), "previous", -1, box_minutes)
     changed = before.where(~F.col("previous").eqNullSafe(F.col("state"))).select(
         entity, "valid_from", "state", F.col("previous").isNull().alias("is_first")
     )
-    versions = shift(changed, entity, "valid_from", F.col("valid_from"), "valid_to", 1, hourly)
+    versions = shift(changed, entity, "valid_from", F.col("valid_from"), "valid_to", 1, box_minutes)
     start = F.col("valid_from")
     if open_first is not None:
         opened = F.lit(open_first).cast(changes.schema[at].dataType)
@@ -53,28 +53,28 @@ def scd2(
 
 
 def shift(
-    df: DataFrame, entity: str, at: str, value: Column, name: str, step: int, hourly: bool = False
+    df: DataFrame, entity: str, at: str, value: Column, name: str, step: int, box_minutes: int | None = None
 ) -> DataFrame:
     """Add ``value`` of the previous (-1) or next (1) row of the entity in the order of ``at``.
 
-    ``hourly`` keeps the rows of one entity and hour together instead of all rows of the entity.
-    The value that crosses an hour comes from that hour's edge row; edges, one per entity and hour,
-    are the only rows that meet in a window over the whole entity.
+    With ``box_minutes`` only the rows of one entity and time box meet in a window, not all rows of
+    the entity. The value that crosses a box comes from that box's edge row; edges, one per entity and
+    box, are the only rows that meet in a window over the whole entity.
     """
     if step not in (-1, 1):
         raise ValueError("step is -1 or 1")
     near = F.lag if step == -1 else F.lead
-    if not hourly:
+    if box_minutes is None:
         return df.withColumn(name, near(value).over(Window.partitionBy(entity).orderBy(at)))
 
-    boxed = df.withColumn("hour_no", hour_number(F.col(at))).withColumn("boxed", F.struct(value.alias("v")))
-    inside = Window.partitionBy(entity, "hour_no").orderBy(at)
+    boxed = df.withColumn("box_no", time_box(F.col(at), box_minutes)).withColumn("boxed", F.struct(value.alias("v")))
+    inside = Window.partitionBy(entity, "box_no").orderBy(at)
     edge = F.max_by if step == -1 else F.min_by
-    edges = boxed.groupBy(entity, "hour_no").agg(edge("boxed", at).alias("edge"))
+    edges = boxed.groupBy(entity, "box_no").agg(edge("boxed", at).alias("edge"))
     across = edges.select(
-        entity, "hour_no", near("edge").over(Window.partitionBy(entity).orderBy("hour_no")).alias("across")
+        entity, "box_no", near("edge").over(Window.partitionBy(entity).orderBy("box_no")).alias("across")
     )
-    joined = boxed.withColumn("inside", near("boxed").over(inside)).join(across, [entity, "hour_no"], "left")
+    joined = boxed.withColumn("inside", near("boxed").over(inside)).join(across, [entity, "box_no"], "left")
     found = F.coalesce("inside", "across")["v"].alias(name)
     return joined.select(*df.columns, found)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +32,18 @@ def rule_findings(text: Column, rule: P.TextRule) -> Column:
         found = F.zip_with(lines, secrets, lambda line, secret: F.struct(line.alias("line"), _placeholder(secret).alias("skip")))
         lines = F.transform(F.filter(found, lambda f: ~f["skip"]), lambda f: f["line"])
     findings = F.transform(lines, lambda line: F.struct(F.lit(rule.name).alias("rule"), line.cast("bigint").alias("line")))
-    return F.when(F.regexp_like(text, F.lit(rule.regex)), findings)
+    hit = F.regexp_like(text, F.lit(rule.regex))
+    if rule.literals:
+        hit = _contains_any(text, rule.literals) & hit
+    return F.when(hit, findings)
+
+
+def _contains_any(text: Column, literals: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(literal) for literal in literals])
 
 
 def _placeholder(secret: Column) -> Column:
-    marks = F.lit(False)
-    for mark in P.PLACEHOLDER_MARKS:
-        marks = marks | secret.contains(mark)
-    return marks
+    return _contains_any(secret, P.PLACEHOLDER_MARKS)
 
 
 def secret_scan(df: DataFrame, key: str, text: str, rules: Sequence[P.TextRule] = tuple(P.SECRET_RULES)) -> DataFrame:
@@ -84,9 +89,7 @@ def local_links(df: DataFrame, key: str, text: str, pattern: str = P.MARKDOWN_LI
     The fragment is cut before percent-decoding. Decoding treats ``+`` and a stray ``%`` as plain text.
     """
     links = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("link"))
-    external = F.lit(False)
-    for prefix in P.EXTERNAL_PREFIXES:
-        external = external | F.col("link").startswith(prefix)
+    external = reduce(lambda a, b: a | b, [F.col("link").startswith(prefix) for prefix in P.EXTERNAL_PREFIXES])
     cut = F.substring_index(F.col("link"), "#", 1)
     plain = F.regexp_replace(F.replace(cut, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
     return links.where(~external).withColumn("target", F.url_decode(plain))

@@ -127,7 +127,7 @@ class Source:
         )
 
     def status_history(self) -> DataFrame:
-        return scd2(self.status_events(), "entity_id", "event_ts", ["status"], tie=["event_id"], hourly=True)
+        return scd2(self.status_events(), "entity_id", "event_ts", ["status"], tie=["event_id"], box_minutes=60)
 
     def supplier_categories(self) -> DataFrame:
         """Category of a supplier: the nation it supplies from."""

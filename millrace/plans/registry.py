@@ -161,7 +161,7 @@ def asof_status(s: Source) -> DataFrame:
     """Status an entity had when each of its events arrived, by event time."""
     facts = s.status_events().select("event_id", "entity_id", "arrival_ts")
     history = s.status_history()
-    return asof_join(facts, history, "entity_id", "arrival_ts", {"status": "status_then", "valid_from": "status_since"}, hourly=True)
+    return asof_join(facts, history, "entity_id", "arrival_ts", {"status": "status_then", "valid_from": "status_since"}, box_minutes=60)
 
 
 def current_status_by_entity(s: Source) -> DataFrame:

@@ -15,7 +15,6 @@ RUNTIME_CONF = {
     # Split a skewed join even when the following aggregate then needs its own exchange:
     # that exchange moves partial aggregates only.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

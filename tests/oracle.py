@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import decimal
-import os
 
 import duckdb
 
@@ -12,7 +11,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
@@ -22,7 +20,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return f"{value:.9g}"
+        return repr(value)
     if isinstance(value, decimal.Decimal):
         raise AssertionError("results carry no decimals")
     if isinstance(value, (datetime.date, datetime.datetime)):

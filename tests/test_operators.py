@@ -56,11 +56,11 @@ def test_scd2_by_day(spark):
     assert opened.where("valid_from = '1900-01-01'").count() == len({c[0] for c in changes})
 
 
-def test_scd2_by_moment_runs_per_hour_and_agrees(spark):
+def test_scd2_by_moment_runs_per_box_and_agrees(spark):
     changes = random_changes(2, MOMENTS, 600)
     df = spark.createDataFrame(changes, "e int, at timestamp_ntz, tie int, v string")
-    for hourly in (True, False):
-        rows = scd2(df, "e", "at", ["v"], tie=["tie"], hourly=hourly).collect()
+    for box in (60, 7, None):
+        rows = scd2(df, "e", "at", ["v"], tie=["tie"], box_minutes=box).collect()
         assert {(r.e, r.v, r.valid_from, r.valid_to) for r in rows} == brute_scd2(changes)
         assert len(rows) == len({(r.e, r.version_key) for r in rows})
 
@@ -71,16 +71,16 @@ def test_null_states_are_versions_too(spark):
     assert [(r.v, r.valid_to) for r in rows] == [(None, date(2026, 1, 3)), ("x", None)]
 
 
-@pytest.mark.parametrize("hourly", [False, True])
-def test_asof_join(spark, hourly):
-    instants = MOMENTS if hourly else DAYS
-    kind = "timestamp_ntz" if hourly else "date"
+@pytest.mark.parametrize("box", [None, 60])
+def test_asof_join(spark, box):
+    instants = MOMENTS if box else DAYS
+    kind = "timestamp_ntz" if box else "date"
     changes = random_changes(3, instants[20:], 120)
     df = spark.createDataFrame(changes, f"e int, at {kind}, tie int, v string")
-    history = scd2(df, "e", "at", ["v"], tie=["tie"], hourly=hourly)
+    history = scd2(df, "e", "at", ["v"], tie=["tie"], box_minutes=box)
     rnd = random.Random(4)
     facts = [(i, rnd.choice([0, 0, 0, 1, 2, 3, 77, None]), rnd.choice([*instants, None])) for i in range(400)]
-    joined = asof_join(spark.createDataFrame(facts, f"id int, e int, at {kind}"), history, "e", "at", {"v": "v"}, hourly)
+    joined = asof_join(spark.createDataFrame(facts, f"id int, e int, at {kind}"), history, "e", "at", {"v": "v"}, box)
     got = {r.id: r.v for r in joined.collect()}
     assert len(got) == len(facts)
     versions = brute_scd2(changes)
