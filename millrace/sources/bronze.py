@@ -162,6 +162,23 @@ def _not_after(spark: SparkSession, upper: str, lower: str) -> bool:
     return pair.first()[0]
 
 
+def active_objects(config: DataFrame) -> list[Row]:
+    """Configured objects in load order; a handful of rows."""
+    return config.where("is_active").orderBy("object_id").collect()
+
+
+def load_object(
+    spark: SparkSession,
+    root: str,
+    obj: Row,
+    readers: dict[str, Reader],
+    contracts: dict[str, T.StructType] | None = None,
+) -> str | None:
+    """Read one object by its source kind and land it by its strategy."""
+    source = readers[obj.source_kind](spark, obj)
+    return ingest(spark, root, obj, source, (contracts or {}).get(obj.object_name))
+
+
 def run_objects(
     spark: SparkSession,
     root: str,
@@ -169,12 +186,8 @@ def run_objects(
     readers: dict[str, Reader],
     contracts: dict[str, T.StructType] | None = None,
 ) -> dict[str, str | None]:
-    """Load every active object by its configured kind and strategy; the first failure stops the run."""
-    done = {}
-    for obj in config.where("is_active").orderBy("object_id").collect():
-        source = readers[obj.source_kind](spark, obj)
-        done[obj.object_name] = ingest(spark, root, obj, source, (contracts or {}).get(obj.object_name))
-    return done
+    """Load every active object; the first failure stops the run."""
+    return {o.object_name: load_object(spark, root, o, readers, contracts) for o in active_objects(config)}
 
 
 # -- committed reads -----------------------------------------------------------------------------

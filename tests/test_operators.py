@@ -229,3 +229,31 @@ def test_links(spark):
     assert [r.target for r in links.collect()] == ["x.md", "dir/z w.md", "a+b%zz.md", "gone.md"]
     known = spark.createDataFrame([("x.md",), ("dir/z w.md",), ("a+b%zz.md",)], "target string")
     assert [r.link for r in textscan.dead_links(links, known).collect()] == ["gone.md"]
+
+
+def test_a_hot_pair_is_split_in_the_asof_join(spark):
+    """Half of all facts share one entity and date; adaptive execution splits that partition."""
+    conf = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 400_000, numPartitions=8)
+        entity = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1000)
+        day = F.date_add(F.lit(date(2026, 1, 5)), F.when(F.col("id") % 2 == 0, 0).otherwise((F.col("id") % 7).cast("int")))
+        facts = ids.select("id", entity.alias("e"), day.alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        history = scd2(spark.range(1000).select(F.col("id").alias("e"), F.lit(date(2026, 1, 1)).alias("at"), F.lit("x").alias("v")), "e", "at", ["v"])
+        joined = asof_join(facts, history, "e", "at", {"v": "v"})
+        counts = joined.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("payload").alias("greatest"))
+        assert [(r.v, r.n) for r in counts.collect()] == [("x", 400_000)]
+        assert "skew=true" in counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
