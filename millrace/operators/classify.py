@@ -47,4 +47,4 @@ def transitions(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Data
 
 def to_reprocess(classified: DataFrame, arrived: DataFrame, on: str) -> DataFrame:
     """Rejected lines that refer to dimension keys which have arrived since."""
-    return rejected(classified).join(arrived.select(on).distinct(), on, "left_semi")
+    return rejected(classified).join(arrived.select(on), on, "left_semi")

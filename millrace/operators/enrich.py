@@ -11,33 +11,39 @@ from millrace.operators.asof import resolve
 from millrace.operators.history import scd2
 
 
+def unique_by(reference: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The reference itself; the job that reads it fails if its key repeats.
+
+    The check is a scalar subquery, so the reference reaches a join straight from its own exchange.
+    Only then can adaptive execution split a hot key of the other side.
+    """
+    per_key = reference.groupBy(*on).agg(F.count(F.lit(1)).alias("copies"))
+    repeated = per_key.where("copies > 1").agg(F.count(F.lit(1)).alias("repeated")).scalar()
+    refuse = F.raise_error(F.lit(f"duplicate reference key: {', '.join(on)}")).cast("boolean")
+    return reference.where(F.when(repeated > 0, refuse).otherwise(F.lit(True)))
+
+
 def enrich(facts: DataFrame, reference: DataFrame, on: str | Sequence[str], take: Sequence[str]) -> DataFrame:
     """Left join to a reference whose key must be unique; a duplicate key fails the job.
 
-    The check rides in the same plan. Whether the reference is broadcast is left to its measured
-    size against ``spark.sql.autoBroadcastJoinThreshold``.
+    Whether the reference is broadcast is left to its measured size against
+    ``spark.sql.autoBroadcastJoinThreshold``.
     """
     on = [on] if isinstance(on, str) else list(on)
-    keyed = reference.groupBy(*on).agg(
-        F.min(F.struct(*take)).alias("attributes"), F.count(F.lit(1)).alias("copies")
-    )
-    duplicate = F.raise_error(F.concat(F.lit("duplicate reference key: "), F.concat_ws(",", *on)))
-    checked = F.when(F.col("copies") == 1, F.col("attributes")).otherwise(duplicate)
-    unique = keyed.select(*on, checked.alias("attributes"))
-    joined = facts.join(unique, on, "left")
-    return joined.select(*facts.columns, *[F.col("attributes")[c].alias(c) for c in take])
+    joined = facts.join(unique_by(reference.select(*on, *take), on), on, "left")
+    return joined.select(*facts.columns, *take)
 
 
 def with_presence(facts: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
-    """Add a boolean telling whether the key occurs in ``keys``; a null key does not."""
-    known = keys.select(on).distinct().withColumn(flag, F.lit(True))
+    """Add a boolean telling whether the key occurs in ``keys``, a unique one; a null key does not."""
+    known = unique_by(keys.select(on), [on]).withColumn(flag, F.lit(True))
     joined = facts.join(known, on, "left")
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def missing_references(facts: DataFrame, keys: DataFrame, on: str, rule: str) -> DataFrame:
     """Rows without a match, null keys included, labelled with the rule they fail."""
-    return facts.join(keys.select(on).distinct(), on, "left_anti").withColumn("failed_rule", F.lit(rule))
+    return facts.join(keys.select(on), on, "left_anti").withColumn("failed_rule", F.lit(rule))
 
 
 def latest_reference_as_of(

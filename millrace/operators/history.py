@@ -85,12 +85,11 @@ def scd2_merge(history: DataFrame, rebuilt: DataFrame, affected: DataFrame, enti
     ``rebuilt`` is :func:`scd2` over all retained observations of the affected entities, so a
     version that arrives late splits the interval it falls into exactly as a full rebuild would.
     """
-    keys = affected.select(entity).distinct()
-    return history.join(keys, entity, "left_anti").unionByName(rebuilt)
+    return history.join(affected.select(entity), entity, "left_anti").unionByName(rebuilt)
 
 
 def affected_observations(observations: DataFrame, affected: DataFrame, entity: str) -> DataFrame:
-    return observations.join(affected.select(entity).distinct(), entity, "left_semi")
+    return observations.join(affected.select(entity), entity, "left_semi")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, entity: str, tracked: Sequence[str]) -> DataFrame:

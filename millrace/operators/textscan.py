@@ -97,7 +97,7 @@ def local_links(df: DataFrame, key: str, text: str, pattern: str = P.MARKDOWN_LI
 
 def dead_links(links: DataFrame, known: DataFrame, target: str = "target") -> DataFrame:
     """Links whose target is not among the known ones."""
-    return links.join(known.select(target).distinct(), target, "left_anti")
+    return links.join(known.select(target), target, "left_anti")
 
 
 def url_path(url: Column) -> Column:

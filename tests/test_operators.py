@@ -12,7 +12,7 @@ from millrace.functions import rules as R
 from millrace.operators import checks, textscan
 from millrace.operators.asof import asof_join
 from millrace.operators.dedup import latest_per_key
-from millrace.operators.enrich import enrich, missing_references
+from millrace.operators.enrich import enrich, missing_references, with_presence
 from millrace.operators.history import scd2, scd2_merge, snapshot_diff
 from millrace.operators.status import current_status, event_fact
 
@@ -231,8 +231,9 @@ def test_links(spark):
     assert [r.link for r in textscan.dead_links(links, known).collect()] == ["gone.md"]
 
 
-def test_a_hot_pair_is_split_in_the_asof_join(spark):
-    """Half of all facts share one entity and date; adaptive execution splits that partition."""
+@pytest.fixture
+def eager_skew_handling(spark):
+    """Thresholds low enough for a small hot key, and no broadcast that would hide it."""
     conf = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -244,16 +245,40 @@ def test_a_hot_pair_is_split_in_the_asof_join(spark):
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
-    try:
-        ids = spark.range(0, 400_000, numPartitions=8)
-        entity = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1000)
-        day = F.date_add(F.lit(date(2026, 1, 5)), F.when(F.col("id") % 2 == 0, 0).otherwise((F.col("id") % 7).cast("int")))
-        facts = ids.select("id", entity.alias("e"), day.alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
-        history = scd2(spark.range(1000).select(F.col("id").alias("e"), F.lit(date(2026, 1, 1)).alias("at"), F.lit("x").alias("v")), "e", "at", ["v"])
-        joined = asof_join(facts, history, "e", "at", {"v": "v"})
-        counts = joined.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("payload").alias("greatest"))
-        assert [(r.v, r.n) for r in counts.collect()] == [("x", 400_000)]
-        assert "skew=true" in counts._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_facts(spark):
+    """Half of all rows share one entity and date."""
+    hot = F.col("id") % 2 == 0
+    day = F.date_add(F.lit(date(2026, 1, 5)), F.when(hot, 0).otherwise((F.col("id") % 7).cast("int")))
+    return spark.range(0, 400_000, numPartitions=8).select(
+        "id",
+        F.when(hot, 0).otherwise(F.col("id") % 1000).alias("e"),
+        day.alias("at"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+
+
+def masters(spark):
+    return spark.range(1000).select(F.col("id").alias("e"), F.lit(date(2026, 1, 1)).alias("at"), F.lit("x").alias("v"))
+
+
+def split_by_skew(joined, group, rows=400_000):
+    totals = joined.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max("payload").alias("greatest"))
+    assert sum(r.n for r in totals.collect()) == rows
+    return "skew=true" in totals._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_pair_is_split_in_the_asof_join(spark, eager_skew_handling):
+    history = scd2(masters(spark), "e", "at", ["v"])
+    assert split_by_skew(asof_join(hot_facts(spark), history, "e", "at", {"v": "v"}), "v")
+
+
+def test_a_hot_key_is_split_in_reference_joins(spark, eager_skew_handling):
+    facts, ref = hot_facts(spark), masters(spark)
+    assert split_by_skew(enrich(facts, ref, "e", ["v"]), "v")
+    assert split_by_skew(with_presence(facts, ref, "e", "known"), "known")
+    assert split_by_skew(missing_references(facts, ref.where("e >= 500"), "e", "rule"), "failed_rule", 300_000)
