@@ -18,6 +18,24 @@ RUNTIME_CONF = {
 }
 
 
+_MB = 1024 * 1024
+
+
+def sized_for(largest_shuffle_bytes: int, task_bytes: int = 256 * _MB) -> dict[str, str]:
+    """Settings that keep a task of the largest shuffle near ``task_bytes``.
+
+    AQE starts from that many partitions and merges the ones that turn out small, so one setting
+    serves the large and the small shuffles of a job.
+    """
+    partitions = max(1, -(-largest_shuffle_bytes // task_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+    }
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)

@@ -176,7 +176,8 @@ def load_object(
 ) -> str | None:
     """Read one object by its source kind and land it by its strategy."""
     source = readers[obj.source_kind](spark, obj)
-    return ingest(spark, root, obj, source, (contracts or {}).get(obj.object_name))
+    overlap = int((obj.options or {}).get("overlap_seconds", 0))
+    return ingest(spark, root, obj, source, (contracts or {}).get(obj.object_name), overlap)
 
 
 def run_objects(

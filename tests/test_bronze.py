@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import sized_for
 from millrace.sources import bronze
 from millrace.sources.contracts import ContractError, check_contract
 from millrace.sources.files import file_inventory
@@ -137,6 +138,12 @@ def test_inventory_does_not_read_content(spark, tmp_path):
     assert "content" not in files.columns
 
 
+def test_partition_sizes_follow_the_data():
+    conf = sized_for(100 * 1024**4)
+    assert conf["spark.sql.shuffle.partitions"] == str(400 * 1024)
+    assert sized_for(1)["spark.sql.shuffle.partitions"] == "1"
+
+
 def test_jdbc_options_split_the_read():
     options = jdbc_options("jdbc:postgresql://h/db", "sales", "dwh_load_ts", ("2026-01-01", "2026-02-01"), 16)
     assert options["numPartitions"] == "16" and options["partitionColumn"] == "dwh_load_ts"
