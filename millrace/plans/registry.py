@@ -442,7 +442,8 @@ def increment_diagnostics(s: Source) -> DataFrame:
 
 
 def order_identity(s: Source) -> DataFrame:
-    """Orders whose copies of lines disagree on product or ship date per line position."""
+    """Orders whose raw lines disagree; product and ship date stand in for the customer and order date
+    that the given lines do not carry."""
     lines = s.raw_lines().select("order_id", F.col("l_partkey").alias("product_id"), F.to_date("l_shipdate").alias("ship_date"))
     return checks.inconsistent_orders(lines, "order_id", ["product_id", "ship_date"])
 
