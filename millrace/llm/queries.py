@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat, exact_dedup, packing
+from millrace.llm import byte_bpe, chat, exact_dedup, packing, warc_zip
 from millrace.llm.common import table
+from millrace.session import shared_dir
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), folder)
+    return warc_zip.read_packages(packages, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
@@ -61,6 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op6_warc_zip": op6_warc_zip,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_packing": op10_packing,
 }
@@ -88,4 +99,19 @@ ORACLE: dict[str, str] = {
                sha256(loss) AS loss_sha256, formatted_chars
         FROM joined
     """,
+    "op6_warc_zip": """
+        WITH hashed AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response_id
+            FROM pages
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr(
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1
+               )), '') AS payload_digest,
+               CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+        FROM hashed
+    """,
 }
