@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat, exact_dedup, packing, warc_zip
+from millrace.llm import byte_bpe, chat, exact_dedup, jaccard, packing, warc_zip
 from millrace.llm.common import table
 from millrace.session import shared_dir
 
@@ -48,6 +48,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), folder)
@@ -71,6 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_warc_zip": op6_warc_zip,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_packing": op10_packing,
