@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat, exact_dedup, jaccard, packing, warc_zip
+from millrace.llm import byte_bpe, chat, exact_dedup, jaccard, packing, pii, quality_rules, warc_zip
 from millrace.llm.common import table
 from millrace.session import shared_dir
 
@@ -48,6 +48,21 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{pii.KINDS[kind].name}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.BASE],
+        F.sha2(pii.written_out(base), 256).alias("base_sha256"),
+        pii.written_out(F.col("found")).alias("spans"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(table(spark, sf_dir, "documents"))
 
@@ -65,6 +80,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
@@ -75,9 +97,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_pii": op3_pii,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_warc_zip": op6_warc_zip,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
