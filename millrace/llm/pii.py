@@ -296,6 +296,18 @@ def written_out(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _replacing(kind: int, tag: Column, classifier: Classifier) -> Callable[[Column], Column]:
+    def replaced(p: Column) -> Column:
+        before, after = F.right(p["piece"], F.lit(CONTEXT_CHARS)), F.left(F.coalesce(p["next"], F.lit("")), F.lit(1))
+        if KINDS[kind].base:
+            kept = is_valid(kind, p["match"])
+        else:
+            kept = classifier.odds(features(kind, p["match"], before, after)) >= KEEP_ODDS
+        return F.concat(p["piece"], F.when((p["match"] != "") & kept, tag).otherwise(p["match"]))
+
+    return replaced
+
+
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents with personal data replaced by the name of its kind in brackets, with their own columns.
 
@@ -315,11 +327,6 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
             F.col("pieces").alias("piece"), F.array_append("matches", F.lit("")).alias("match"), F.slice("pieces", 2, F.greatest(F.size("pieces"), F.lit(1))).alias("next")
         ).cast("array<struct<piece:string,match:string,next:string>>")
 
-        def replaced(p: Column, kind: int = kind, tag: Column = tag) -> Column:
-            before, after = F.right(p["piece"], F.lit(CONTEXT_CHARS)), F.left(F.coalesce(p["next"], F.lit("")), F.lit(1))
-            kept = is_valid(kind, p["match"]) if KINDS[kind].base else classifier.odds(features(kind, p["match"], before, after)) >= KEEP_ODDS
-            return F.concat(p["piece"], F.when((p["match"] != "") & kept, tag).otherwise(p["match"]))
-
-        joined = F.array_join(F.transform(zipped, replaced), "")
+        joined = F.array_join(F.transform(zipped, _replacing(kind, tag, classifier)), "")
         rows = rows.select("row", F.when(F.size("matches") > 0, joined).otherwise(F.col("text")).alias("text"))
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])

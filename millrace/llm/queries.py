@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat, exact_dedup, jaccard, packing, pii, quality_rules, warc_zip
+from millrace.llm import byte_bpe, chat, exact_dedup, factorisation, jaccard, licenses, packing, pii, quality_rules, warc_zip
 from millrace.llm.common import table
 from millrace.session import shared_dir
 
@@ -63,6 +63,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform(
+        "matches",
+        lambda m: F.concat_ws(":", m["license"], m["start_word"].cast("string"), m["end_word"].cast("string"), F.format_number(m["coverage"], 4)),
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("best_coverage"),
+        F.array_join(shown, ",").alias("matches"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -98,9 +118,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_pii": op3_pii,
+    "op4_factorisation": op4_factorisation,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_warc_zip": op6_warc_zip,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
