@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: written as stored members with an index, read back by ranges.
 
-A package is a ZIP archive with two stored members, ``archive/data.warc`` and ``indexes/index.cdx``; sizes and offsets
-are always written in their ZIP64 form. The reader looks at the end of the file, follows the ZIP64 locator to the central directory, finds
+A package is a ZIP archive with two stored members, ``archive/data.warc.gz`` and ``indexes/index.cdx``; each record is a gzip
+member of its own, so that any of them can be read alone. Sizes and offsets are always written in their ZIP64 form. The reader looks at the end of the file, follows the ZIP64 locator to the central directory, finds
 the members and reads single records by the byte ranges of the index. Nothing is extracted or read whole.
 
 Pages with equal payloads are stored once: the page with the largest id is the ``response``, the others are ``revisit`` records with the
@@ -17,6 +17,7 @@ nothing; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import struct
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
 
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdx"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
 #: Records of one reading task's unit of work.
 RANGE_RECORDS = 256
+GZIP_LEVEL = 6
 
 # Fixed values of the ZIP format: signatures, and the sizes of the parts without names and extras.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = (0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50)
@@ -247,7 +249,9 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, id_col="
                 for row in batch.to_pylist():
                     digest = base32_sha1(row["payload"])
                     revisit = row["refers_to"] is not None
-                    record = warc_record(row["page_id"], row["url"], row["payload"], digest, row["refers_to"], revisit)
+                    record = gzip.compress(
+                        warc_record(row["page_id"], row["url"], row["payload"], digest, row["refers_to"], revisit), GZIP_LEVEL, mtime=0
+                    )
                     index.append(f"{digest} {at} {len(record)}\n")
                     at += len(record)
                     yield record
@@ -299,7 +303,7 @@ def read_packages(packages: DataFrame, range_records: int = RANGE_RECORDS, paylo
                 system, name = opened(row["path"])
                 with system.open_input_file(name) as file:
                     found = [
-                        parse_record(file.read_at(size, offset)) for offset, size in zip(row["offsets"], row["sizes"], strict=True)
+                        parse_record(gzip.decompress(file.read_at(size, offset))) for offset, size in zip(row["offsets"], row["sizes"], strict=True)
                     ]
                 if not payloads:
                     found = [record | {"payload": None} for record in found]
