@@ -12,8 +12,10 @@ subsets of the ``n2 - k2`` second-level partitions that may be free of them. Set
    members of a signature become rows of a *unit*, named by the smallest member: as many rows as members, never pairs.
    A signature frequent within one batch is dealt over several buckets and is a unit of its own.
 3. A unit's members are compared by cell counts, whose differences bound that of the sets from below; who is close to nobody leaves.
-4. The sets of the few remaining documents are computed again and compared exactly, unit by unit; each unit gives the edges of
-   a forest. Units above ``unit_docs`` members are split into blocks, and every two blocks are compared in a task of their own.
+4. The sets of the few remaining documents are computed again and compared exactly. Members that are close to each other in any unit
+   form a cluster; a cluster of up to ``unit_docs`` documents is compared as a whole, so each set is sent once. Larger clusters
+   are compared unit by unit, and units above that size are split into blocks of which every two are compared in a task of their own.
+   Each comparison gives the edges of a forest.
 5. Components over those edges and those between equal sets, by distributed star contraction.
 
 Copies of a set are signed once per task. A signature whose projection is empty is needed only by a set that fills no more
@@ -43,8 +45,10 @@ from millrace.llm.shingles import U64, mix, shingle_sets
 
 #: Signatures of one bucket, roughly; the number of buckets follows from the corpus.
 BUCKET_SIGNATURES = 400_000
-#: Documents of one unit compared in one task.
+#: Documents of one cluster or unit compared in one task.
 UNIT_DOCS = 10_000
+#: So many document ids, of 8 bytes, may be broadcast; above that they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Members of one signature within one batch of documents that make it frequent.
 FREQUENT = 1_000
 #: Sets remembered by a task so that copies are signed once.
@@ -358,7 +362,7 @@ def close_members(units: DataFrame, profile: DataFrame, unit_docs: int) -> DataF
             counts = np.frombuffer(b"".join(cells), dtype=np.uint8).reshape(len(docs), -1).astype(np.int16)
             for part, edges in enumerate(_reach(len(docs), near_of(np.array(sizes), counts))):
                 members = {docs[i] for edge in edges for i in edge}
-                out += [(*key, part, doc) for doc in members]
+                out += [(*key, part, min(members), doc) for doc in members]
             if len(out) > 50_000:
                 yield batch_of(out)
                 out = []
@@ -366,8 +370,9 @@ def close_members(units: DataFrame, profile: DataFrame, unit_docs: int) -> DataF
             yield batch_of(out)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_KEY, "part", "doc_id"])
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        columns = zip(zip(*rows, strict=True), kinds, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=[*_KEY, "part", "hub", "doc_id"])
 
     both = [
         profile.filter("doc_id IS NOT NULL").select("doc_id", F.col(f"instance_{x}").alias("instance"), "n_shingles", F.col(f"cells_{x}").alias("cells"))
@@ -376,7 +381,7 @@ def close_members(units: DataFrame, profile: DataFrame, unit_docs: int) -> DataF
     cells = both[0].unionByName(both[1]).filter("instance IS NOT NULL")
     rows = in_blocks(units, unit_docs).join(cells, ["doc_id", "instance"]).select(*_KEY, "doc_id", "n_shingles", "cells")
     dealt = rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    return materialise(dealt.mapInArrow(run, "unit bigint, instance int, frequent boolean, block bigint, part int, doc_id bigint"))
+    return materialise(dealt.mapInArrow(run, "unit bigint, instance int, frequent boolean, block bigint, part int, hub bigint, doc_id bigint"))
 
 
 def _exact_near(sets: list[np.ndarray]):
@@ -395,8 +400,27 @@ def _exact_near(sets: list[np.ndarray]):
     return near
 
 
-def links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Edges of a forest over each part of a unit, by exact comparison of the members' sets."""
+def in_clusters(members: DataFrame, unit_docs: int) -> DataFrame:
+    """Members by cluster, with ``unit`` its number; those of larger clusters stay in their units."""
+    key = [*_KEY, "part"]
+    cluster = components(members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
+    large = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > unit_docs).select("component")
+    whole = cluster.join(large, "component", "left_anti").select(
+        F.col("component").alias("unit"),
+        F.lit(-1).alias("instance"),
+        F.lit(False).alias("frequent"),
+        F.lit(0).cast("long").alias("block"),
+        F.lit(0).alias("part"),
+        F.col("vertex").alias("doc_id"),
+    )
+    if large.isEmpty():
+        return whole
+    apart = cluster.join(large, "component", "left_semi").select(F.col("vertex").alias("doc_id"))
+    return whole.unionByName(members.select(*key, "doc_id").join(apart, "doc_id", "left_semi"))
+
+
+def links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
+    """Edges of a forest over each cluster or part of a unit, by exact comparison of the members' sets."""
     key = [*_KEY, "part"]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,6 +439,8 @@ def links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
     wanted = members.select("doc_id").distinct()
+    if wanted.count() <= broadcast_ids:
+        wanted = F.broadcast(wanted)
     sets = _source(docs, id_col, text_col).join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id bigint, members binary")
     dealt = members.join(sets, "doc_id").select(*key, "doc_id", "members").repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(run, "a bigint, b bigint")
@@ -438,6 +464,7 @@ def linked_components(
     bucket_signatures: int = BUCKET_SIGNATURES,
     unit_docs: int = UNIT_DOCS,
     frequent: int = FREQUENT,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, one row per document."""
     profile = profiles(docs, id_col, text_col)
@@ -445,8 +472,8 @@ def linked_components(
     buckets = max(1, math.ceil(shingles * 3 / 4 / bucket_signatures))
     packed = signed_buckets(docs, id_col, text_col, buckets, frequent)
     units = materialise(shared_units(packed, buckets))
-    members = close_members(units, profile, unit_docs)
-    edges = links(members, docs, id_col, text_col)
+    members = materialise(in_clusters(close_members(units, profile, unit_docs), unit_docs))
+    edges = links(members, docs, id_col, text_col, broadcast_ids)
     first = equal_sets(profile)
     same = profile.filter("doc_id IS NOT NULL").join(first, "digest").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
     labels = components(edges.unionByName(same))
@@ -474,5 +501,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without id stay.
     """
     found = linked_components(docs, id_col, text_col, **options)
-    lost = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("lost_id"))
+    lost = materialise(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("lost_id")).distinct())
+    if lost.count() <= options.get("broadcast_ids", BROADCAST_IDS):
+        lost = F.broadcast(lost)
     return docs.join(lost, docs[id_col].cast("long") == lost["lost_id"], "left_anti")

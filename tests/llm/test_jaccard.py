@@ -86,7 +86,7 @@ def test_frequent_signatures_and_blocks(spark, few_partitions):
         for _ in range(rnd.randrange(1, 6)):
             words[rnd.randrange(60)] = f"x{rnd.randrange(1000)}"
         rows.append((i, " ".join(words)))
-    assert run(spark, rows, frequent=5, unit_docs=10) == brute(rows)
+    assert run(spark, rows, frequent=5, unit_docs=10, broadcast_ids=0) == brute(rows)
 
 
 def test_defined_cases(spark, few_partitions):
