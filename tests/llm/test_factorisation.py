@@ -1,0 +1,63 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import factorisation as fm, queries
+
+
+def test_linear_time_form_equals_all_pairs():
+    rng = np.random.default_rng(1)
+    size = fm.WORD_BUCKETS + 3
+    model = fm.Model(0.3, rng.normal(size=size), rng.normal(size=(size, fm.FACTORS)), np.zeros(3), np.ones(3))
+    documents = [(rng.choice(size, n, replace=False), rng.normal(size=n)) for n in (1, 2, 7, 20)]
+    starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in documents])[:-1]])
+    got = model.odds(*(np.concatenate([d[k] for d in documents]) for k in (0, 1)), starts)
+    for odds, (i, x) in zip(got, documents, strict=True):
+        pairs = sum(model.factors[i[a]] @ model.factors[i[b]] * x[a] * x[b] for a in range(len(i)) for b in range(a))
+        assert odds == pytest.approx(0.3 + model.linear[i] @ x + pairs)
+
+
+def test_learns_a_pair_that_no_single_feature_shows():
+    rng = np.random.default_rng(2)
+    documents, labels = [], []
+    for _ in range(1500):
+        a, b = rng.integers(0, 2, 2)
+        documents.append((np.array([10 + a, 20 + b, fm.WORD_BUCKETS]), np.array([0.7, 0.7, 1.0])))
+        labels.append(float(a == b))
+    model = fm.fit(documents, np.array(labels), 1)
+    starts = np.arange(0, 3 * len(documents), 3)
+    odds = model.odds(np.concatenate([d[0] for d in documents]), np.concatenate([model.scaled(*d) for d in documents]), starts)
+    assert ((odds > 0) == np.array(labels, dtype=bool)).mean() > 0.95
+
+
+def test_held_out_accuracy_on_the_given_documents(spark, sf_check):
+    scored = queries.op4_factorisation(spark, sf_check)
+    rows = scored.join(spark.read.parquet(f"{sf_check}/labels.parquet"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    assert all(r.predicted == (r.score >= 0.3) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == r.quality for r in held) >= 0.93 * len(held)
+
+
+def test_labels_of_held_out_documents_are_not_used(spark, few_partitions):
+    texts = [("good words here " if i % 2 else "$$$ ### ") * 20 for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    flipped = labels.withColumn("quality", F.when(fm.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    first, second = ({r.doc_id: r.score for r in fm.classify(docs, x).collect()} for x in (labels, flipped))
+    assert first == second and all((first[i] > 0.5) == bool(i % 2) for i in range(60))
+
+
+def test_defined_cases(spark, few_partitions):
+    rnd = random.Random(5)
+    rows = [(1, None, None), (2, "", 0), (None, "a b", 3), (3, "x " * 300_000, 5), (3, "x " * 300_000, 5), (4, "é\n\n|", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, None), (99, 1), (None, 1), (4, 0), *[(1, rnd.randrange(2)) for _ in range(3)]], "doc_id bigint, quality int")
+    got = fm.classify(docs, labels, ("n_chars",)).collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    none = labels.filter("doc_id = 99")
+    assert {r.score for r in fm.classify(docs, none).collect()} == {0.5}
+    assert fm.classify(docs.limit(0), labels).count() == 0
