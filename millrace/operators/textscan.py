@@ -95,6 +95,26 @@ def local_links(df: DataFrame, key: str, text: str, pattern: str = P.MARKDOWN_LI
     return links.where(~external).withColumn("target", F.url_decode(plain))
 
 
+def from_page(page: Column, target: Column) -> Column:
+    """Target of a link as seen from its page: relative to the page's folder, with ``.`` and ``..`` resolved.
+
+    Both are paths from a common root. A target that leaves the root keeps a leading ``..``, so it is never known.
+    """
+    folder = F.regexp_extract(page, r"(?s)^(.*/)", 1)
+    whole = F.when(target.startswith("/"), F.substring(target, 2, 2**31 - 1)).otherwise(F.concat(folder, target))
+    none = F.array().cast("array<string>")
+
+    def step(path: Column, part: Column) -> Column:
+        inside = (F.size(path) > 0) & (F.coalesce(F.element_at(path, -1), F.lit("")) != "..")
+        return (
+            F.when(part.isin("", "."), path)
+            .when((part == "..") & inside, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))))
+            .otherwise(F.array_append(path, part))
+        )
+
+    return F.array_join(F.aggregate(F.split(whole, "/"), none, lambda path, part: F.when(F.size(path) >= 0, step(path, part))), "/")
+
+
 def dead_links(links: DataFrame, known: DataFrame, target: str = "target") -> DataFrame:
     """Links whose target is not among the known ones."""
     return links.join(known.select(target), target, "left_anti")

@@ -50,8 +50,11 @@ class Source:
         )
 
     def customers(self) -> DataFrame:
-        return self.table("customer").where("c_acctbal >= 0").select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("location_id")
+        """All customers; ``registered`` says which of them a line may refer to."""
+        return self.table("customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("location_id"),
+            F.coalesce(F.col("c_acctbal") >= 0, F.lit(False)).alias("registered"),
         )
 
     def headers(self) -> DataFrame:
@@ -65,8 +68,7 @@ class Source:
             F.date_add(order_date, promised).alias("due_date"),
             F.col("o_orderstatus").alias("source_status"),
         )
-        known = self.customers().withColumn("registered", F.lit(True))
-        joined = orders.join(known, "customer_id", "left")
+        joined = orders.join(self.customers(), "customer_id", "left")
         return joined.withColumn("registered", F.coalesce("registered", F.lit(False)))
 
     def products(self) -> DataFrame:
@@ -139,15 +141,20 @@ class Source:
 
     def classified_lines(self, headers: DataFrame | None = None) -> DataFrame:
         headers = self.headers() if headers is None else headers
-        lines = self.line_columns().join(headers, "order_id")
+        lines = self.line_columns().join(headers.withColumn("order_known", F.lit(True)), "order_id", "left")
+        lines = lines.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("order_known", "registered")})
         known = with_presence(lines, self.products(), "product_id", "product_known")
-        hard = {"unknown_customer": ~F.col("registered"), "unknown_product": ~F.col("product_known")}
+        hard = {
+            "unknown_order": ~F.col("order_known"),
+            "unknown_customer": F.col("order_known") & ~F.col("registered"),
+            "unknown_product": ~F.col("product_known"),
+        }
         # The promised date of an order is no attribute of its lines, so only ship dates are tested.
         return apply_line_rules(known.drop("due_date"), hard, check_amount=False)
 
     def sales(self, headers: DataFrame | None = None) -> DataFrame:
         """Accepted lines with flags, before any version is attached."""
-        return accepted(self.classified_lines(headers)).drop("source_status", "registered", "product_known")
+        return accepted(self.classified_lines(headers)).drop("source_status", "registered", "order_known", "product_known")
 
     def fact_sales(self, customer: bool = True, product: bool = True, location: bool = True) -> DataFrame:
         """Accepted lines with the versions valid on the order date.

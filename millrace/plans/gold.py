@@ -12,7 +12,7 @@ from millrace.operators.enrich import snapshot_enrich
 from millrace.operators.status import current_status
 from millrace.plans import audit, marts
 from millrace.plans.facts import order_flags, order_totals
-from millrace.plans.retail import CLASSIFIED_SCHEMA, EVENT_OBJECTS, EVENT_SCHEMA, REFERENCES
+from millrace.plans.retail import CLASSIFIED_SCHEMA, EVENT_OBJECTS, EVENT_SCHEMA, REFERENCES, reference
 from millrace.sources.tables import Snapshot, TableStore
 
 LINE_KEY = ["sales_id"]
@@ -34,9 +34,7 @@ def fact_sales(silver: Snapshot, initial_history: str | None = None) -> DataFram
     """
     facts = accepted(silver.read("sales_classified", CLASSIFIED_SCHEMA)).drop("failed_rules", "dq_class", "silver_version")
     for name, attributes in REFERENCES.items():
-        schema = ", ".join(["postal_key string", "as_of date", *[f"{a} string" for a in attributes]])
-        snapshots = silver.read(name, schema)
-        facts = snapshot_enrich(facts, snapshots, "postal_key", "as_of", "order_date", attributes, initial_history)
+        facts = snapshot_enrich(facts, reference(silver, name), "postal_key", "as_of", "order_date", attributes, initial_history)
     return facts.withColumns({"location_id": F.col("postal_key"), "location_tier": F.col("region")})
 
 

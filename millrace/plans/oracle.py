@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.functions import patterns as P
-
 # -- shared relations ----------------------------------------------------------------------------
 
 RELATIONS = {
@@ -26,8 +24,8 @@ RELATIONS = {
                order_date, CAST(l_shipdate AS DATE) AS ship_date, CAST(l_quantity AS BIGINT) AS quantity,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, l_returnflag = 'R' AS returned,
                CAST(l_shipdate AS DATE) < order_date AS soft_date, registered, p_partkey IS NOT NULL AS product_known,
-               registered AND p_partkey IS NOT NULL AND NOT (CAST(l_shipdate AS DATE) < order_date) AS line_eligible
-        FROM lines JOIN heads ON l_orderkey = order_id LEFT JOIN part ON l_partkey = p_partkey""",
+               coalesce(registered AND p_partkey IS NOT NULL AND NOT (CAST(l_shipdate AS DATE) < order_date), false) AS line_eligible
+        FROM lines LEFT JOIN heads ON l_orderkey = order_id LEFT JOIN part ON l_partkey = p_partkey""",
     "sales": "SELECT * FROM classified WHERE registered AND product_known",
     "good": "SELECT * FROM sales WHERE line_eligible",
     "per_order": """
@@ -191,17 +189,25 @@ def _matching(table: str, rows: list[tuple[str, str, str]]) -> str:
     )
 
 
-def _scan(rule: P.TextRule) -> str:
+# Rule name, pattern, and the group that may hold a placeholder.
+_SECRETS = [
+    ("aws-access-key", r"(?:AKIA|ASIA)[A-Z0-9]{16}", None),
+    ("github-token", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,})", None),
+    ("private-key", r"(?m)^-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", None),
+    ("embedded-postgres-password", r"(?i)postgres(?:ql)?://[^\s/:]+:([^\s@]+)@", 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}", None),
+    ("credential-literal", r"(?i)\b(?:password|pwd|client_secret|aws_secret_access_key)\b\s*[:=]\s*['\"]?([^\s'\";,}\n]{8,})", 1),
+    ("hex-token", r'token = "[0-9a-f]{16,}"', None),
+]
+
+
+def _scan(name: str, pattern: str, secret_group: int | None) -> str:
     """Findings of one rule; the line is counted in the text before the k-th match."""
-    flags = ("i" if rule.ignore_case else "") + ("m" if rule.multiline else "")
-    pattern = (f"(?{flags})" if flags else "") + rule.pattern
     quoted = pattern.replace("'", "''")
-    keep = ""
-    if rule.secret_group is not None:
-        keep = "WHERE NOT (contains(secret, '${') OR contains(secret, '<'))"
-    group = rule.secret_group or 0
+    keep = "" if secret_group is None else "WHERE NOT (contains(secret, '${') OR contains(secret, '<'))"
+    group = secret_group or 0
     return f"""
-        SELECT doc_id, '{rule.name}' AS rule, line FROM (
+        SELECT doc_id, '{name}' AS rule, line FROM (
             SELECT doc_id, secret,
                    CAST(1 + length(before) - length(replace(before, chr(10), '')) AS BIGINT) AS line
             FROM (SELECT doc_id, secrets[k] AS secret,
@@ -251,12 +257,22 @@ ORACLE = {
     "soft_dq": _with("lines")
     + """ SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(o_orderdate AS DATE) AS order_date,
                CAST(l_shipdate AS DATE) AS ship_date, CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) AS soft_date
-        FROM lines JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lines LEFT JOIN orders ON l_orderkey = o_orderkey""",
     "eligibility": _with("classified")
     + """ SELECT order_id, line_no, customer_id, soft_date,
                CASE WHEN registered AND product_known THEN 'ACCEPTED' ELSE 'REJECTED' END AS dq_class, line_eligible,
-               concat_ws(',', CASE WHEN NOT registered THEN 'unknown_customer' END,
+               concat_ws(',', CASE WHEN registered IS NULL THEN 'unknown_order' END, CASE WHEN NOT registered THEN 'unknown_customer' END,
                               CASE WHEN NOT product_known THEN 'unknown_product' END) AS failed_rules FROM classified""",
+    "soft_amount": _with("lines")
+    + """ SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id,
+               coalesce(abs(CAST(l_extendedprice AS DECIMAL(18,2))
+                            - CAST(p_retailprice AS DECIMAL(18,2)) * CAST(l_quantity AS BIGINT)) > 20000, false) AS soft_amount
+        FROM lines LEFT JOIN part ON l_partkey = p_partkey""",
+    "version_keys": _with("customer_history", "product_history", "location_history", "status_history")
+    + " UNION ALL ".join(
+        f" SELECT '{h}' AS history, count(*) AS versions, count(*) AS version_keys FROM {h}_history"
+        for h in ("customer", "product", "location", "status")
+    ),
     "event_delay": _with("status_events")
     + """ SELECT event_id, entity_id, status, date_diff('second', event_ts, arrival_ts) AS delay_seconds,
                date_diff('second', event_ts, arrival_ts) >= 3600 AS is_late FROM status_events""",
@@ -268,6 +284,9 @@ ORACLE = {
         FROM lines JOIN orders ON l_orderkey = o_orderkey
         WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
         UNION ALL
+        SELECT l_orderkey, l_linenumber, NULL, l_partkey, 'unknown_order'
+        FROM lines ANTI JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL
         SELECT l_orderkey, l_linenumber, o_custkey, l_partkey, 'unknown_product'
         FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey NOT IN (SELECT p_partkey FROM part)""",
     "snapshot_diff": f"""
@@ -284,7 +303,7 @@ ORACLE = {
     "scd2_late_insert": _with("customer_history") + " SELECT * FROM customer_history",
     "reference_asof": """
         WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
-             snaps AS (SELECT event_type AS file, CAST(ts AS DATE) AS as_of, event_id AS snapshot_id FROM events WHERE value >= 200)
+             snaps AS (SELECT event_type AS file, CAST(ts AS DATE) AS as_of, event_id AS snapshot_id FROM events)
         SELECT day, file, arg_max(snapshot_id, (as_of, snapshot_id)) AS snapshot_id
         FROM days JOIN snaps ON as_of <= day GROUP BY day, file""",
     "geo_enrichment": """
@@ -433,7 +452,7 @@ ORACLE = {
         SELECT l_orderkey AS order_id, count(*) AS line_count, min(l_partkey) AS min_product_id, max(l_partkey) AS max_product_id,
                CAST(min(l_shipdate) AS DATE) AS min_ship_date, CAST(max(l_shipdate) AS DATE) AS max_ship_date
         FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 1 OR count(DISTINCT l_shipdate) > 1""",
-    "secret_scan": " UNION ALL ".join(_scan(r) for r in [*P.SECRET_RULES, P.HEX_TOKEN_RULE]),
+    "secret_scan": " UNION ALL ".join(_scan(*rule) for rule in _SECRETS),
     "link_integrity": f"""
         WITH links AS ({_LINKS})
         SELECT page_id, link, target FROM links WHERE target NOT IN (SELECT {_PATH} FROM pages)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +24,11 @@ from millrace.plans.pipeline import run_in_shared_dir
 from millrace.session import tune
 from millrace.sources.bronze import watermark_slice
 from millrace.sources.contracts import field_drift
-from millrace.sources.files import file_inventory
 from millrace.sources.tables import written
 
 Query = Callable[[Source], DataFrame]
 
 FULL_YEARS = (1995, 2000)
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 BOUNDARY = "1999-01-01"
 
 
@@ -54,7 +53,7 @@ def standardise_customer(s: Source) -> DataFrame:
 
 
 def soft_dq(s: Source) -> DataFrame:
-    lines = s.line_columns().join(s.headers().select("order_id", "order_date"), "order_id")
+    lines = s.line_columns().join(s.headers().select("order_id", "order_date"), "order_id", "left")
     late = R.soft_date_defect(F.col("order_date"), F.col("ship_date"))
     return lines.select(*LINE_KEY, "order_date", "ship_date", late.alias("soft_date"))
 
@@ -65,6 +64,31 @@ def eligibility(s: Source) -> DataFrame:
     )
 
 
+def soft_amount(s: Source) -> DataFrame:
+    """Lines whose amount is more than 20,000 away from quantity times list price."""
+    price = s.table("part").select(F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("price"))
+    priced = s.line_columns().join(price, "product_id", "left")
+    odd = R.soft_amount_defect(F.col("amount"), F.col("quantity"), F.col("price"), tolerance="20000.00")
+    return priced.select(*LINE_KEY, "product_id", odd.alias("soft_amount"))
+
+
+def version_keys(s: Source) -> DataFrame:
+    """Versions and distinct version keys of each history; a difference would be a collision."""
+    histories = {
+        "customer": s.customer_history(),
+        "product": s.product_history(),
+        "location": s.location_history(),
+        "status": s.status_history(),
+    }
+    counts = [
+        h.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("version_key").alias("version_keys")).select(
+            F.lit(name).alias("history"), "versions", "version_keys"
+        )
+        for name, h in histories.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def event_delay(s: Source) -> DataFrame:
     return event_fact(s.status_events()).select(
         "event_id", "entity_id", "status", "delay_seconds", (F.col("delay_seconds") >= 3600).alias("is_late")
@@ -77,11 +101,13 @@ def delivery_days(s: Source) -> DataFrame:
 
 def hard_dq_anti(s: Source) -> DataFrame:
     orders = s.headers().select("order_id", "customer_id")
-    lines = s.line_columns().select(*LINE_KEY, "product_id").join(orders, "order_id")
-    customers = missing_references(lines, s.customers(), "customer_id", "unknown_customer")
+    bare = s.line_columns().select(*LINE_KEY, "product_id")
+    lines = bare.join(orders, "order_id")
+    orphans = missing_references(bare, orders, "order_id", "unknown_order").withColumn("customer_id", F.lit(None).cast("bigint"))
+    customers = missing_references(lines, s.customers().where("registered"), "customer_id", "unknown_customer")
     products = missing_references(lines, s.products(), "product_id", "unknown_product")
     columns = [*LINE_KEY, "customer_id", "product_id", "failed_rule"]
-    return customers.select(*columns).unionByName(products.select(*columns))
+    return orphans.select(*columns).unionByName(customers.select(*columns)).unionByName(products.select(*columns))
 
 
 # -- history -------------------------------------------------------------------------------------
@@ -128,12 +154,13 @@ def scd2_late_insert(s: Source) -> DataFrame:
 
 
 def reference_asof(s: Source) -> DataFrame:
-    """Large payments refresh a reference file of their kind; order days ask for the coherent set."""
-    snapshots = s.table("events").where("value >= 200").select(
+    """Each event refreshes the reference file of its kind; event days ask for the coherent set."""
+    snapshots = s.table("events").select(
         F.col("event_type").alias("file"), F.to_date("ts").alias("as_of"), F.col("event_id").alias("snapshot_id")
     )
+    files = sorted(r[0] for r in snapshots.select("file").distinct().collect())  # kinds of files, a handful
     days = s.table("events").select(F.to_date("ts").alias("day"))
-    return latest_reference_as_of(snapshots, days, EVENT_TYPES, "file", "as_of", "snapshot_id", "day")
+    return latest_reference_as_of(snapshots, days, files, "file", "as_of", "snapshot_id", "day")
 
 
 def geo_enrichment(s: Source) -> DataFrame:
@@ -493,16 +520,13 @@ def file_rules(s: Source) -> DataFrame:
     return textscan.file_rules(inventory, P.FilePolicy(["es"], [".html"], 10_000))
 
 
-def inventory(s: Source) -> DataFrame:
-    files = textscan.file_rules(file_inventory(s.spark, s.sf_dir))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "verdict")
-
-
 QUERIES: dict[str, Query] = {
     "dedup_lines": dedup_lines,
     "standardise_customer": standardise_customer,
     "soft_dq": soft_dq,
     "eligibility": eligibility,
+    "soft_amount": soft_amount,
+    "version_keys": version_keys,
     "event_delay": event_delay,
     "delivery_days": delivery_days,
     "hard_dq_anti": hard_dq_anti,
@@ -553,7 +577,6 @@ QUERIES: dict[str, Query] = {
     "link_integrity": link_integrity,
     "link_targets": link_targets,
     "file_rules": file_rules,
-    "file_inventory": inventory,
     "published_daily_sales": published_daily_sales,
     "published_shipping_sla": published_shipping_sla,
 }

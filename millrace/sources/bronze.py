@@ -31,7 +31,7 @@ CONFIG_SCHEMA = (
 )
 MANIFEST_SCHEMA = (
     "batch_id string, object_name string, strategy string, lower_bound string, upper_bound string, "
-    "row_count bigint, committed_at timestamp"
+    "row_count bigint, committed_at timestamp, fingerprint string"
 )
 LINEAGE = ["batch_id", "source_object", "ingest_ts"]
 
@@ -78,6 +78,11 @@ def committed_bound(spark: SparkSession, root: str, object_name: str) -> str | N
     return mine.agg(F.max(F.col("upper_bound").cast("timestamp_ntz")).cast("string")).first()[0]
 
 
+def last_fingerprint(spark: SparkSession, root: str, object_name: str) -> str | None:
+    mine = manifests(spark, root).where(F.col("object_name") == object_name)
+    return mine.agg(F.max_by("fingerprint", "committed_at")).first()[0]
+
+
 def in_bounds(df: DataFrame, stamp: str, lower: str | None, upper: str, overlap_seconds: int = 0) -> DataFrame:
     """Rows in ``(lower, upper]``; literals of the column's own type, so the scan takes the filter.
 
@@ -100,6 +105,34 @@ def watermark_slice(df: DataFrame, stamp: str, lower: str | None, overlap_second
     return in_bounds(df, stamp, lower, upper, overlap_seconds)
 
 
+def not_yet_landed(
+    spark: SparkSession, root: str, object_name: str, source: DataFrame, stamp: str, lower: str, upper: str, overlap_seconds: int
+) -> DataFrame:
+    """Rows above the bound, and those within the overlap or on the bound itself that no batch holds yet.
+
+    A source may show a row after one with the same or a later stamp was read. The rows that may have
+    been read already are compared with Bronze as a whole, copies counted.
+    """
+    kind = source.schema[stamp].dataType
+    start = (F.lit(lower).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(overlap_seconds))).cast(kind)
+    at, bound = F.col(stamp), F.lit(lower).cast(kind)
+    batches = manifests(spark, root).where(F.col("object_name") == object_name).select("batch_id").distinct()
+    landed = read_batches(spark, root, object_name, [r.batch_id for r in batches.collect()])
+    newer = source.where((at > bound) & (at <= F.lit(upper).cast(kind)))
+    edge = source.where((at >= start) & (at <= bound))
+    known = [c for c in source.columns if c in landed.columns]
+    missing = [F.lit(None).cast(source.schema[c].dataType).alias(c) for c in source.columns if c not in known]
+    held = landed.where((at >= start) & (at <= bound)).select(*[F.col(c).cast(source.schema[c].dataType) for c in known], *missing)
+    return newer.unionByName(edge.exceptAll(held.select(*source.columns)))
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """Identity of a table's content, whatever the order of its rows."""
+    total = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))
+    count, value = rows.agg(F.count(F.lit(1)), total.cast("string")).first()
+    return f"{count}:{value}"
+
+
 # -- landing -------------------------------------------------------------------------------------
 
 
@@ -124,7 +157,11 @@ def ingest(
     contract: T.StructType | None = None,
     overlap_seconds: int = 0,
 ) -> str | None:
-    """Copy one object and commit its batch. Returns the batch id, or None without new rows."""
+    """Copy one object and commit its batch. Returns the batch id, or None without new rows.
+
+    A snapshot is new if its content differs from that of the last committed one, whatever its stamps say.
+    The batch id depends on the committed state alone, so a retry replaces its own partial rows.
+    """
     if contract is not None:
         drift = check_contract(spark, source.schema, contract)
         append_entry(drift.where("drift <> 'SAME'").withColumn("object_name", F.lit(obj.object_name)), f"{root}/control/drift")
@@ -132,28 +169,50 @@ def ingest(
 
     lower = committed_bound(spark, root, obj.object_name)
     upper = newest(source.select(obj.stamp), obj.stamp)
-    if upper is None or (lower is not None and _not_after(spark, upper, lower)):
+    if upper is None:
         return None
+    if lower is not None and obj.strategy == WATERMARK and _not_after(spark, upper, lower):
+        upper = lower
+    content = None
     if obj.strategy == WATERMARK:
-        rows, identity = in_bounds(source, obj.stamp, lower, upper, overlap_seconds), lower
+        if lower is None:
+            rows = in_bounds(source, obj.stamp, lower, upper)
+        else:
+            rows = not_yet_landed(spark, root, obj.object_name, source, obj.stamp, lower, upper, overlap_seconds)
     elif obj.strategy == SNAPSHOT:
-        rows, identity = source, upper
+        # rows that appear between the bound and the copy belong to the next snapshot
+        rows = source.where(F.col(obj.stamp).isNull() | (F.col(obj.stamp) <= F.lit(upper).cast(source.schema[obj.stamp].dataType)))
+        content = fingerprint(rows)
+        if content == last_fingerprint(spark, root, obj.object_name):
+            return None
     else:
         raise ValueError(f"unknown load strategy {obj.strategy}")
-
-    batch = spark.range(1).select(batch_id(obj.object_name, F.lit(identity))).first()[0]
     expected = rows.count()
+    if not expected:
+        return None
+
+    before = manifests(spark, root).where(F.col("object_name") == obj.object_name).count()
+    identity = F.concat_ws("#", F.lit(lower), F.lit(before).cast("string"))
+    batch = spark.range(1).select(batch_id(obj.object_name, identity)).first()[0]
     landed = land(spark, root, obj.object_name, batch, rows)
     if landed != expected:
         raise CopyMismatch(f"{obj.object_name}: {expected} source rows, {landed} landed")
-    commit(spark, root, batch, obj.object_name, obj.strategy, lower, upper, landed)
+    commit(spark, root, batch, obj.object_name, obj.strategy, lower, upper, landed, content)
     return batch
 
 
 def commit(
-    spark: SparkSession, root: str, batch: str, object_name: str, strategy: str, lower: str | None, upper: str, rows: int
+    spark: SparkSession,
+    root: str,
+    batch: str,
+    object_name: str,
+    strategy: str,
+    lower: str | None,
+    upper: str,
+    rows: int,
+    content: str | None = None,
 ) -> None:
-    entry = (batch, object_name, strategy, lower, upper, rows, datetime.now(timezone.utc))
+    entry = (batch, object_name, strategy, lower, upper, rows, datetime.now(timezone.utc), content)
     append_entry(spark.createDataFrame([entry], MANIFEST_SCHEMA), manifest_path(root))
 
 

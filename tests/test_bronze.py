@@ -41,6 +41,29 @@ def test_increments_commit_and_prune(spark, tmp_path):
     assert bronze.committed_batches(spark, root, "fact", ["unknown"]) is None
 
 
+def test_rows_that_show_up_late_are_landed_once(spark, tmp_path):
+    """On the bound itself without an overlap, below it with one, and also when nothing newer came."""
+    root = str(tmp_path)
+    bronze.ingest(spark, root, FACT, rows(spark, (1, 1), (2, 2)))
+    late = bronze.ingest(spark, root, FACT, rows(spark, (1, 1), (2, 2), (3, 2), (4, 1)))
+    assert [r.id for r in bronze.committed_batches(spark, root, "fact", [late]).collect()] == [3]
+    assert bronze.ingest(spark, root, FACT, rows(spark, (1, 1), (2, 2), (3, 2))) is None
+    window = bronze.ingest(spark, root, FACT, rows(spark, (1, 1), (2, 2), (3, 2), (3, 2), (4, 1)), overlap_seconds=5 * 86400)
+    assert sorted(r.id for r in bronze.committed_batches(spark, root, "fact", [window]).collect()) == [3, 4]
+    newer = bronze.ingest(spark, root, FACT, rows(spark, (2, 2), (5, 2), (6, 3)), overlap_seconds=86400)
+    assert sorted(r.id for r in bronze.committed_batches(spark, root, "fact", [newer]).collect()) == [5, 6]
+    assert len({late, window, newer}) == 3
+
+
+def test_changed_snapshot_with_the_same_stamp_is_loaded(spark, tmp_path):
+    root = str(tmp_path)
+    master = Row(object_name="master", strategy=bronze.SNAPSHOT, stamp="stamp")
+    batches = [bronze.ingest(spark, root, master, rows(spark, *state)) for state in ([(1, 1), (2, 1)], [(1, 1)], [(2, 1), (1, 1)])]
+    assert len(set(batches)) == 3 and None not in batches
+    assert bronze.ingest(spark, root, master, rows(spark, (1, 1), (2, 1))) is None
+    assert [bronze.committed_batches(spark, root, "master", [b]).count() for b in batches] == [2, 1, 2]
+
+
 def test_failed_copy_keeps_the_checkpoint_and_retry_replaces_the_batch(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     bronze.ingest(spark, root, FACT, rows(spark, (1, 1)))

@@ -1,6 +1,7 @@
 """Cases the golden fixture does not reach: transitions, staggered files, crashes and overlaps."""
 
 from decimal import Decimal
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,21 @@ from millrace.operators.dedup import upsert
 from millrace.plans import gold
 from millrace.plans.gold import AuditFailed, SchemaMismatch
 from millrace.plans.measures import measures, prior_year_dates
-from millrace.plans.retail import SALES_COLUMNS
+from millrace.plans.retail import SALES_COLUMNS, conform
 from millrace.sources import bronze
-from tests.lakehouse import BASELINE_LINES, CUSTOMER, CUSTOMER_JAN, SALES, Lakehouse, at, day, line, load_baseline
+from tests.lakehouse import (
+    BASELINE_LINES,
+    CUSTOMER,
+    CUSTOMER_JAN,
+    CUSTOMER_MAR,
+    PRODUCT_MAR,
+    SALES,
+    Lakehouse,
+    at,
+    day,
+    line,
+    load_baseline,
+)
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -127,6 +140,28 @@ def test_failing_transform_changes_nothing(house):
     assert house.silver.version() == 1 and stored(house) == [1, 2]
 
 
+def test_reference_loaded_again_for_the_same_date(house):
+    """The newer load counts, and a rebuild gives what the increments gave."""
+    load_baseline(house)
+    house.arrive("geography", [("P1", "York", "UK", day(1, 1), at(1, 1))])
+    house.run()
+    house.arrive("geography", [("P1", "Bath", "UK", day(1, 1), at(1, 2))])
+    house.run()
+    assert house.publish() == 1
+    cities = {r.city for r in house.gold.read("fact_sales").collect()}
+    house.run(mode="baseline")
+    house.publish()
+    assert cities == {r.city for r in house.gold.read("fact_sales").collect()} == {"Bath"}
+
+
+def test_masters_that_start_after_the_first_orders(house):
+    house.arrive("customer_master", [CUSTOMER_MAR])
+    house.arrive("product_master", [PRODUCT_MAR])
+    house.arrive("sales_order_line", BASELINE_LINES)
+    house.run(partial(conform, open_first="1900-01-01"))
+    assert {r.region for r in house.accepted().values()} == {"south"} and len(house.accepted()) == 2
+
+
 def test_gold_is_refused_or_published_whole(house, monkeypatch):
     """A failed audit or a changed schema leaves the served version in place."""
     load_baseline(house)

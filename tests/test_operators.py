@@ -231,6 +231,15 @@ def test_links(spark):
     assert [r.link for r in textscan.dead_links(links, known).collect()] == ["gone.md"]
 
 
+def test_relative_links(spark):
+    pages = [("docs/a.md", "[x](b.md) [y](../README.md) [z](./sub/../c.md) [r](/d.md) [o](../../out.md)"), ("README.md", "[x](docs/a.md) [n](a.md)")]
+    links = textscan.local_links(spark.createDataFrame(pages, "path string, text string"), "path", "text")
+    links = links.withColumn("target", textscan.from_page(F.col("path"), F.col("target")))
+    assert [r.target for r in links.collect()] == ["docs/b.md", "README.md", "docs/c.md", "d.md", "../out.md", "docs/a.md", "a.md"]
+    known = spark.createDataFrame([("docs/a.md",), ("docs/b.md",), ("README.md",), ("docs/c.md",), ("d.md",)], "target string")
+    assert sorted(r.link for r in textscan.dead_links(links, known).collect()) == ["../../out.md", "a.md"]
+
+
 @pytest.fixture
 def eager_skew_handling(spark):
     """Thresholds low enough for a small hot key, and no broadcast that would hide it."""
