@@ -7,7 +7,7 @@ increasing subsequence of anchors is kept, and the gaps between them are aligned
 of the template's words that are matched; a place counts from ``LEAST_COVERAGE`` on.
 
 Defined cases: a null or empty text has no words and no matches; a text with the same notice twice has two matches; of templates that
-overlap in a place the one with the larger coverage counts, then the longer one, then the first by name; rows without id and repeated
+overlap in a place the one with more matched words counts, then the larger coverage, then the first by name; rows without id and repeated
 rows are scanned like any others; an empty table gives no rows; other columns are not read.
 """
 
@@ -180,7 +180,7 @@ def scan_words(words: list[str], templates: list[Template], vocabulary: frozense
                 found.append(Match(template.name, coverage, start + pairs[0][1], start + pairs[-1][1] + 1))
     lengths = {t.name: len(t.words) for t in templates}
     kept: list[Match] = []  # by start, without overlaps
-    for match in sorted(found, key=lambda m: (-m.coverage, -lengths[m.name], m.name, m.start)):
+    for match in sorted(found, key=lambda m: (-round(m.coverage * lengths[m.name]), -m.coverage, m.name, m.start)):
         at = bisect_left(kept, match.start, key=lambda k: k.start)
         free_before = at == 0 or kept[at - 1].end <= match.start
         free_after = at == len(kept) or match.end <= kept[at].start
