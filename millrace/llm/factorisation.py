@@ -187,8 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...], documen
     rows = chosen.mapInArrow(run, "doc_id bigint, label double, indices array<bigint>, values array<double>").toArrow().sort_by([("doc_id", "ascending")])
     if not rows.num_rows:
         return None
-    found = [(np.array(i), np.array(v)) for i, v in zip(rows["indices"].to_pylist(), rows["values"].to_pylist(), strict=True)]
-    return fit(found, rows["label"].to_numpy(), STATISTICS + len(metadata))
+    found = zip(_parts(rows["indices"]), _parts(rows["values"]), strict=True)
+    return fit(list(found), rows["label"].to_numpy(), STATISTICS + len(metadata))
+
+
+def _parts(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as views of one array."""
+    whole = pa.concat_arrays(lists.chunks)
+    offsets = whole.offsets.to_numpy()
+    flat = whole.values.to_numpy()
+    return [flat[start:stop] for start, stop in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 SCORE_SCHEMA = "doc_id bigint, score double"
