@@ -223,4 +223,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(labelled_statistics(materialise(with_statistics(docs)), labels))
     row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
     judged = verdicts(with_statistics(row, keep=("row",)), rules)
-    return judged.filter("kept").select("row.*")
+    # A filter would be pushed below the statistics and repeat their expressions once per word; a generator is not.
+    kept = F.explode(F.when(F.col("kept"), F.array("row")))
+    return judged.select(kept.alias("row")).select("row.*")
