@@ -306,6 +306,18 @@ def shared_units(packed: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, UNIT_SCHEMA).distinct()
 
 
+def joined_units(units: DataFrame) -> DataFrame:
+    """Units whose first member belongs to a smaller one go into that one as a whole.
+
+    The signatures of a group of near copies have different smallest members, most of which are found in the unit
+    of the smallest of all. A unit moves once and in one piece, so members stay together.
+    """
+    own = units.filter("NOT frequent")
+    home = own.groupBy("instance", F.col("doc_id").alias("unit")).agg(F.min("unit").alias("home"))
+    moved = own.join(home, ["unit", "instance"], "left").select(F.coalesce("home", "unit").alias("unit"), "instance", "frequent", "doc_id")
+    return moved.distinct().unionByName(units.filter("frequent"))
+
+
 _KEY = ["unit", "instance", "frequent", "block"]
 
 
@@ -471,7 +483,7 @@ def linked_components(
     shingles = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(shingles * 3 / 4 / bucket_signatures))
     packed = signed_buckets(docs, id_col, text_col, buckets, frequent)
-    units = materialise(shared_units(packed, buckets))
+    units = materialise(joined_units(materialise(shared_units(packed, buckets))))
     members = materialise(in_clusters(close_members(units, profile, unit_docs), unit_docs))
     edges = links(members, docs, id_col, text_col, broadcast_ids)
     first = equal_sets(profile)
