@@ -1,10 +1,11 @@
 """License scan by patience alignment.
 
-Words that tell a template from prose mark where it may stand in a text. Such a place is a run of marks without long gaps in
-which no mark is more frequent than in the template, so that repeated notices are separate places. At each place the template is
-aligned to the words: equal words at both ends are matched, words that are unique on both sides are anchors, the longest
-increasing subsequence of anchors is kept, and the gaps between them are aligned in the same way. The coverage is the share
-of the template's words that are matched; a place counts from ``LEAST_COVERAGE`` on.
+Words that tell a template from prose mark where it may stand in a text. Where enough of them follow each other without long
+gaps, each smallest range with so many words of the template in order that they reach ``LEAST_COVERAGE`` is a place; whatever stands
+before it, such as a title or a copyright line, does not count against it, and repeated notices are separate places. At each place, and
+at the place with the words the template has before and after it, the template is aligned to the words: equal words at both ends are matched,
+words that are unique on both sides are anchors, the longest increasing subsequence of anchors is kept, and the gaps between them are aligned
+in the same way. The coverage is the share of the template's words that are matched; a place counts from ``LEAST_COVERAGE`` on.
 
 Defined cases: a null or empty text has no words and no matches; a text with the same notice twice has two matches; of templates that
 overlap in a place the one with more matched words counts, then the larger coverage, then the first by name; rows without id and repeated
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import text_of
 
 LEAST_COVERAGE = 0.75
-#: Words without a mark that end a place.
+#: Words without a mark that end a place, unless the template itself has longer stretches once the marks it can spare are lost.
 LONGEST_GAP = 12
 
 # Texts of public license notices.
@@ -80,6 +81,8 @@ class Template(NamedTuple):
     name: str
     words: tuple[str, ...]
     marks: Counter
+    bits: dict[str, int]  # the places of each word in the template, as bits
+    back: dict[str, int]  # the same from its end
 
 
 class Match(NamedTuple):
@@ -97,7 +100,12 @@ def prepared(templates: dict[str, str]) -> list[Template]:
     made = []
     for name, text in sorted(templates.items()):
         words = tuple(words_of(text))
-        made.append(Template(name, words, Counter(w for w in words if w not in COMMON)))
+        bits: Counter = Counter()
+        back: Counter = Counter()
+        for i, word in enumerate(words):
+            bits[word] |= 1 << i
+            back[word] |= 1 << len(words) - 1 - i
+        made.append(Template(name, words, Counter(w for w in words if w not in COMMON), dict(bits), dict(back)))
     return made
 
 
@@ -146,25 +154,73 @@ def align(left: tuple[str, ...] | list[str], right: tuple[str, ...] | list[str])
     return sorted(matched)
 
 
-def places(template: Template, hits: list[tuple[int, str]], n_words: int) -> Iterator[tuple[int, int]]:
-    """Ranges of words in which the template may stand, from the positions of its marks."""
-    first = next((i for i, w in enumerate(template.words) if w in template.marks), 0)
-    last = next((i for i, w in enumerate(reversed(template.words)) if w in template.marks), 0)
-    run: list[int] = []
-    seen: Counter = Counter()
-
-    def closed() -> Iterator[tuple[int, int]]:
-        if 2 * len(seen) >= len(template.marks):
-            yield max(0, run[0] - first), min(n_words, run[-1] + 1 + last)
-
-    for position, word in hits:
-        if run and (position - run[-1] > LONGEST_GAP or seen[word] >= template.marks[word]):
-            yield from closed()
-            run, seen = [], Counter()
-        run.append(position)
-        seen[word] += 1
-    if run:
-        yield from closed()
+def _windows(template: Template, words: list[str], start: int, end: int, need: int) -> Iterator[tuple[int, int]]:
+    """The smallest ranges within ``start`` and ``end`` that hold ``need`` words of the template in order, by their start.
+
+    Each range that reaches the coverage contains one. The length of the longest common subsequence is kept in the bits of a number.
+    """
+    bits, full = template.bits, (1 << len(template.words)) - 1
+    spots = [(i, bits[words[i]], template.back[words[i]]) for i in range(start, end) if words[i] in bits]
+    at = 0
+    while True:
+        row = full
+        for to in range(at, len(spots)):
+            same = row & spots[to][1]
+            row = ((row + same) | (row - same)) & full
+            if same and len(template.words) - row.bit_count() >= need:
+                break
+        else:
+            return
+        row = full
+        for at in range(to, -1, -1):
+            same = row & spots[at][2]
+            row = ((row + same) | (row - same)) & full
+            if same and len(template.words) - row.bit_count() >= need:
+                break
+        yield spots[at][0], spots[to][0] + 1
+        at += 1
+
+
+def places(template: Template, hits: list[tuple[int, str]], words: list[str], need: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words in which ``need`` words of the template stand in order, from the positions of its marks."""
+    size, marks = len(template.words), template.marks.total()
+    least = max(1, need - (size - marks))  # marks among as many words
+    # with all other marks lost, the others may stand so far apart
+    spots = [-1, *(i for i, w in enumerate(template.words) if w in template.marks), size]
+    lost = marks - least
+    reach = max([LONGEST_GAP, *(j - i for i, j in zip(spots, spots[lost + 1 :], strict=False))])
+    longest = max(marks * (LONGEST_GAP + 1), 2 * size) + 2 * reach
+    i = 0
+    while i < len(hits):
+        k = i + 1
+        while k < len(hits) and hits[k][0] - hits[k - 1][0] <= reach:
+            k += 1
+        start, end = max(0, hits[i][0] - reach), min(len(words), hits[k - 1][0] + 1 + reach)
+        # a long chain of marks is searched in parts that overlap, so that each place is whole in one of them
+        for low in range(start, max(start + 1, end - longest), longest):
+            high = min(end, low + 2 * longest)
+            held = Counter(word for _, word in hits[bisect_left(hits, (low, ""), i, k) : bisect_left(hits, (high, ""), i, k)])
+            if (held & template.marks).total() >= least:
+                yield from _windows(template, words, low, high, need)
+        i = k
+
+
+def matches(template: Template, hits: list[tuple[int, str]], words: list[str], least: float) -> Iterator[Match]:
+    """Alignments at the places of a template, each also with the words that the template has before and after it."""
+    size = len(template.words)
+    need = next((n for n in range(size + 1) if n / size >= least), size + 1)
+    tried: set[tuple[int, int]] = set()
+    for place in places(template, hits, words, need):
+        start, end = place
+        pairs = align(template.words, words[start:end])
+        wider = (max(0, start - pairs[0][0]), end + size - 1 - pairs[-1][0]) if pairs else place
+        for start, end in dict.fromkeys((place, wider)):
+            if (start, end) in tried:
+                continue
+            tried.add((start, end))
+            pairs = pairs if (start, end) == place else align(template.words, words[start:end])
+            if len(pairs) >= need:
+                yield Match(template.name, len(pairs) / size, start + pairs[0][1], start + pairs[-1][1] + 1)
 
 
 def scan_words(words: list[str], templates: list[Template], vocabulary: frozenset[str], least: float = LEAST_COVERAGE) -> list[Match]:
@@ -173,11 +229,8 @@ def scan_words(words: list[str], templates: list[Template], vocabulary: frozense
     found: list[Match] = []
     for template in templates if marked else ():
         hits = [(i, w) for i, w in marked if w in template.marks]
-        for start, end in places(template, hits, len(words)):
-            pairs = align(template.words, words[start:end])
-            coverage = len(pairs) / len(template.words)
-            if coverage >= least:
-                found.append(Match(template.name, coverage, start + pairs[0][1], start + pairs[-1][1] + 1))
+        if hits:
+            found += matches(template, hits, words, least)
     lengths = {t.name: len(t.words) for t in templates}
     kept: list[Match] = []  # by start, without overlaps
     for match in sorted(found, key=lambda m: (-round(m.coverage * lengths[m.name]), -m.coverage, m.name, m.start)):

@@ -96,3 +96,40 @@ def test_defined_cases(spark, few_partitions):
     got = sorted(((r.doc_id, r.n_words, len(r.matches)) for r in lic.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
     assert got == sorted([(1, 0, 0), (2, 0, 0), (None, 5, 1), (3, 5, 1), (3, 5, 1), (4, 15_000, 3000), (5, 200_005, 1)], key=str)
     assert lic.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_what_stands_before_a_notice_does_not_cut_it():
+    before = [
+        "Copyright (c) 2020 Jane Doe",
+        "Copyright (c) 2020, Jane Doe. All rights reserved.",
+        "Apache License.",
+        "MIT License.",
+        "The ISC License (ISC)",
+        "BSD 2-Clause License",
+        "GNU General Public License, version 3",
+        "All copies of this software keep the copyright notice, the license and the disclaimer, and this permission notice.",
+    ]
+    for name, text in lic.TEMPLATES.items():
+        size = len(lic.words_of(text))
+        for line in before:
+            at = len(lic.words_of(line))
+            assert scan(f"{line} {text}") == [(name, 1.0, at, at + size)], (name, line)
+        for line in before[:2]:
+            assert [m.name for m in scan(f"{line} {text} {line} {text}")] == [name] * 2, (name, line)
+
+
+def test_every_range_that_reaches_the_coverage_holds_a_place():
+    rnd = random.Random(4)
+    (isc,) = (t for t in READY if t.name == "isc")
+    need, reached = 26, 0
+    for _ in range(60):
+        kept = [w if rnd.random() < 0.85 else rnd.choice(isc.words) for w in isc.words]
+        words = [*rnd.choices(isc.words, k=5), *kept, *rnd.choices(isc.words, k=5)]
+        hits = [(i, w) for i, w in enumerate(words) if w in isc.marks]
+        found = list(lic.places(isc, hits, words, need))
+        for start in range(len(words)):
+            for end in range(start + need, len(words) + 1):
+                if len(lic.align(isc.words, words[start:end])) >= need:
+                    reached += 1
+                    assert any(start <= s and e <= end for s, e in found)
+    assert reached > 1000
