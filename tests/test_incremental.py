@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators.dedup import upsert
 from millrace.plans import gold
+from millrace.plans.binding import Source
 from millrace.plans.gold import AuditFailed, SchemaMismatch
 from millrace.plans.measures import measures, prior_year_dates
+from millrace.plans.pipeline import source_object
 from millrace.plans.retail import SALES_COLUMNS, conform
 from millrace.sources import bronze
 from tests.lakehouse import (
@@ -19,6 +21,7 @@ from tests.lakehouse import (
     CUSTOMER_MAR,
     PRODUCT_MAR,
     SALES,
+    SCHEMAS,
     Lakehouse,
     at,
     day,
@@ -208,3 +211,23 @@ def test_leap_day_counts_once(spark):
     row = measures(sales, orders, dates=dates).first()
     assert (row.gross_booked_sales, row.prior_year_gross_booked_sales, row.gross_booked_sales_yoy) == (5.0, 10.0, -0.5)
     assert measures(sales, orders).first().prior_year_gross_booked_sales is None
+
+
+def test_all_customers_are_landed_and_the_flag_rejects(house, sf_small, monkeypatch):
+    given = Source(house.spark, sf_small)
+    landed = source_object(given, "customer_master")
+    assert landed.count() == given.table("customer").count()
+    want = {r.customer_id for r in given.customers().where("not registered").collect()}
+    assert want == {r.customer_id for r in landed.where("not registered").collect()} and want
+
+    load_baseline(house)  # a source without the column states nothing
+    house.arrive("sales_order_line", [line(7, 6, 2, day(1, 10), 1, "5.00", "5.00", at(3, 1)), line(8, 7, 2, day(3, 10), 1, "6.00", "6.00", at(3, 10))])
+    monkeypatch.setitem(SCHEMAS, "customer_master", (f"{CUSTOMER}, registered boolean", bronze.SNAPSHOT))
+    house.arrive("customer_master", [(1, "Ada", "north", "P1", at(1, 1), True), (2, "Cy", "east", "P1", at(1, 1), False)])
+    house.run()
+    assert set(house.accepted()) == {1, 2}
+    assert {k: r.failed_rules for k, r in house.rejected().items()} == {7: ["unknown_customer"], 8: ["unknown_customer"]}
+
+    house.arrive("customer_master", [(1, "Ada", "north", "P1", at(3, 1), True), (2, "Cy", "east", "P1", at(3, 1), True)])
+    house.run()
+    assert set(house.accepted()) == {1, 2, 8} and set(house.rejected()) == {7}
