@@ -115,6 +115,12 @@ def from_page(page: Column, target: Column) -> Column:
     return F.array_join(F.aggregate(F.split(whole, "/"), none, lambda path, part: F.when(F.size(path) >= 0, step(path, part))), "/")
 
 
+def address(page: Column, target: Column) -> Column:
+    """``from_page`` for web addresses, where a folder differs from a file and an empty target is the page itself."""
+    meant = F.when(target == "", page).otherwise(target)
+    return F.concat(from_page(page, meant), F.when(meant.rlike(r"(?:^|/)\.{0,2}$"), "/").otherwise(""))
+
+
 def dead_links(links: DataFrame, known: DataFrame, target: str = "target") -> DataFrame:
     """Links whose target is not among the known ones."""
     return links.join(known.select(target), target, "left_anti")

@@ -495,10 +495,12 @@ def secret_scan(s: Source) -> DataFrame:
 
 
 def link_integrity(s: Source) -> DataFrame:
-    pages = s.table("pages")
-    links = textscan.local_links(pages, "page_id", "html", P.HTML_LINK)
-    known = pages.select(textscan.url_path(F.col("url")).alias("target"))
-    return textscan.dead_links(links, known).select("page_id", "link", "target")
+    """Local links, seen from their page, that lead to none of the pages."""
+    pages = s.table("pages").select("page_id", "html", textscan.url_path(F.col("url")).alias("path"))
+    links = textscan.local_links(pages.withColumn("page", F.struct("page_id", "path")), "page", "html", P.HTML_LINK)
+    linked = links.select("page.page_id", "link", "target", textscan.address(F.col("page.path"), F.col("target")).alias("address"))
+    known = pages.select(textscan.address(F.col("path"), F.col("path")).alias("address"))
+    return textscan.dead_links(linked, known, "address").select("page_id", "link", "target")
 
 
 def link_targets(s: Source) -> DataFrame:

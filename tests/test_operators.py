@@ -15,6 +15,8 @@ from millrace.operators.dedup import latest_per_key
 from millrace.operators.enrich import enrich, missing_references, with_presence
 from millrace.operators.history import scd2, scd2_merge, snapshot_diff
 from millrace.operators.status import current_status, event_fact
+from millrace.plans import registry
+from millrace.plans.binding import Source
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -240,6 +242,14 @@ def test_relative_links(spark):
     assert sorted(r.link for r in textscan.dead_links(links, known).collect()) == ["../../out.md", "a.md"]
 
 
+def test_link_integrity_sees_links_from_their_page(spark, tmp_path):
+    html = "".join(f'<a href="{t}">x</a>' for t in ("b.html", "../c.html", "./d/", "/a/b.html", "gone.html", "../../out.html", "d", "/", "../c%2Ehtml#top"))
+    pages = [(1, "https://e.org/a/a.html", html), (2, "https://e.org/a/b.html", ""), (3, "https://e.org/c.html?q", '<a href="b.html">x</a><a href="a/b.html">x</a>'), (4, "https://e.org/a/d/", ""), (5, "https://e.org", "")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = registry.link_integrity(Source(spark, str(tmp_path))).collect()
+    assert sorted((r.page_id, r.link, r.target) for r in found) == [(1, t, t) for t in ("../../out.html", "d", "gone.html")] + [(3, "b.html", "b.html")]
+
+
 @pytest.fixture
 def eager_skew_handling(spark):
     """Thresholds low enough for a small hot key, and no broadcast that would hide it."""
