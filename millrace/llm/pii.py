@@ -62,6 +62,8 @@ CUES = "mail|contact|write|reach|call|phone|tel|mobile|fax|card|visa|credit|host
 COUNTER_CUES = "version|isbn|issn|page|pages|chapter|section|figure|fig|table|order|item|part|price|total|volume|vol|no|doi"
 
 CONTEXT_CHARS = 32
+BLOCK_CHARS = 1024
+SPANS = "array<struct<start:bigint,end:bigint,rank:int>>"
 LABELERS = ("check", "gazetteer", "cue", "counter_cue", "border", "digits")
 EM_ROUNDS = 50
 #: Log-odds from which a proposal of the other kinds is kept: nine to one.
@@ -296,37 +298,76 @@ def written_out(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _replacing(kind: int, tag: Column, classifier: Classifier) -> Callable[[Column], Column]:
-    def replaced(p: Column) -> Column:
+def _kept_spans(kind: int, rank: int, classifier: Classifier) -> Callable[[Column, Column], Column]:
+    """Step over the matches of a kind: where the last one ends, and the kept ones so far."""
+
+    def step(state: Column, p: Column) -> Column:
         before, after = F.right(p["piece"], F.lit(CONTEXT_CHARS)), F.left(F.coalesce(p["next"], F.lit("")), F.lit(1))
         if KINDS[kind].base:
             kept = is_valid(kind, p["match"])
         else:
             kept = classifier.odds(features(kind, p["match"], before, after)) >= KEEP_ODDS
-        return F.concat(p["piece"], F.when((p["match"] != "") & kept, tag).otherwise(p["match"]))
+        start = state["at"] + F.length(p["piece"])
+        end = start + F.length(p["match"])
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"))
+        return F.struct(end.alias("at"), F.when(kept, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    return step
+
 
-    return replaced
+def _united(spans: Column) -> Column:
+    """Sorted spans without overlaps: those that overlap become one, of the first kind among them."""
+
+    def step(state: Column, s: Column) -> Column:
+        joined = F.struct(state["open"]["start"].alias("start"), F.greatest(state["open"]["end"], s["end"]).alias("end"), F.least(state["open"]["rank"], s["rank"]).alias("rank"))
+        overlaps = s["start"] < state["open"]["end"]
+        return F.struct(
+            F.when(overlaps, state["done"]).otherwise(F.array_append(state["done"], state["open"])).alias("done"), F.when(overlaps, joined).otherwise(s).alias("open")
+        )
+
+    first = F.struct(F.array().cast(SPANS).alias("done"), F.get(spans, F.lit(0)).alias("open"))
+    rest = F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0)))
+    return F.aggregate(rest, first, step, lambda state: F.array_append(state["done"], state["open"]))
+
+
+def _cut(start: Column, end: Column) -> Column:
+    """Characters of the text from its blocks, so that a cut takes no longer for being far behind."""
+    first, last = F.floor(start / BLOCK_CHARS).cast("int"), F.floor(end / BLOCK_CHARS).cast("int")
+    near = F.array_join(F.slice("blocks", first + 1, last - first + 1), "")
+    return F.substring(near, (start % BLOCK_CHARS + 1).cast("int"), (end - start).cast("int"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents with personal data replaced by the name of its kind in brackets, with their own columns.
 
-    The classifier is trained as for ``spans``; the replacement itself is one map over the texts. Kinds are replaced one after
-    the other, the more specific first: what an earlier kind has replaced is no longer seen. A null text stays null.
+    The classifier is trained as for ``spans``; the replacement itself is one map over the texts. Spans of all kinds are found on
+    the original text; overlapping ones are replaced as one, by the most specific of their kinds. A null text stays null.
     """
     classifier = train(materialise(proposals(docs, id_col, text_col)))
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"), F.array().cast(SPANS).alias("spans"))
     none = F.array().cast("array<string>")
-    for kind in (0, 3, 1, 2, *range(len(BASE), len(KINDS))):
-        pattern, tag = KINDS[kind].pattern, F.lit(f"[{KINDS[kind].name.upper()}]")
+    order = (0, 3, 1, 2, *range(len(BASE), len(KINDS)))
+    for rank, kind in enumerate(order):
+        pattern = KINDS[kind].pattern
         present = F.contains("text", F.lit("@")) if kind == 0 else F.col("text").rlike(KINDS[kind].needs)
         rows = rows.withColumn("matches", F.when(present, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
         rows = rows.withColumn("pieces", F.when(F.size("matches") > 0, F.split("text", pattern, -1)).otherwise(none))
+        count = F.size("matches")
         zipped = F.arrays_zip(
-            F.col("pieces").alias("piece"), F.array_append("matches", F.lit("")).alias("match"), F.slice("pieces", 2, F.greatest(F.size("pieces"), F.lit(1))).alias("next")
+            F.slice("pieces", 1, count).alias("piece"), F.col("matches").alias("match"), F.slice("pieces", 2, count).alias("next")
         ).cast("array<struct<piece:string,match:string,next:string>>")
-
-        joined = F.array_join(F.transform(zipped, _replacing(kind, tag, classifier)), "")
-        rows = rows.select("row", F.when(F.size("matches") > 0, joined).otherwise(F.col("text")).alias("text"))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
+        kept = F.aggregate(zipped, start, _kept_spans(kind, rank, classifier), lambda state: state["spans"])
+        rows = rows.select("row", "text", F.when(count > 0, F.concat("spans", kept)).otherwise(F.col("spans")).alias("spans"))
+    some = F.size("spans") > 0
+    rows = rows.select("row", "text", F.when(some, _united(F.array_sort("spans"))).alias("spans"))
+    rows = rows.withColumn("blocks", F.when(F.col("spans").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))))
+    tags = F.array(*[F.lit(f"[{KINDS[kind].name.upper()}]") for kind in order])
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
+    rows = rows.withColumn("ends", F.when(F.col("spans").isNotNull(), ends))
+    replaced = F.transform("spans", lambda s, i: F.concat(_cut(F.get("ends", i), s["start"]), F.get(tags, s["rank"])))
+    tail = _cut(F.element_at("ends", -1), F.length("text").cast("long"))
+    text = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(replaced, ""), tail)).otherwise(F.col("text"))
+    rows = rows.select("row", text.alias("text"))
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])

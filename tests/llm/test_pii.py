@@ -121,6 +121,32 @@ def test_redaction_removes_all_base_spans(spark, few_partitions):
             assert rows[i] == text
 
 
+def test_redaction_replaces_overlapping_spans_as_one(spark, few_partitions):
+    far = "\U0001f600 " * 3000
+    cases = {
+        "4111 1111 1111 1111@example.com": "[EMAIL]",
+        "+49 170 1234567@example.com": "[EMAIL]",
+        "call +49 170 1234567@example.com, or 10.0.0.1@e.org and 4111 1111 1111 1111": "call [EMAIL], or [EMAIL] and [CARD]",
+        f"{far}4111 1111 1111 1111@example.com{far}a@b.org": f"{far}[EMAIL]{far}[EMAIL]",
+        "a@b.org c@d.org": "[EMAIL] [EMAIL]",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == dict(enumerate(cases.values()))
+
+
+def test_redaction_leaves_nothing_of_a_base_span(spark, few_partitions):
+    texts = noise(7, 200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        kept, at = "", 0
+        for start, _, end in base_spans(text):
+            kept, at = kept + text[at:max(at, start)], max(at, end)
+        rest = re.sub(r"\[[A-Z_]+\]", "", rows[i])
+        letters = iter(kept + text[at:])
+        assert all(c in letters for c in rest), (text, rows[i])
+
+
 def test_plans_are_native_and_empty_tables_work(spark, few_partitions):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.spans(empty).count() == 0 and pii.redact(empty).count() == 0
