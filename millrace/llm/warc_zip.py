@@ -1,6 +1,7 @@
 """WARC records in ZIP packages: written as stored members with an index, read back by ranges.
 
-A package is a ZIP archive with two stored members, ``archive/data.warc.gz`` and ``indexes/index.cdx``; each record is a gzip
+A package is a ZIP archive of stored members, as written ``archive/data.warc.gz`` and ``indexes/index.cdx``; all members below
+``archive/`` are read by all indexes below ``indexes/``, whose lines name them, and one without an index is an error. Each record is a gzip
 member of its own, so that any of them can be read alone. Sizes and offsets are always written in their ZIP64 form. The reader looks at the end of the file, follows the ZIP64 locator to the central directory, finds
 the members and reads single records by the byte ranges of the index. Nothing is extracted or read whole.
 
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
 
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+WARC_MEMBER, INDEX_MEMBER = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdx"
 #: Records of one reading task's unit of work.
 RANGE_RECORDS = 256
 GZIP_LEVEL = 6
@@ -156,6 +158,28 @@ class ZipReader:
             raise ValueError("no local header")
         return member.header_offset + LOCAL_SIZE + sum(struct.unpack_from("<HH", header, 26))
 
+    def below(self, folder: str) -> list[Member]:
+        return [m for m in self.members.values() if m.name.startswith(folder) and not m.name.endswith("/")]
+
+    def records(self) -> list[tuple[int, int]]:
+        """Places of all records, by every index; a line without a member's name means the only archive member."""
+        starts = {m.name: self.data_start(m) for m in self.below(ARCHIVES)}
+        found, indexed = [], set()
+        for index in self.below(INDEXES):
+            for line in self.range(self.data_start(index), index.size).decode().splitlines():
+                _, offset, size, *named = line.split(" ", 3)
+                if not named and len(starts) != 1:
+                    raise ValueError(f"{index.name} does not say which archive member it means")
+                name = named[0] if named else next(iter(starts))
+                if name not in starts:
+                    raise ValueError(f"{index.name} names {name}, which is not in the package")
+                indexed.add(name)
+                found.append((starts[name] + int(offset), int(size)))
+        for name in starts:
+            if self.members[name].size and name not in indexed:
+                raise ValueError(f"{name} has no index")
+        return found
+
 
 def warc_record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -252,7 +276,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, id_col="
                     record = gzip.compress(
                         warc_record(row["page_id"], row["url"], row["payload"], digest, row["refers_to"], revisit), GZIP_LEVEL, mtime=0
                     )
-                    index.append(f"{digest} {at} {len(record)}\n")
+                    index.append(f"{digest} {at} {len(record)} {WARC_MEMBER}\n")
                     at += len(record)
                     yield record
                 batch = next(batches, None)
@@ -285,13 +309,9 @@ def read_packages(packages: DataFrame, range_records: int = RANGE_RECORDS, paylo
                 system, name = opened(path)
                 with system.open_input_file(name) as file:
                     package = ZipReader(file)
-                    warc, index = package.members[WARC_MEMBER], package.members[INDEX_MEMBER]
-                    start = package.data_start(warc)
-                    lines = package.range(package.data_start(index), index.size).decode().splitlines()
-                for i in range(0, len(lines), range_records):
-                    places = [line.split(" ")[1:] for line in lines[i : i + range_records]]
-                    offsets = [start + int(offset) for offset, _ in places]
-                    sizes = [int(size) for _, size in places]
+                    places = package.records()
+                for i in range(0, len(places), range_records):
+                    offsets, sizes = zip(*places[i : i + range_records], strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path]), pa.array([offsets], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))],
                         names=["path", "offsets", "sizes"],

@@ -101,3 +101,25 @@ def test_damaged_payload_is_noticed():
 def test_empty_table(spark, tmp_path):
     packages = written(spark, tmp_path, [])
     assert packages.count() == 0 and w.read_packages(packages).count() == 0
+
+
+def test_all_archive_members_are_read_and_one_without_index_raises(spark, tmp_path, few_partitions):
+    def package(name, indexes):
+        records = {}
+        for i, member in enumerate(("archive/data.warc.gz", "archive/part-2.warc.gz")):
+            payload = f"page {i}".encode()
+            records[member] = gzip.compress(w.warc_record(i, f"u{i}", payload, w.base32_sha1(payload), None, False))
+        with open(tmp_path / name, "wb") as out:
+            writer = w.ZipWriter(out)
+            for member, record in records.items():
+                writer.member(member, iter([record]))
+            for index, member in indexes:
+                writer.member(index, iter([f"x 0 {len(records[member])} {member}\n".encode()]))
+            writer.finish()
+        return spark.createDataFrame([(f"{tmp_path}/{name}",)], "path string")
+
+    first, second = ("indexes/index.cdx", "archive/data.warc.gz"), ("indexes/part-2.cdx", "archive/part-2.warc.gz")
+    rows = w.read_packages(package("two.wacz", [first, second])).collect()
+    assert {r.page_id: bytes(r.payload) for r in rows} == {0: b"page 0", 1: b"page 1"}
+    with pytest.raises(Exception, match="part-2.warc.gz has no index"):
+        w.read_packages(package("lost.wacz", [first])).collect()
