@@ -13,7 +13,7 @@ from millrace.llm.common import materialise
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("low", "high").cast("long"))).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,25 +4,31 @@ Two texts link when the Jaccard similarity of their shingle sets is at least 3/4
 (a + b) / 7 members and neither is more than 4/3 of the other. Sizes are split into bands with that ratio; instance i of
 the scheme serves the bands i and i + 1, so every linking pair meets in one instance, which has a fixed bound k on the
 difference. The instance hashes the domain of shingles into first-level and second-level partitions and signs subsets of
-them: ``n1`` first-level partitions of which one holds at most ``k2`` of the k differences, and in it all
-subsets of the ``n2 - k2`` second-level partitions that may be free of them. Sets that link share a signature; nothing is missed.
+them: of ``n1`` first-level partitions one at least holds at most ``k2`` of the k differences, as ``n1 * (k2 + 1) > k``, and in it all
+subsets of ``n2 - k2`` of its ``n2`` second-level partitions are signed, one of which is free of them. Sets that link share a
+signature; nothing is missed. With k up to three there is one first-level partition; beyond, two of every three second-level ones are signed.
 
 1. One pass writes, per document, the size and a digest of its set and, for its two instances, the counts of its members per cell.
 2. A second pass emits signatures, packed per bucket, and finds in each bucket those that several documents share. The
    members of a signature become rows of a *unit*, named by the smallest member: as many rows as members, never pairs.
-   A signature frequent within one batch is dealt over several buckets and is a unit of its own.
+   A signature frequent within one batch is dealt over several buckets and is a unit of its own. From here on the smallest document of
+   each set stands for all its copies, so a group of copies is one member wherever it was signed.
 3. A unit's members are compared by cell counts, whose differences bound that of the sets from below; who is close to nobody leaves.
 4. The sets of the few remaining documents are computed again and compared exactly. Members that are close to each other in any unit
-   form a cluster; a cluster of up to ``unit_docs`` documents is compared as a whole, so each set is sent once. Larger clusters
-   are compared unit by unit, and units above that size are split into blocks of which every two are compared in a task of their own.
+   form a cluster; a cluster of up to ``unit_docs`` documents and ``unit_shingles`` members of their sets is compared as a whole, so each
+   set is sent once. Larger clusters are compared unit by unit, and units above these sizes are split into blocks of which every two are
+   compared in a task of their own.
    Each comparison gives the edges of a forest.
 5. Components over those edges and those between equal sets, by distributed star contraction.
 
-Copies of a set are signed once per task. A signature whose projection is empty is needed only by a set that fills no more
-partitions than it may have differences; only such sets emit those.
+Copies of a set are signed once per task. A first-level partition is strong if none of its subsets is empty. At most
+``D // (k2 + 1)`` partitions hold more than ``k2`` of a set's D possible differences, so a set with more strong partitions than that
+meets its partners in one of them. A set with fewer also signs under the next draw of the hash, as its partner then does unless it
+has enough itself; after ``DRAWS`` of them, which hardly a set needs, empty subsets are signed too.
 
 Defined cases: a null text has no words, hence an empty set, and links with nothing, as does any text without words; texts of one
-to four words have their whole sequence as one shingle; rows of equal id are one vertex; a row without id links with nothing and
+to four words have their whole sequence as one shingle; a very long text is hashed in segments and its set, of any size, takes part
+like others, in blocks of its own where it exceeds ``unit_shingles``; rows of equal id are one vertex; a row without id links with nothing and
 takes the component of an equal set, or null; an empty table gives no rows; other columns are not read.
 """
 
@@ -45,12 +51,17 @@ from millrace.llm.shingles import U64, mix, shingle_sets
 
 #: Signatures of one bucket, roughly; the number of buckets follows from the corpus.
 BUCKET_SIGNATURES = 400_000
-#: Documents of one cluster or unit compared in one task.
+#: Buckets are dealt over so many partitions at most; a partition takes its buckets one after the other.
+MOST_PARTITIONS = 20_000
+#: Documents of one cluster or unit compared in one task, and members of their sets, of 8 bytes.
 UNIT_DOCS = 10_000
+UNIT_SHINGLES = 8_000_000
 #: So many document ids, of 8 bytes, may be broadcast; above that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of one signature within one batch of documents that make it frequent.
 FREQUENT = 1_000
+#: Hashes of the domain tried for a set with few strong partitions.
+DRAWS = 5
 #: Sets remembered by a task so that copies are signed once.
 SETS_HELD = 500_000
 
@@ -87,16 +98,9 @@ def scheme(instance: int) -> Scheme:
     k = (own_top + top) // 7
     if k <= 3:  # all subsets of a single first-level partition
         return Scheme(1, k + 2 if k else 1, k, 16, top, own_top)
-    n = k + 1  # more partitions than that, so that few sets leave too many of them empty
-
-    def few_empty(n: int) -> bool:
-        load = own_top / n
-        empty = math.exp(-load)
-        return n * (1 - empty) - 3 * math.sqrt(n * empty * (1 - (1 + load) * empty)) > k
-
-    while not few_empty(n):
-        n += max(1, n // 100)
-    return Scheme(n, 1, 0, n, top, own_top)
+    # Two of three second-level partitions; some more first-level ones than needed, so that most sets have enough strong ones.
+    n = math.ceil(1.07 * (k // 2 + 1) + 1.2 * math.sqrt(k // 2))
+    return Scheme(n, 3, 1, 2 * n, top, own_top)
 
 
 def most_differences(size: np.ndarray, s: Scheme) -> np.ndarray:
@@ -105,8 +109,8 @@ def most_differences(size: np.ndarray, s: Scheme) -> np.ndarray:
     return (size + partner) // 7
 
 
-def _place(members: np.ndarray, instance: int, parts: int) -> np.ndarray:
-    return (mix(members + U64(instance + 1)) >> U64(32)).astype(np.int64) * parts >> 32
+def _place(members: np.ndarray, instance: int, parts: int, draw: int = 0) -> np.ndarray:
+    return (mix(members + U64(instance + 1 + (draw << _INSTANCE_BITS))) >> U64(32)).astype(np.int64) * parts >> 32
 
 
 def instances_of(size: int) -> list[int]:
@@ -124,22 +128,26 @@ def signatures(members: np.ndarray, instance: int) -> np.ndarray:
     """The set's signatures in an instance; the lowest bits of each name the instance."""
     s = scheme(instance)
     parts = s.n1 * s.n2
-    place = _place(members, instance, parts)
-    content = np.zeros(parts, dtype=U64)
-    np.add.at(content, place, mix(members ^ U64(0x5851F42D4C957F2D)))
-    filled = np.zeros(parts, dtype=bool)
-    filled[place] = True
-    with_empty = int(filled.sum()) <= int(most_differences(np.int64(len(members)), s))
-    signed = mix(content + np.arange(1, parts + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    if s.k2 == 0:
-        chosen = signed if with_empty else signed[filled]
-    else:
-        subsets = np.array(list(itertools.combinations(range(s.n2), s.n2 - s.k2)))
-        keep = np.ones(len(subsets), dtype=bool) if with_empty else filled[subsets].any(axis=1)
-        number = np.arange(1, len(subsets) + 1, dtype=U64)
-        chosen = mix(signed[subsets].sum(axis=1, dtype=U64) + number)[keep]
-    chosen = mix(chosen + U64(instance + 1))
-    return chosen & ~U64((1 << _INSTANCE_BITS) - 1) | U64(instance)
+    bad = int(most_differences(np.int64(len(members)), s)) // (s.k2 + 1)
+    subsets = np.array(list(itertools.combinations(range(s.n2), s.n2 - s.k2)))
+    number = np.arange(1, s.n1 * len(subsets) + 1, dtype=U64)
+    signed = []
+    for draw in range(DRAWS):
+        place = _place(members, instance, parts, draw)
+        content = np.zeros(parts, dtype=U64)
+        np.add.at(content, place, mix(members ^ U64(0x5851F42D4C957F2D)))
+        content = mix(content + np.arange(1, parts + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(s.n1, s.n2)
+        filled = np.zeros(parts, dtype=bool)
+        filled[place] = True
+        filled = filled.reshape(s.n1, s.n2)
+        enough = int((filled.sum(axis=1) > s.k2).sum()) > bad
+        chosen = mix(content[:, subsets].sum(axis=2, dtype=U64).reshape(-1) + number)
+        if enough or draw + 1 < DRAWS:
+            chosen = chosen[filled[:, subsets].any(axis=2).reshape(-1)]
+        signed.append(mix(chosen + U64(instance + 1 + (draw << _INSTANCE_BITS))))
+        if enough:
+            break
+    return np.concatenate(signed) & ~U64((1 << _INSTANCE_BITS) - 1) | U64(instance)
 
 
 PROFILE_SCHEMA = (
@@ -302,10 +310,18 @@ def shared_units(packed: DataFrame, buckets: int) -> DataFrame:
             columns = [pa.array(unit), pa.array(instance.astype(np.int32)), pa.array(frequent.astype(bool)), pa.array(doc)]
             yield pa.RecordBatch.from_arrays(columns, names=["unit", "instance", "frequent", "doc_id"])
 
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, UNIT_SCHEMA).distinct()
 
 
+def of_representatives(units: DataFrame, copies: DataFrame) -> DataFrame:
+    """Units in which each document is replaced by the smallest one of its set. Only ids are shuffled."""
+    members = copies.select(F.col("copy").alias("doc_id"), F.col("first_id").alias("first_doc"))
+    names = copies.select(F.col("copy").alias("unit"), F.col("first_id").alias("first_unit"), F.lit(False).alias("frequent"))
+    joined = units.join(members, "doc_id", "left").join(names, ["unit", "frequent"], "left")
+    return joined.select(F.coalesce("first_unit", "unit").alias("unit"), "instance", "frequent", F.coalesce("first_doc", "doc_id").alias("doc_id")).distinct()
+
+
 def joined_units(units: DataFrame) -> DataFrame:
     """Units whose first member belongs to a smaller one go into that one as a whole.
 
@@ -321,12 +337,19 @@ def joined_units(units: DataFrame) -> DataFrame:
 _KEY = ["unit", "instance", "frequent", "block"]
 
 
-def in_blocks(units: DataFrame, unit_docs: int) -> DataFrame:
-    """``block`` 0 for units of usual size; members of larger ones once for each pair of blocks they take part in."""
+def in_blocks(units: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
+    """``block`` 0 for units of usual size; members of larger ones once for each pair of blocks they take part in.
+
+    No set of an instance is larger than its scheme's largest, which bounds the sets of a block as well.
+    """
+    docs = F.count(F.lit(1))
+    largest = F.get(F.array(*[F.lit(scheme(i).top) for i in range(len(bands()) - 2)]), F.col("instance"))
+    blocks = F.least(docs, F.greatest(F.ceil(docs / unit_docs), F.ceil(docs * F.col("largest") / unit_shingles)))
     large = (
-        units.groupBy("unit", "instance", "frequent")
-        .agg(F.ceil(F.count(F.lit(1)) / unit_docs).cast("int").alias("blocks"))
+        units.groupBy("unit", "instance", "frequent", largest.alias("largest"))
+        .agg(blocks.cast("int").alias("blocks"))
         .filter("blocks > 1")
+        .drop("largest")
     )
     if large.isEmpty():
         return units.withColumn("block", F.lit(0).cast("long"))
@@ -356,7 +379,7 @@ def _reach(n: int, near) -> Iterator[list[tuple[int, int]]]:
         yield edges
 
 
-def close_members(units: DataFrame, profile: DataFrame, unit_docs: int) -> DataFrame:
+def close_members(units: DataFrame, profile: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
     """Members that may link with another one of their unit, with the number of their part of it."""
 
     def near_of(sizes: np.ndarray, cells: np.ndarray):
@@ -391,7 +414,7 @@ def close_members(units: DataFrame, profile: DataFrame, unit_docs: int) -> DataF
         for x in "ab"
     ]
     cells = both[0].unionByName(both[1]).filter("instance IS NOT NULL")
-    rows = in_blocks(units, unit_docs).join(cells, ["doc_id", "instance"]).select(*_KEY, "doc_id", "n_shingles", "cells")
+    rows = in_blocks(units, unit_docs, unit_shingles).join(cells, ["doc_id", "instance"]).select(*_KEY, "doc_id", "n_shingles", "cells")
     dealt = rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
     return materialise(dealt.mapInArrow(run, "unit bigint, instance int, frequent boolean, block bigint, part int, hub bigint, doc_id bigint"))
 
@@ -412,12 +435,17 @@ def _exact_near(sets: list[np.ndarray]):
     return near
 
 
-def in_clusters(members: DataFrame, unit_docs: int) -> DataFrame:
+def in_clusters(members: DataFrame, profile: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
     """Members by cluster, with ``unit`` its number; those of larger clusters stay in their units."""
     key = [*_KEY, "part"]
     cluster = components(members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
-    large = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > unit_docs).select("component")
-    whole = cluster.join(large, "component", "left_anti").select(
+    sizes = profile.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+    sized = materialise(cluster.join(sizes, cluster["vertex"] == sizes["doc_id"]).select("vertex", "component", "size"))
+    large = (
+        sized.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("shingles"))
+        .filter((F.col("docs") > unit_docs) | (F.col("shingles") > unit_shingles)).select("component")
+    )
+    whole = sized.join(large, "component", "left_anti").select(
         F.col("component").alias("unit"),
         F.lit(-1).alias("instance"),
         F.lit(False).alias("frequent"),
@@ -427,7 +455,7 @@ def in_clusters(members: DataFrame, unit_docs: int) -> DataFrame:
     )
     if large.isEmpty():
         return whole
-    apart = cluster.join(large, "component", "left_semi").select(F.col("vertex").alias("doc_id"))
+    apart = sized.join(large, "component", "left_semi").select(F.col("vertex").alias("doc_id"))
     return whole.unionByName(members.select(*key, "doc_id").join(apart, "doc_id", "left_semi"))
 
 
@@ -437,8 +465,8 @@ def links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, broad
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [members.tobytes() for _, members in _sets_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "members"])
+            sets = pa.array([members.tobytes() for _, members in _sets_of(batch)], pa.binary())
+            yield batch.drop_columns(["text"]).append_column("members", sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, len(key)):
@@ -450,11 +478,14 @@ def links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, broad
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
-    wanted = members.select("doc_id").distinct()
-    if wanted.count() <= broadcast_ids:
-        wanted = F.broadcast(wanted)
-    sets = _source(docs, id_col, text_col).join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id bigint, members binary")
-    dealt = members.join(sets, "doc_id").select(*key, "doc_id", "members").repartition(*key).sortWithinPartitions(*key)
+    source, places = _source(docs, id_col, text_col), members.select(*key, "doc_id")
+    kinds = "unit bigint, instance int, frequent boolean, block bigint, part int"
+    if places.count() <= broadcast_ids:
+        sets = source.join(F.broadcast(places), "doc_id").select(*key, "doc_id", "text").mapInArrow(to_sets, f"{kinds}, doc_id bigint, members binary")
+    else:
+        wanted = source.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+        sets = places.join(wanted.mapInArrow(to_sets, "doc_id bigint, members binary"), "doc_id").select(*key, "doc_id", "members")
+    dealt = sets.repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -469,12 +500,21 @@ def equal_sets(profile: DataFrame) -> DataFrame:
     )
 
 
+def copies_of(profile: DataFrame, first: DataFrame) -> DataFrame:
+    """``copy`` and ``first_id`` for the documents whose set a smaller document has. An id of several rows may have several sets;
+    it then stays as it is, since only one of its sets has that representative."""
+    single = profile.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"))
+    same = single.filter("digest = other").join(first, "digest").filter("doc_id > first_id")
+    return same.select(F.col("doc_id").alias("copy"), "first_id")
+
+
 def linked_components(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     bucket_signatures: int = BUCKET_SIGNATURES,
     unit_docs: int = UNIT_DOCS,
+    unit_shingles: int = UNIT_SHINGLES,
     frequent: int = FREQUENT,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
@@ -483,10 +523,13 @@ def linked_components(
     shingles = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(shingles * 3 / 4 / bucket_signatures))
     packed = signed_buckets(docs, id_col, text_col, buckets, frequent)
-    units = materialise(joined_units(materialise(shared_units(packed, buckets))))
-    members = materialise(in_clusters(close_members(units, profile, unit_docs), unit_docs))
+    first = materialise(equal_sets(profile))
+    copies = materialise(copies_of(profile, first))
+    shared = materialise(of_representatives(shared_units(packed, buckets), copies))
+    units = materialise(joined_units(shared))
+    close = close_members(units, profile, unit_docs, unit_shingles)
+    members = materialise(in_clusters(close, profile, unit_docs, unit_shingles))
     edges = links(members, docs, id_col, text_col, broadcast_ids)
-    first = equal_sets(profile)
     same = profile.filter("doc_id IS NOT NULL").join(first, "digest").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
     labels = components(edges.unionByName(same))
     named = (

@@ -127,3 +127,36 @@ def test_long_chain_is_one_component(spark, few_partitions):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     found = {r.vertex: r.component for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_subsets_are_enumerated_for_all_sizes():
+    """Beyond three differences two of every three second-level partitions are signed, and the bound on bad partitions holds."""
+    for i in range(4, len(jaccard.bands()) - 2):
+        s = jaccard.scheme(i)
+        k = (s.own_top + s.top) // 7
+        assert s.n1 * (s.k2 + 1) > k
+        assert (s.n2, s.k2) == (3, 1) if k > 3 else (s.n1, s.n2) == (1, k + 2 if k else 1)
+
+
+def test_large_clusters_are_split_by_size_of_their_sets(spark, few_partitions):
+    rows = corpus(3, groups=6)
+    assert run(spark, rows, unit_shingles=300) == brute(rows)
+    assert run(spark, rows, unit_shingles=1) == brute(rows)
+
+
+def test_copies_stand_for_each_other(spark, few_partitions):
+    rows = corpus(6, groups=5)
+    copies = [(1000 + 50 * n + i, text) for n in range(12) for i, (_, text) in enumerate(rows[:40])]
+    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string").repartition(6)
+    assert sorted(tuple(r) for r in jaccard.linked_components(docs, frequent=8).collect()) == brute(rows + copies)
+
+
+def test_very_long_texts(spark, few_partitions):
+    rnd = random.Random(9)
+    words = [f"v{rnd.randrange(10**6)}" for _ in range(300_000)]
+    other = list(words)
+    for i in range(0, 8_000):
+        other[i * 30] = "changed"
+    far = [f"u{i}" for i in range(200_000)]
+    rows = [(4, " ".join(words)), (2, " ".join(other)), (9, " ".join(far)), (1, "short text of its own here")]
+    assert run(spark, rows) == brute(rows)
