@@ -3,16 +3,18 @@
 The base rules count words, symbols, repeated lines and repeated three-word windows of the whole text. The list is learned from
 labelled statistics by sequential covering: a rule is a conjunction of thresholds, grown condition by condition on two thirds
 of the labelled rows by information gain, pruned on the other third, kept if it is precise there, and the rows it covers are
-then left out. Each step is one aggregation over the labelled statistics; thresholds are quantiles. The result is an ordered
-chain of Spark conditions, so scoring a document needs no shuffle.
+then left out. Thresholds lie between neighbouring quantiles, so a step of growing is one histogram over (feature, quantile). The list is learned from
+``TRAINING_LABELS`` labels at most, those first in the order of a hash; only their documents are measured for it. The result is an
+ordered chain of Spark conditions, so judging a document is a map over the table.
 
 Defined cases: a null text has no words and fails the base rules; a label that is null or belongs to no document is not used; a
-document with several labels counts once for each; without labels of both kinds the list is empty and only base rules decide; an
+document with several labels counts once for each; a very long text is measured whole; without labels of both kinds the list is empty and only base rules decide; an
 empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 from typing import NamedTuple
@@ -26,11 +28,13 @@ from millrace.llm.common import SPACES, materialise, text_of
 FEATURES = (
     "symbol_share", "upper_share", "mean_word", "dup_line_share", "repeat_share", "mark_share", "bar_share", "digit_share", "distinct_share"
 )
-#: Quantiles of a statistic that are tried as thresholds.
+#: Bound on the labels learned from, and so on what is broadcast.
+TRAINING_LABELS = 20_000
+#: Quantiles of a statistic; the middles between them are tried as thresholds.
 THRESHOLDS = 32
 MOST_RULES, MOST_CONDITIONS = 8, 4
-#: A rule must be that precise on the pruning rows, and cover that many of them.
-LEAST_PRECISION, LEAST_COVER = 0.9, 10
+#: A rule must be that precise on the pruning rows, and cover that many and that share of all labelled rows.
+LEAST_PRECISION, LEAST_COVER, LEAST_SHARE = 0.9, 10, 0.002
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
@@ -101,7 +105,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0)).cast("double")
 
-    return counted.select(
+    row = F.struct(
         *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],
         "n_words",
         "word_chars",
@@ -118,6 +122,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
         share("n_digits", "word_chars").alias("digit_share"),
         share("n_distinct", "n_words").alias("distinct_share"),
     )
+    # A filter would be pushed below the statistics and repeat their expressions, once per word inside them; a generator stops it.
+    return counted.select(F.explode(F.array(row)).alias("row")).select("row.*")
 
 
 def base_failed() -> Column:
@@ -145,56 +151,82 @@ def _gain(p0: float, n0: float, p1: float, n1: float) -> float:
 
 def learn(labelled: DataFrame) -> list[Rule]:
     """Rules that describe rows with ``bad``, from columns ``bad``, ``growing`` (booleans) and the features."""
-    quantiles = labelled.agg(
-        *[F.percentile_approx(f, [i / THRESHOLDS for i in range(1, THRESHOLDS)], 10_000).alias(f) for f in FEATURES]
+    found = labelled.agg(
+        *[F.percentile_approx(f, [i / THRESHOLDS for i in range(THRESHOLDS + 1)], 10_000).alias(f) for f in FEATURES]
     ).first()
-    candidates = [
-        Condition(f, above, t) for f in FEATURES for t in sorted(set(quantiles[f] or [])) for above in (True, False)
-    ]
-    bad, good = F.col("bad"), ~F.col("bad")
+    thresholds = {f: [(a + b) / 2 for a, b in itertools.pairwise(sorted(set(found[f] or [])))] for f in FEATURES}
+    if not any(thresholds.values()):
+        return []
+    rows = materialise(with_places(labelled, thresholds))
     rules: list[Rule] = []
-    while len(rules) < MOST_RULES and candidates:
-        left = labelled.filter(rejected_by(rules).isNull()) if rules else labelled
-        rule = _grown(left.filter("growing"), candidates, bad, good)
-        rule = _pruned(left.filter("NOT growing"), rule, bad, good)
+    while len(rules) < MOST_RULES:
+        left = rows.filter(rejected_by(rules).isNull()) if rules else rows
+        rule = _pruned(left, _grown(left.filter("growing"), thresholds))
         if not rule:
             break
         rules.append(rule)
     return rules
 
 
-def _counts(rows: DataFrame, conditions: list[Column], bad: Column, good: Column) -> list[tuple[int, int]]:
-    sums = [F.count_if(c & kind) for c in conditions for kind in (bad, good)]
-    found = rows.agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).first()
-    return [(found[i], found[i + 1]) for i in range(0, len(sums), 2)]
+def with_places(labelled: DataFrame, thresholds: dict[str, list[float]]) -> DataFrame:
+    """Add, for each feature, how many of its thresholds the value exceeds."""
 
+    def place(feature: str) -> Column:
+        tried = F.array(*[F.lit(t) for t in thresholds[feature]]).cast("array<double>")
+        return F.size(F.filter(tried, lambda t: F.col(feature) > t))
 
-def _grown(rows: DataFrame, candidates: list[Condition], bad: Column, good: Column) -> Rule:
+    return labelled.select("bad", "growing", *FEATURES, F.array(*[place(f) for f in FEATURES]).alias("places"))
+
+
+def _histogram(rows: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Bad and good rows per feature and place; at most features times thresholds rows."""
+    each = rows.select("bad", F.posexplode("places").alias("feature", "place"))
+    counted = each.groupBy("feature", "place").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    return {(r.feature, r.place): (r.bad, r.good) for r in counted.collect()}
+
+
+def _grown(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
     rule: Rule = ()
     while len(rule) < MOST_CONDITIONS:
-        within = rows.filter(_holds(rule)) if rule else rows
-        (p0, n0), *counts = _counts(within, [F.lit(True), *(c.column() for c in candidates)], bad, good)
+        within = _histogram(rows.filter(_holds(rule)) if rule else rows)
+        p0, n0 = (sum(c[kind] for (feature, _), c in within.items() if feature == 0) for kind in (0, 1))
         if not p0 or not n0:
             break
-        best, gain = max(
-            ((c, _gain(p0, n0, p, n)) for c, (p, n) in zip(candidates, counts, strict=True)), key=lambda x: x[1]
-        )
-        if gain <= 0:
+        best, gain = None, 0.0
+        for number, feature in enumerate(FEATURES):
+            below = [0, 0]
+            for place, threshold in enumerate(thresholds[feature]):
+                below = [x + y for x, y in zip(below, within.get((number, place), (0, 0)), strict=True)]
+                for above, (p, n) in ((True, (p0 - below[0], n0 - below[1])), (False, below)):
+                    gained = _gain(p0, n0, p, n)
+                    if gained > gain:
+                        best, gain = Condition(feature, above, threshold), gained
+        if best is None:
             break
         rule += (best,)
     return rule
 
 
-def _pruned(rows: DataFrame, rule: Rule, bad: Column, good: Column) -> Rule:
-    """The prefix with the best (p - n) / (p + n) on the pruning rows, if it is precise enough."""
-    prefixes = [rule[:i] for i in range(1, len(rule) + 1)]
-    if not prefixes:
+def _pruned(rows: DataFrame, rule: Rule) -> Rule:
+    """The prefix with the best (p - n) / (p + n) on the pruning rows, if it is precise there and covers enough rows."""
+    if not rule:
         return ()
-    counts = _counts(rows, [_holds(p) for p in prefixes], bad, good)
-    prefix, (p, n) = max(
-        zip(prefixes, counts, strict=True), key=lambda x: ((x[1][0] - x[1][1]) / max(1, sum(x[1])), x[1][0], -len(x[0]))
-    )
-    return prefix if p + n >= LEAST_COVER and p >= LEAST_PRECISION * (p + n) else ()
+    counts = [F.count(F.lit(1)).alias("rows")]
+    for i in range(1, len(rule) + 1):
+        holds, pruning = _holds(rule[:i]), ~F.col("growing")
+        counts += [
+            F.count_if(holds).alias(f"covered{i}"), F.count_if(holds & pruning & F.col("bad")).alias(f"p{i}"), F.count_if(holds & pruning & ~F.col("bad")).alias(f"n{i}")
+        ]
+    found = rows.agg(*counts).first()
+
+    def worth(i: int) -> tuple:
+        p, n = found[f"p{i}"], found[f"n{i}"]
+        return (p - n) / max(1, p + n), p, -i
+
+    best = max(range(1, len(rule) + 1), key=worth)
+    p, n, covered = found[f"p{best}"], found[f"n{best}"], found[f"covered{best}"]
+    enough = covered >= max(LEAST_COVER, LEAST_SHARE * found["rows"])
+    return rule[:best] if enough and p and p >= LEAST_PRECISION * (p + n) else ()
 
 
 def labelled_statistics(statistics: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,18 +243,22 @@ def verdicts(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def _learned(docs: DataFrame, labels: DataFrame) -> list[Rule]:
+    """The list for these documents. Their labelled ones are picked first, by a broadcast of bounded size, and only they are measured."""
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality")
+    sample = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAINING_LABELS))
+    wanted = F.broadcast(sample.select(F.col("doc_id").alias("labelled_id")).distinct())
+    picked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("labelled_id"), "left_semi")
+    return learn(labelled_statistics(with_statistics(picked), sample))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict of every document, by a list learned from the labels."""
-    statistics = materialise(with_statistics(docs))
-    return verdicts(statistics, learn(labelled_statistics(statistics, labels)))
+    return verdicts(with_statistics(docs), _learned(docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Only labelled statistics are shuffled, never texts."""
-    names = tuple(docs.columns)
-    rules = learn(labelled_statistics(materialise(with_statistics(docs)), labels))
-    row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
-    judged = verdicts(with_statistics(row, keep=("row",)), rules)
-    # A filter would be pushed below the statistics and repeat their expressions once per word; a generator is not.
-    kept = F.explode(F.when(F.col("kept"), F.array("row")))
-    return judged.select(kept.alias("row")).select("row.*")
+    """The documents that pass, with their own columns. Texts are not shuffled."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    judged = verdicts(with_statistics(row, keep=("row",)), _learned(docs, labels))
+    return judged.filter("kept").select("row.*")

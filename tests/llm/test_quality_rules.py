@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -107,3 +110,82 @@ def test_held_out_precision(spark, sf_check):
     rows = judged.join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("NOT base_failed").select("kept", "quality").collect()
     assert sum(not r.kept and r.quality == 1 for r in rows) <= 0.02 * len(rows)
     assert sum(not r.kept for r in rows if r.quality == 0) >= 0.5 * sum(r.quality == 0 for r in rows)
+
+
+def brute_list(rows, thresholds):
+    """Sequential covering in plain Python over (bad, growing, features) rows."""
+
+    def holds(rule, row):
+        return all((row[c.feature] > c.threshold) == c.above for c in rule)
+
+    rules, left = [], rows
+    while len(rules) < q.MOST_RULES:
+        rule, within = (), [r for r in left if r["growing"]]
+        while len(rule) < q.MOST_CONDITIONS:
+            p0, n0 = sum(r["bad"] for r in within), sum(not r["bad"] for r in within)
+            if not p0 or not n0:
+                break
+            best, gain = None, 0.0
+            for feature in q.FEATURES:
+                for t in thresholds[feature]:
+                    for above in (True, False):
+                        hit = [r for r in within if (r[feature] > t) == above]
+                        gained = q._gain(p0, n0, sum(r["bad"] for r in hit), sum(not r["bad"] for r in hit))
+                        if gained > gain:
+                            best, gain = q.Condition(feature, above, t), gained
+            if best is None:
+                break
+            rule += (best,)
+            within = [r for r in within if holds((best,), r)]
+
+        def worth(prefix):
+            hit = [r for r in left if not r["growing"] and holds(prefix, r)]
+            p = sum(r["bad"] for r in hit)
+            n = len(hit) - p
+            return ((p - n) / max(1, p + n), p, -len(prefix)), p, n
+
+        prefixes = [rule[:i] for i in range(1, len(rule) + 1)]
+        if not prefixes:
+            break
+        best = max(prefixes, key=lambda x: worth(x)[0])
+        _, p, n = worth(best)
+        covered = sum(holds(best, r) for r in left)
+        if covered < max(q.LEAST_COVER, q.LEAST_SHARE * len(left)) or not p or p < q.LEAST_PRECISION * (p + n):
+            break
+        rules.append(best)
+        left = [r for r in left if not holds(best, r)]
+    return rules
+
+
+def test_learned_verdicts_equal_brute_force(spark, sf_check):
+    """The whole query: the list is learned again in plain Python from brute-force checked statistics, and each verdict compared."""
+    docs, labels = (spark.read.parquet(f"{sf_check}/{t}.parquet") for t in ("documents", "labels"))
+    statistics = [r.asDict() for r in q.with_statistics(docs).collect()]
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    assert len(quality) < q.TRAINING_LABELS
+    rows = []
+    for r in statistics:
+        failed = r["n_words"] < q.LEAST_WORDS or 100 * r["n_repeat_words"] > q.MOST_REPEATED_PERCENT * r["n_words"]
+        if r["doc_id"] in quality and not failed:
+            rows.append({**r, "bad": quality[r["doc_id"]] == 0, "growing": zlib.crc32(str(r["doc_id"]).encode()) % 3 != 0})
+    thresholds = {}
+    for feature in q.FEATURES:
+        values = sorted(r[feature] for r in rows)
+        quantiles = sorted({values[max(0, math.ceil(i / q.THRESHOLDS * len(values)) - 1)] for i in range(q.THRESHOLDS + 1)})
+        thresholds[feature] = [(a + b) / 2 for a, b in itertools.pairwise(quantiles)]
+    rules = brute_list(rows, thresholds)
+    assert rules
+
+    def number(row):
+        return next((i for i, rule in enumerate(rules, 1) if all((row[c.feature] > c.threshold) == c.above for c in rule)), None)
+
+    got = {r.doc_id: (r.rule, r.base_failed, r.kept) for r in q.judge(docs, labels).collect()}
+    for r in statistics:
+        failed = r["n_words"] < q.LEAST_WORDS or 100 * r["n_repeat_words"] > q.MOST_REPEATED_PERCENT * r["n_words"]
+        assert got[r["doc_id"]] == (number(r), failed, not failed and number(r) is None)
+
+
+def test_filters_do_not_repeat_the_statistics(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    plan = q.with_statistics(docs).filter(~q.base_failed())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") <= 1
