@@ -45,7 +45,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9]", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", True),
     Kind("mail_words", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|(?<= )at(?= )) ?[A-Za-z0-9-]++ ?(?:\(dot\)|\[dot\]|(?<= )dot(?= )) ?[A-Za-z]{2,8}(?![A-Za-z0-9])", "[ (\\[]dot[ )\\]]", False),
-    Kind("phone_local", r"(?<![0-9A-Za-z+][ .-]?)\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", "[0-9]{3}[ .-][0-9]{4}", False),
+    Kind("phone_local", r"(?<![0-9A-Za-z+][ .-]?)(?:\(|(?<!\())[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", "[0-9]{3}[ .-][0-9]{4}", False),
     Kind("national_id", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]{2}-[0-9]", False),
     Kind("person", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?+(?![A-Za-z])", "(?:Mr|Ms|Dr|Herr|Frau|Mme|Sr)", False),
 )
