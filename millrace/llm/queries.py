@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat, exact_dedup, factorisation, jaccard, licenses, packing, pii, quality_rules, warc_zip
+from millrace.llm import (
+    alignment, byte_bpe, chat, exact_dedup, factorisation, jaccard, licenses, packing, pii, quality_rules, recurrent_lm, warc_zip, whitening
+)
 from millrace.llm.common import table
 from millrace.session import shared_dir
 
@@ -114,6 +116,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("eigenvalue")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -125,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_recurrent_lm": op11_recurrent_lm,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {
