@@ -11,11 +11,12 @@ piece of B has a space behind another character, which is checked when the model
 *segments*; everything the alignment counts is a sum over segments, and a segment seen before is looked up. Distinct segments of a
 task are tokenised and multiplied in batches.
 
-1. A pass finds the distinct linked id pairs of each document and counts, per task, the documents of each pair; Spark adds these up.
-2. The ``TABLE_PAIRS`` most frequent pairs with their counts, and the highest count of each A id, are broadcast: bounded by that
-   parameter and by the size of the vocabulary.
-3. A second pass sums counts per document. Links whose pair is not in the table leave it as rows (document, pair, times), are joined
-   with the counts by pair, and summed.
+1. One pass aligns the texts and writes, per document, its sums, the digest of its groups, and its distinct linked id pairs with the
+   number of links of each.
+2. Aggregations over the written pairs count the documents of each pair and find the highest count of each A id.
+3. The ``TABLE_PAIRS`` most frequent pairs with their counts, and the highest counts, are broadcast: bounded by that parameter and by
+   the size of the vocabulary. A second pass, over the written pairs alone, sums counts per document. Links whose pair is not in the
+   table leave it as rows (document, pair, times), are joined with the counts by pair, and summed.
 
 Defined cases: texts that are null or empty, or whose joined token bytes of A or B differ from space and text (B writes U+2581 as a
 space), have no tokens: zeros and an empty string; a very long text is aligned whole, segment by segment, and a segment longer than
@@ -42,10 +43,10 @@ from millrace.llm.common import materialise, text_of
 
 #: Pairs whose counts every task gets.
 TABLE_PAIRS = 500_000
-#: Longest segment remembered, and how many of them and of their pairs, before a task forgets them all.
-CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 64, 400_000, 4_000_000
-#: Characters of texts or of new segments handled at once, and pairs a task collects before it counts and passes them on.
-BATCH_CHARS, COUNTED = 1_000_000, 4_000_000
+#: Longest segment remembered, and how many of them and of their pairs, before a task forgets all but those it met first.
+CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS, FIRST_SEGMENTS = 64, 400_000, 4_000_000, 200_000
+#: Characters of texts or of new segments handled at once, and distinct pairs a task counts before it passes them on.
+BATCH_CHARS, COUNTED = 1_000_000, 1_000_000
 
 
 # -- sparse matrices ------------------------------------------------------------------------------
@@ -171,7 +172,7 @@ class Batch(NamedTuple):
     groups: list[str]
 
 
-def align(segments: list[str], t: Tokenizers, with_text: bool = True) -> tuple[list[int], Batch]:
+def align(segments: list[str], t: Tokenizers) -> tuple[list[int], Batch]:
     """Alignments of segments, each taken behind a space, and which of them have one: those whose tokens have their bytes."""
     a_ids = [e.ids for e in t.a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
     b_ids = [ids if s else [t.space] for s, ids in zip(segments, t.b.encode(segments, num_threads=1), strict=True)]
@@ -196,7 +197,7 @@ def align(segments: list[str], t: Tokenizers, with_text: bool = True) -> tuple[l
     owner, pair = owner[order], pair[order]
     first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(pair, prepend=-1) != 0))
     starts = np.searchsorted(owner[first], np.arange(len(good) + 1))
-    groups = group_texts(a, b, a_groups.columns, b_groups.columns, group_cut) if with_text else []
+    groups = group_texts(a, b, a_groups.columns, b_groups.columns, group_cut)
     return good, Batch(sums, starts, pair[first], np.diff(np.append(first, len(pair))), groups)
 
 
@@ -241,19 +242,22 @@ def group_texts(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.n
 class Aligner:
     """Alignments by segment, remembered within a task, as arrays that grow."""
 
-    def __init__(self, a_path: str, b_path: str, with_text: bool = True):
-        self.tokenizers, self.with_text = tokenizers(a_path, b_path), with_text
-        self.forget()
-
-    def forget(self) -> None:
+    def __init__(self, a_path: str, b_path: str):
+        self.tokenizers = tokenizers(a_path, b_path)
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
-        self.batches: list[Batch] = []
         self.sums, self.starts = np.zeros((0, 5), dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.pairs = self.times = np.zeros(0, dtype=np.int64)
 
+    def forget(self) -> None:
+        """Keep the segments met first, among which are the frequent ones."""
+        self.known = dict(itertools.islice(self.known.items(), FIRST_SEGMENTS))
+        n = max(self.known.values(), default=-1) + 1
+        self.groups, self.sums, self.starts = self.groups[:n], self.sums[:n].copy(), self.starts[: n + 1].copy()
+        self.pairs, self.times = self.pairs[: self.starts[-1]].copy(), self.times[: self.starts[-1]].copy()
+
     def _learn(self, segments: list[str]) -> None:
-        good, batch = align(segments, self.tokenizers, self.with_text)
+        good, batch = align(segments, self.tokenizers)
         self.known.update(dict.fromkeys(segments, -1))
         self.known.update(zip([segments[i] for i in good], range(len(self.sums), len(self.sums) + len(good))))
         self.groups += batch.groups
@@ -306,43 +310,81 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 # -- over Spark -----------------------------------------------------------------------------------
 
 
-def pair_counts(source: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``pair``, the id of A times the size of B's vocabulary plus the id of B, and ``docs``: in how many documents it is linked."""
+_NAMES = ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", "groups_sha256", "pairs", "times")
+_ALIGNED_SCHEMA = (
+    "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_shared bigint, groups_sha256 string, "
+    "pairs array<bigint>, times array<int>"
+)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def aligned(source: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Per document its sums, the digest of its groups, and its linked pairs: the id of A times the size of B's vocabulary plus the
+    id of B, each once, with the number of its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, held, size = Aligner(a_path, b_path, with_text=False), [], 0
+        aligner = Aligner(a_path, b_path)
         for batch in batches:
+            first = 0
             for segment, ends in aligner.documents(batch.column("text").to_pylist()):
-                owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                once = np.unique(owner << 32 | segment)
-                owner, pair, _ = aligner.expanded(once >> 32, once & 0xFFFFFFFF)
-                held.append(np.unique(owner << 32 | pair) & 0xFFFFFFFF)
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield counted(held)
-                    held, size = [], 0
-        if size:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, docs = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(docs)], names=["pair", "docs"])
-
-    partial = source.select("text").mapInArrow(run, "pair bigint, docs bigint")
-    return materialise(partial.groupBy("pair").agg(F.sum("docs").alias("docs")))
-
+                sizes = np.diff(ends, prepend=0)
+                running = np.concatenate([np.zeros((1, 5), dtype=np.int64), np.cumsum(aligner.sums[segment], axis=0)])
+                sums = running[ends] - running[ends - sizes]
+                numbered, write = segment.tolist(), aligner.groups.__getitem__
+                digests = [
+                    hashlib.sha256(";".join(map(write, numbered[end - size : end])).encode()).hexdigest() if size else ""
+                    for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)
+                ]
+                once, often = np.unique(np.repeat(np.arange(len(ends)), sizes) << 32 | segment, return_counts=True)
+                owner, pair, times = aligner.expanded(np.arange(len(once)), once & 0xFFFFFFFF)
+                key, times = (once >> 32)[owner] << 32 | pair, times * often[owner]
+                order = np.argsort(key)
+                key, times = key[order], times[order]
+                starts = np.flatnonzero(np.diff(key, prepend=-1))
+                times = np.add.reduceat(times, starts) if len(starts) else times
+                key = key[starts]
+                per_document = np.bincount(key >> 32, minlength=len(ends))
+                made = [pa.array(sums[:, k]) for k in range(5)]
+                made += [pa.array(digests, pa.string()), _lists(key & 0xFFFFFFFF, per_document, pa.int64()), _lists(times, per_document, pa.int32())]
+                own = batch.slice(first, len(ends))
+                first += len(ends)
+                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("doc_id"), *made], names=list(_NAMES))
+
+    return materialise(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _ALIGNED_SCHEMA))
+
+
+def _flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def pair_counts(documents: DataFrame) -> DataFrame:
+    """``pair`` and ``docs``: in how many documents it is linked. Tasks count their own pairs first."""
 
-_SCHEMA = (
-    "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_shared bigint, n_best bigint, count_sum bigint, "
-    "groups_sha256 string, tail array<struct<pair:bigint,times:bigint>>"
-)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = docs = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            pairs, at = np.unique(np.concatenate([pairs, _flat_list(batch.column(0))[0]]), return_inverse=True)
+            docs = np.bincount(at, weights=np.concatenate([docs, np.ones(len(at) - len(docs), dtype=np.int64)]), minlength=len(pairs)).astype(np.int64)
+            if len(pairs) >= COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(docs)], names=["pair", "docs"])
+                pairs = docs = np.zeros(0, dtype=np.int64)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(docs)], names=["pair", "docs"])
+
+    partial = documents.select("pairs").mapInArrow(run, "pair bigint, docs bigint")
+    return materialise(partial.groupBy("pair").agg(F.sum("docs").alias("docs")))
 
 
 def aligned_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: tokens, groups, links, links whose count is the highest of their A id, and the sum of counts."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    counts = pair_counts(source, a_path, b_path)
+    documents = aligned(source, a_path, b_path)
+    counts = pair_counts(documents)
     width = len(tokenizers(a_path, b_path).b_bytes)
     a_id = F.floor(F.col("pair") / width).cast("int")
     highest = materialise(counts.groupBy(a_id.alias("a")).agg(F.max("docs").alias("highest")))
@@ -356,57 +398,36 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "
     shared = spark.sparkContext.broadcast((np.append(pairs[order], 1 << 62), np.append(numbers[order], 0), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (pairs, numbers, top) = Aligner(a_path, b_path), shared.value
+        pairs, numbers, top = shared.value
         for batch in batches:
-            made: list[tuple] = []
-            for segment, ends in aligner.documents(batch.column("text").to_pylist()):
-                sizes = np.diff(ends, prepend=0)
-                used, back = np.unique(segment, return_inverse=True)
-                owner, pair, times = aligner.expanded(np.arange(len(used)), used)
-                at = np.searchsorted(pairs, pair)
-                inside = pairs[at] == pair
-                docs = np.where(inside, numbers[at], 0)
-                is_best = inside & (docs == top[np.minimum(pair // width, len(top) - 1)])
-                own = np.zeros((len(used), 3), dtype=np.int64)
-                for column, value in enumerate((is_best * times, docs * times, ~inside * times)):
-                    np.add.at(own[:, column], owner, value)
-                each = np.concatenate([aligner.sums[used], own], axis=1)[back]
-                running = np.concatenate([np.zeros((1, each.shape[1]), dtype=np.int64), np.cumsum(each, axis=0)])
-                sums = running[ends] - running[ends - sizes]
-                rests = _rests(aligner, segment, np.repeat(np.arange(len(ends)), sizes), each[:, 7] > 0, pairs)
-                numbered, write = segment.tolist(), aligner.groups.__getitem__
-                for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-                    text = ";".join(map(write, numbered[end - size : end]))
-                    made.append((*sums[i, :7].tolist(), hashlib.sha256(text.encode()).hexdigest() if size else "", rests.get(i, [])))
-            columns = [list(c) for c in zip(*made, strict=True)] or [[] for _ in kinds]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *arrays], names=[c.split()[0] for c in _SCHEMA.split(", ")])
-
-    kinds = [*[pa.int64()] * 7, pa.string(), pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))]
-    rows = materialise(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _SCHEMA))
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.pair", "t.times").join(counts, "pair")
+            pair, sizes = _flat_list(batch.column("pairs"))
+            times, _ = _flat_list(batch.column("times"))
+            at = np.searchsorted(pairs, pair)
+            inside = pairs[at] == pair
+            docs = np.where(inside, numbers[at], 0)
+            is_best = inside & (docs == top[np.minimum(pair // width, len(top) - 1)])
+            ends = np.cumsum(sizes)
+            found = []
+            for value in (is_best * times, docs * times):
+                running = np.concatenate([[0], np.cumsum(value)])
+                found.append(pa.array(running[ends] - running[ends - sizes], pa.int64()))
+            outside = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~inside], minlength=len(sizes))
+            rest = (_lists(x[~inside], outside, pa.int64()) for x in (pair, times))
+            kept = [batch.column(c) for c in _NAMES[:8]]
+            yield pa.RecordBatch.from_arrays([*kept, *found, *rest], names=[*_NAMES[:8], "n_best", "count_sum", "tail_pairs", "tail_times"])
+
+    schema = _ALIGNED_SCHEMA.split(", pairs ")[0] + ", n_best bigint, count_sum bigint, tail_pairs array<bigint>, tail_times array<bigint>"
+    rows = materialise(documents.mapInArrow(run, schema))
+    rest = rows.select("row", F.explode(F.arrays_zip("tail_pairs", "tail_times")).alias("t"))
+    tail = rest.select("row", F.col("t.tail_pairs").alias("pair"), F.col("t.tail_times").alias("times")).join(counts, "pair")
     is_best = F.col("docs") == F.col("highest")
     met = tail.join(highest, F.floor(F.col("pair") / width).cast("int") == F.col("a")).groupBy("row").agg(
         F.sum(F.when(is_best, F.col("times")).otherwise(0)).alias("tail_best"), F.sum(F.col("docs") * F.col("times")).alias("tail_sum")
     )
-    return rows.drop("tail").join(met, "row", "left").select(
+    return rows.drop("tail_pairs", "tail_times").join(met, "row", "left").select(
         "doc_id",
         *[c for c in ("n_a", "n_b", "n_groups", "n_links", "n_shared")],
         (F.col("n_best") + F.coalesce("tail_best", F.lit(0))).cast("long").alias("n_best"),
         (F.col("count_sum") + F.coalesce("tail_sum", F.lit(0))).cast("long").alias("count_sum"),
         "groups_sha256",
     )
-
-
-def _rests(aligner: Aligner, segment: np.ndarray, owner: np.ndarray, outside: np.ndarray, pairs: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Per document the pairs that are not in the table, each with its number of links."""
-    if not outside.any():
-        return {}
-    doc, pair, times = aligner.expanded(owner[outside], segment[outside])
-    rest = pairs[np.searchsorted(pairs, pair)] != pair
-    key, at = np.unique(doc[rest] << 32 | pair[rest], return_inverse=True)
-    total = np.bincount(at, weights=times[rest]).astype(np.int64)
-    found: dict[int, list[tuple[int, int]]] = {}
-    for k, n in zip(key.tolist(), total.tolist(), strict=True):
-        found.setdefault(k >> 32, []).append((k & 0xFFFFFFFF, n))
-    return found

@@ -101,7 +101,7 @@ def test_equals_brute_force(spark, few_partitions, whole):
 
 def test_pairs_outside_the_table(spark, few_partitions, whole, monkeypatch):
     """With a table of few pairs, and one that forgets its segments, most counts take the way by the join."""
-    for name, value in {"TABLE_PAIRS": 3, "CACHED_SEGMENTS": 20, "CACHED_CHARS": 6, "BATCH_CHARS": 200, "COUNTED": 50}.items():
+    for name, value in {"TABLE_PAIRS": 3, "CACHED_SEGMENTS": 20, "FIRST_SEGMENTS": 5, "CACHED_CHARS": 6, "BATCH_CHARS": 200, "COUNTED": 50}.items():
         monkeypatch.setattr(alignment, name, value)
     rows = list(enumerate(texts()[:150]))
     assert run(spark, rows) == sorted(brute(rows, whole), key=str)
