@@ -6,15 +6,16 @@ the facts their rejected lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import rules as R
+from millrace.operators.asof import Dimension, date_range
 from millrace.operators.classify import accepted
 from millrace.operators.dedup import latest_per_key
 from millrace.operators.enrich import enrich, with_presence
 from millrace.operators.history import scd2
-from millrace.plans.facts import Dimension, apply_line_rules, attach_versions, order_flags, order_totals
+from millrace.plans.facts import apply_line_rules, attach_versions, order_flags, order_totals
 
 LINE_KEY = ["order_id", "line_no"]
 HISTORY_START = "1900-01-01"
@@ -156,11 +157,15 @@ class Source:
         """Accepted lines with flags, before any version is attached."""
         return accepted(self.classified_lines(headers)).drop("source_status", "registered", "order_known", "product_known")
 
+    def order_months(self) -> tuple[Column, Column]:
+        """Range of the order dates, from that one column."""
+        return date_range(self.table("orders").select("o_orderdate"), "o_orderdate")
+
     def fact_sales(self, customer: bool = True, product: bool = True, location: bool = True) -> DataFrame:
         """Accepted lines with the versions valid on the order date.
 
         Customer and location versions depend on the order alone, so they are attached at order
-        grain; only the product version is resolved per line.
+        grain; only the product version is attached per line. Lines are read once.
         """
         on_order, on_line = [], []
         if customer:
@@ -169,8 +174,9 @@ class Source:
             on_order.append(Dimension(self.location_history(), "location_id", {"tier": "location_tier", "version_key": "location_version"}))
         if product:
             on_line.append(Dimension(self.product_history(), "product_id", {"supplier_id": "supplier_id", "version_key": "product_version"}))
-        headers = attach_versions(self.headers(), on_order)
-        facts = attach_versions(self.sales(headers), on_line)
+        months = self.order_months()
+        headers = attach_versions(self.headers(), on_order, months)
+        facts = attach_versions(self.sales(headers), on_line, months)
         return enrich(facts, self.supplier_categories(), "supplier_id", ["category"]) if product else facts
 
     def fact_order(self) -> DataFrame:

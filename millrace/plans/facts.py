@@ -3,27 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import rules as R
-from millrace.operators.asof import asof_join
+from millrace.operators.asof import Dimension, asof_join, asof_join_all
 from millrace.operators.classify import with_class
 
 
-@dataclass(frozen=True)
-class Dimension:
-    """How a fact meets one history: its key column, the date that picks the version, what to take."""
-
-    history: DataFrame
-    entity: str
-    take: dict[str, str]
-    at: str = "order_date"
-
-
-def attach_versions(facts: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
+def attach_versions(facts: DataFrame, dimensions: Sequence[Dimension], months: tuple[Column, Column] | None = None) -> DataFrame:
+    """Versions valid on the fact's date. With the range of months the facts are read once; without it, as in an increment whose
+    range is unknown, each history is resolved for the distinct pairs of entity and date."""
+    if months is not None:
+        return asof_join_all(facts, dimensions, months)
     for d in dimensions:
         facts = asof_join(facts, d.history, d.entity, d.at, d.take)
     return facts

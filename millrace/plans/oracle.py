@@ -311,13 +311,13 @@ ORACLE = {
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "asof_customer": _with("lines", "customer_history")
     + """, f AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_shipdate AS DATE) AS ship_date, o_custkey AS customer_id
-               FROM lines JOIN orders ON l_orderkey = o_orderkey)
+               FROM lines LEFT JOIN orders ON l_orderkey = o_orderkey)
         SELECT order_id, line_no, ship_date, f.customer_id, tier, valid_from
         FROM f LEFT JOIN customer_history h ON h.customer_id = f.customer_id AND ship_date >= valid_from
              AND (ship_date < valid_to OR valid_to IS NULL)""",
     "asof_product": _with("lines", "product_history")
     + """, f AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, CAST(o_orderdate AS DATE) AS order_date
-               FROM lines JOIN orders ON l_orderkey = o_orderkey)
+               FROM lines LEFT JOIN orders ON l_orderkey = o_orderkey)
         SELECT order_id, line_no, f.product_id, order_date, supplier_id, valid_from
         FROM f LEFT JOIN product_history h ON h.product_id = f.product_id AND order_date >= valid_from
              AND (order_date < valid_to OR valid_to IS NULL)""",

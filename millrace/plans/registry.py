@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import patterns as P
 from millrace.functions import rules as R
 from millrace.operators import checks, textscan
-from millrace.operators.asof import asof_join
+from millrace.operators.asof import Dimension, asof_join, asof_join_all, date_range
 from millrace.operators.classify import accepted, reconcile_classes, to_reprocess, transitions, with_class
 from millrace.operators.dedup import latest_per_key, upsert
 from millrace.operators.enrich import enrich, latest_reference_as_of, missing_references
@@ -172,16 +172,16 @@ def asof_customer(s: Source) -> DataFrame:
     """Every delivery with the customer tier valid on the ship date, not today's."""
     lines = s.line_columns().select(*LINE_KEY, "ship_date")
     orders = s.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
-    facts = lines.join(orders, "order_id")
-    return asof_join(facts, s.customer_history(), "customer_id", "ship_date", {"tier": "tier", "valid_from": "valid_from"})
+    months = date_range(s.table("lineitem").select("l_shipdate"), "l_shipdate")
+    tier = Dimension(s.customer_history(), "customer_id", {"tier": "tier", "valid_from": "valid_from"}, at="ship_date")
+    return asof_join_all(lines.join(orders, "order_id", "left"), [tier], months)
 
 
 def asof_product(s: Source) -> DataFrame:
     orders = s.table("orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").alias("order_date"))
-    facts = s.line_columns().select(*LINE_KEY, "product_id").join(orders, "order_id")
-    return asof_join(
-        facts, s.product_history(), "product_id", "order_date", {"supplier_id": "supplier_id", "valid_from": "valid_from"}
-    )
+    facts = s.line_columns().select(*LINE_KEY, "product_id").join(orders, "order_id", "left")
+    supplier = Dimension(s.product_history(), "product_id", {"supplier_id": "supplier_id", "valid_from": "valid_from"})
+    return asof_join_all(facts, [supplier], s.order_months())
 
 
 def asof_status(s: Source) -> DataFrame:
