@@ -171,7 +171,7 @@ def ingest(
     upper = newest(source.select(obj.stamp), obj.stamp)
     if upper is None:
         return None
-    if lower is not None and obj.strategy == WATERMARK and _not_after(spark, upper, lower):
+    if lower is not None and obj.strategy == WATERMARK and _not_after(upper, lower):
         upper = lower
     content = None
     if obj.strategy == WATERMARK:
@@ -216,9 +216,8 @@ def commit(
     append_entry(spark.createDataFrame([entry], MANIFEST_SCHEMA), manifest_path(root))
 
 
-def _not_after(spark: SparkSession, upper: str, lower: str) -> bool:
-    pair = spark.range(1).select(F.lit(upper).cast("timestamp_ntz") <= F.lit(lower).cast("timestamp_ntz"))
-    return pair.first()[0]
+def _not_after(upper: str, lower: str) -> bool:
+    return datetime.fromisoformat(upper) <= datetime.fromisoformat(lower)
 
 
 def active_objects(config: DataFrame) -> list[Row]:

@@ -2,6 +2,7 @@
 
 A table is split into buckets by a hash of its key. A version writes only the buckets it touches,
 as ``<table>/version=N/bucket=B``; a reader takes, for each bucket, the newest published version.
+The number of buckets stands in the log; a store opened with another number takes that one.
 Publishing appends one file to the log, so all tables of a version appear at the same instant and an
 unpublished or half-written version is never read. One writer runs at a time.
 """
@@ -85,6 +86,9 @@ class TableStore:
                 state.parts.setdefault(r.table_name, {})[r.item] = r.version
             elif r.kind == "batch" and r.version >= rebuilt:
                 state.batches.add(r.item)
+        counts = [r for r in rows if r.kind == "buckets"]
+        if counts:  # the count a store was begun with holds for its life
+            self.buckets = int(min(counts, key=lambda r: r.version).item)
         return state
 
     def version(self) -> int:
@@ -123,7 +127,7 @@ class TableStore:
     def publish(self, version: int, parts: Sequence[Entry], batches: Sequence[str] = (), reset: bool = False) -> None:
         """Make a version visible; with ``reset`` it replaces everything published before."""
         head = (version, "reset" if reset else "version", None, None)
-        entries = [head, *parts, *[(version, "batch", None, b) for b in batches]]
+        entries = [head, (version, "buckets", None, str(self.buckets)), *parts, *[(version, "batch", None, b) for b in batches]]
         append_entry(self.spark.createDataFrame(entries, LOG_SCHEMA), self._log_path)
 
     def candidate(self, table: str, version: int) -> DataFrame:

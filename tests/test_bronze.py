@@ -192,3 +192,20 @@ def test_store_publishes_all_tables_at_once(spark, tmp_path):
 
     store.publish(3, store.write_buckets("t", spark.range(5), ["id"], 3), ["b3"], reset=True)
     assert (store.read("t").count(), store.read("u"), store.snapshot().batches) == (5, None, {"b3"})
+
+
+def test_a_store_keeps_its_bucket_count(spark, tmp_path):
+    first = TableStore(spark, str(tmp_path), buckets=4)
+    first.publish(1, first.write_buckets("t", spark.range(50), ["id"], 1))
+    other = TableStore(spark, str(tmp_path), buckets=7)
+    before = other.snapshot()
+    assert other.buckets == 4
+    touched = other.touched(spark.range(1), ["id"])
+    kept = before.read("t", buckets=touched).where("id <> 0")
+    other.publish(2, other.write_buckets("t", kept, ["id"], 2))
+    assert sorted(r.id for r in other.read("t").collect()) == list(range(1, 50))
+
+
+@pytest.mark.parametrize("upper,lower,expected", [("2024-01-01 00:00:00", "2024-01-01", True), ("2024-01-01 00:00:00.5", "2024-01-01 00:00:00", False), ("2023-12-31", "2024-01-01 00:00:01", True)])
+def test_bounds_are_compared_as_times(upper, lower, expected):
+    assert bronze._not_after(upper, lower) is expected
