@@ -58,8 +58,8 @@ UNIT_DOCS = 10_000
 UNIT_SHINGLES = 8_000_000
 #: So many document ids, of 8 bytes, may be broadcast; above that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of one signature within one batch of documents that make it frequent.
-FREQUENT = 1_000
+#: Signatures a task holds before it packs them; members of one signature among them that make it frequent.
+SIGNATURES_HELD, FREQUENT = 1_500_000, 500
 #: Hashes of the domain tried for a set with few strong partitions.
 DRAWS = 5
 #: Sets remembered by a task so that copies are signed once.
@@ -210,7 +210,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def signed_buckets(docs: DataFrame, id_col: str, text_col: str, buckets: int, frequent: int) -> DataFrame:
-    """Signatures and their documents, packed into one row per batch and bucket."""
+    """Signatures and their documents, packed into one row per bucket for every ``SIGNATURES_HELD`` of a task."""
 
     def rows_of(signature: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
         runs = np.sort(signature)
@@ -239,9 +239,11 @@ def signed_buckets(docs: DataFrame, id_col: str, text_col: str, buckets: int, fr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        found: list[np.ndarray] = []
+        owners: list[tuple[int, int]] = []
+        held = 0
         for batch in batches:
-            found, owners, ids = [], [], batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
             for row, members in _sets_of(batch):
                 if not len(members) or ids[row] is None:
                     continue
@@ -254,10 +256,18 @@ def signed_buckets(docs: DataFrame, id_col: str, text_col: str, buckets: int, fr
                 own = [signatures(members, i) for i in instances_of(len(members))]
                 found += own
                 owners.append((ids[row], sum(map(len, own))))
-            if found:
-                doc = np.repeat(*(np.array(x, dtype=np.int64) for x in zip(*owners, strict=True)))
-                rows = zip(*rows_of(np.concatenate(found), doc), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+                held += owners[-1][1]
+                if held >= SIGNATURES_HELD:
+                    yield packed_rows(found, owners)
+                    found, owners, held = [], [], 0
+        if found:
+            yield packed_rows(found, owners)
+
+    def packed_rows(found: list[np.ndarray], owners: list[tuple[int, int]]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        doc = np.repeat(*(np.array(x, dtype=np.int64) for x in zip(*owners, strict=True)))
+        rows = zip(*rows_of(np.concatenate(found), doc), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
     names = [field.split()[0] for field in PACKED_SCHEMA.split(", ")]
     return _source(docs, id_col, text_col).mapInArrow(run, PACKED_SCHEMA)
