@@ -44,25 +44,43 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
-def log_of_turns(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as a log: an ``open`` and the streamed pieces of each row."""
+def log_of_turns(turns: DataFrame, delta_chars: int = DELTA_CHARS, drafts: bool = False) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) as a log: an ``open`` and the streamed pieces of each row.
+
+    With ``drafts`` each turn is written twice. First comes a draft of it that no result may show: an assistant's draft is
+    answered by a further message and then regenerated, any other's is replaced by an edit that carries the first piece.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = turns.select("conv_id", "role", text.alias("text"), F.row_number().over(order).cast("long").alias("message"))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length("text") / delta_chars).cast("int")),
-        lambda i: F.struct(
-            i.alias("piece"),
-            F.when(i > 0, F.substring(F.col("text"), (i - 1) * delta_chars + 1, F.lit(delta_chars))).alias("text"),
-        ),
-    )
-    return rows.select("conv_id", "message", "role", F.explode(pieces).alias("event")).select(
+    # one pass over the text, whatever its length
+    rows = rows.withColumn("pieces", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0)))
+
+    def event(kind: str, text: Column | None = None, role: Column | None = None, ahead: int = 0) -> Column:
+        role, text = (F.lit(None).cast("string") if c is None else c for c in (role, text))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(ahead).alias("ahead"), role.alias("role"), text.alias("text"))
+
+    def streamed(pieces: Column) -> Column:
+        return F.transform(pieces, lambda piece: event("delta", piece))
+
+    events = F.concat(F.array(event("open", role=F.col("role"))), streamed(F.col("pieces")))
+    if drafts:
+        first = F.coalesce(F.get("pieces", F.lit(0)), F.lit(""))
+        draft = F.concat(F.lit("draft "), first)
+        begun = [event("open", role=F.col("role")), event("delta", draft)]
+        again = F.array(*begun, event("open", draft, F.lit("user"), ahead=1), event("regenerate"))
+        edited = F.array(*begun, event("edit", first))
+        rest = F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(0)))
+        events = F.when(F.col("role") == "assistant", F.concat(again, streamed(F.col("pieces")))).otherwise(
+            F.concat(edited, streamed(rest))
+        )
+    return rows.select("conv_id", "message", F.posexplode(events).alias("piece", "event")).select(
         "conv_id",
-        (F.shiftleft("message", 32) + F.col("event.piece")).alias("seq"),
-        F.when(F.col("event.piece") == 0, "open").otherwise("delta").alias("kind"),
-        "message",
-        F.when(F.col("event.piece") == 0, F.col("role")).alias("role"),
-        F.col("event.text").alias("text"),
+        (F.shiftleft("message", 32) + F.col("piece")).alias("seq"),
+        "event.kind",
+        (F.col("message") + F.col("event.ahead")).alias("message"),
+        "event.role",
+        "event.text",
     )
 
 
@@ -88,8 +106,10 @@ def fold(log: DataFrame) -> DataFrame:
         "*",
         F.coalesce(F.max(again).over(earlier), F.lit(0)).alias("dropped_until"),
         F.coalesce(F.max(restart).over(own), F.lit(0)).alias("restarted_at"),
-        F.max(F.when(F.col("role").isNotNull(), F.struct("place", "role"))).over(own).alias("named"),
-    ).filter("place > dropped_until AND place >= restarted_at")
+    ).filter("place > dropped_until")
+    # a dropped message leaves no role to the one that takes its number
+    named = F.max(F.when(F.col("role").isNotNull(), F.struct("place", "role"))).over(own)
+    live = live.withColumn("named", named).filter("place >= restarted_at")
     parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", F.lit("")).alias("text"))))
     return (
         live.groupBy("conv_id", "message")

@@ -33,7 +33,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PROBE).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    read = chat.render(chat.fold(chat.log_of_turns(turns))).select(
+    read = chat.render(chat.fold(chat.log_of_turns(turns, drafts=True))).select(
         "conv_id",
         "formatted",
         chat.parse(F.col("formatted")).alias("turns"),

@@ -62,8 +62,8 @@ def test_round_trip_of_control_strings(spark, few_partitions):
     hard = ["<|im_end|>", "<|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "<", "|>", "a\nb\n", "", None, "é<|", "&amp;<|&"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(hard)]
     rows += [(2, 0, "odd role\n<|im_end|>", "x"), (None, 0, None, "y"), (None, 0, None, "y"), (3, 0, "assistant", "z" * 50_000)]
-    for size in (3, 1024):
-        got = back(spark, rows, delta_chars=size)
+    for size, drafts in ((3, False), (1024, False), (3, True), (1024, True)):
+        got = back(spark, rows, delta_chars=size, drafts=drafts)
         assert got[1][1] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(hard)]
         assert got[1][2] == "".join(t or "" for t in hard[1::2])
         assert got[1][0].count("<|im_start|>") == got[1][0].count("<|im_end|>") == len(hard)
@@ -81,6 +81,41 @@ def test_given_conversations(spark, sf_check):
         assert hashlib.sha256(got[conv][2].encode()).digest() == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).digest()
 
 
+def test_drafts_reach_the_log_and_leave_no_trace(spark, few_partitions):
+    rows = [(1, 0, "user", "a question"), (1, 1, "assistant", "an answer of some length"), (2, 0, "assistant", None), (2, 1, None, "x")]
+    log = chat.log_of_turns(turns_of(spark, rows), delta_chars=5, drafts=True)
+    kinds = {r.kind for r in log.select("kind").distinct().collect()}
+    assert kinds == set(chat.KINDS) and log.filter("text LIKE '%draft%'").count() == 6
+    want = {c: brute_fold([tuple(r)[1:] for r in log.orderBy("seq").collect() if r.conv_id == c]) for c in (1, 2)}
+    assert {c: [(role, text) for _, role, text in want[c]] for c in want} == {
+        1: [("user", "a question"), ("assistant", "an answer of some length")],
+        2: [("assistant", ""), ("", "x")],
+    }
+    assert {c: turns for c, (_, turns, _) in back(spark, rows, delta_chars=5, drafts=True).items()} == {
+        c: [(role, text) for _, role, text in want[c]] for c in want
+    }
+
+
+def test_equal_sequence_numbers_are_ordered_by_message_kind_role_and_text(spark):
+    rows = [(1, 5, "delta", 0, None, "b"), (1, 5, "delta", 0, None, "a"), (1, 5, "open", 1, "user", "z"), (1, 5, "delta", 1, None, "y")]
+    got = chat.fold(spark.createDataFrame(rows, LOG)).orderBy("message").collect()
+    # "delta" sorts before "open", which starts the message again
+    assert [(r.message, r.role, r.text) for r in got] == [(0, "", "ab"), (1, "user", "z")]
+
+
+def test_a_turn_of_eight_million_characters_takes_seconds(spark, few_partitions):
+    import time
+
+    text = F.repeat(F.lit("words of <|a turn\n"), 500_000)
+    turns = spark.range(1).select(F.lit(1).alias("conv_id"), "id", F.lit("assistant").alias("role"), text.alias("text"))
+    turns = turns.withColumnRenamed("id", "turn")
+    began = time.monotonic()
+    shown = chat.render(chat.fold(chat.log_of_turns(turns, drafts=True)))
+    (row,) = shown.select(F.sha2(chat.masked_text(F.col("formatted"), F.col("loss_spans")), 256).alias("digest")).collect()
+    assert row.digest == hashlib.sha256(b"words of <|a turn\n" * 500_000).hexdigest()
+    assert time.monotonic() - began < 60
+
+
 def test_unknown_events_are_refused_and_empty_logs_work(spark):
     import pytest
 
