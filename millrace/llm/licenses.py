@@ -7,6 +7,10 @@ at the place with the words the template has before and after it, the template i
 words that are unique on both sides are anchors, the longest increasing subsequence of anchors is kept, and the gaps between them are aligned
 in the same way. The coverage is the share of the template's words that are matched; a place counts from ``LEAST_COVERAGE`` on.
 
+Related notices differ in few words, so coverage alone would name the wrong one. The places of a template where such words stand, or
+could stand (a version number, "lesser" or "affero" behind "GNU", the parts of a Creative Commons name, the name of a licence), are its slots.
+Where the text has other deciding words in a slot, or leaves a filled one out, the match is refused. A one-line template needs all its slots as they are.
+
 Defined cases: a null or empty text has no words and no matches; a text with the same notice twice has two matches; of templates that
 overlap in a place the one with more matched words counts, then the larger coverage, then the first by name; rows without id and repeated
 rows are scanned like any others; an empty table gives no rows; other columns are not read.
@@ -17,7 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -39,6 +43,29 @@ TEMPLATES = {
         "to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
         "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "apache-1.1-line": "Licensed under the Apache License, Version 1.1.",
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "bsd-4-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. All advertising materials mentioning features or use of this "
+        "software must display the following acknowledgement: This product includes software developed by the organization. Neither the name of "
+        "the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission."
+    ),
     "bsd-2-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -48,6 +75,16 @@ TEMPLATES = {
     "cc-by-4.0-line": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
@@ -59,6 +96,22 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
     ),
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "lgpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
     "mit-line": "Released under the MIT License.",
     "mit-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -71,18 +124,66 @@ TEMPLATES = {
 # Fixed word list: words of the templates too common in prose to mark a place.
 COMMON = frozenset(
     "a above all an and any are as at be but by can do either even for free from general in is it its list may more must not of on or other "
-    "out person persons program public see so such that the this to use used version with without work you your 0 2 3 4".split()
+    "out person persons program public see so such that the this to use used version with without work you your v 0 1 2 3 4".split()
 )
 
+# Fixed word lists: deciding words behind "gnu" and behind "cc by", and names of licences.
+BEHIND_GNU = frozenset("affero lesser library".split())
+BEHIND_CC_BY = frozenset("nc nd sa".split())
+NAMES = frozenset("apache bsd isc mit mozilla".split())
+#: Templates of fewer words are lines, whose slots must be as they are.
+LINE_WORDS = 20
+
 _WORD = re.compile(r"[^\W_]+")
 
 
+class Slot(NamedTuple):
+    """Words ``start`` to ``end`` of a template, which may be none, and what decides there; no ``family`` means numbers."""
+
+    start: int
+    end: int
+    family: frozenset[str] | None
+    value: list[str]
+
+
+def _deciding(words: Iterable[str], family: frozenset[str] | None) -> list[str]:
+    """The deciding words among some; a version is the same with and without zeros at its end."""
+    if family is not None:
+        return [w for w in words if w in family]
+    numbers = [w for w in words if w.isdecimal()]
+    while numbers and numbers[-1] == "0":
+        numbers.pop()
+    return numbers
+
+
+def slots_of(words: tuple[str, ...]) -> list[Slot]:
+    found = []
+
+    def add(start: int, family: frozenset[str] | None) -> None:
+        end = start
+        while end < len(words) and (words[end].isdecimal() if family is None else words[end] in family):
+            end += 1
+        found.append(Slot(start, end, family, _deciding(words[start:end], family)))
+
+    for i, word in enumerate(words):
+        if word.isdecimal() and not (i and words[i - 1].isdecimal()):
+            add(i, None)
+        elif word in NAMES:
+            add(i, NAMES)
+        elif word == "gnu":
+            add(i + 1, BEHIND_GNU)
+        elif word == "by" and i and words[i - 1] == "cc":
+            add(i + 1, BEHIND_CC_BY)
+    return found
+
+
 class Template(NamedTuple):
     name: str
     words: tuple[str, ...]
     marks: Counter
     bits: dict[str, int]  # the places of each word in the template, as bits
     back: dict[str, int]  # the same from its end
+    slots: list[Slot]
 
 
 class Match(NamedTuple):
@@ -105,7 +206,7 @@ def prepared(templates: dict[str, str]) -> list[Template]:
         for i, word in enumerate(words):
             bits[word] |= 1 << i
             back[word] |= 1 << len(words) - 1 - i
-        made.append(Template(name, words, Counter(w for w in words if w not in COMMON), dict(bits), dict(back)))
+        made.append(Template(name, words, Counter(w for w in words if w not in COMMON), dict(bits), dict(back), slots_of(words)))
     return made
 
 
@@ -205,6 +306,26 @@ def places(template: Template, hits: list[tuple[int, str]], words: list[str], ne
         i = k
 
 
+def contradicted(template: Template, pairs: list[tuple[int, int]], words: list[str]) -> bool:
+    """Whether the text has other deciding words in a slot of an aligned template than the template; ``pairs`` are its matched words."""
+    line = len(template.words) < LINE_WORDS
+    places = [i for i, _ in pairs]
+    for slot in template.slots:
+        before, behind = bisect_left(places, slot.start) - 1, bisect_left(places, slot.end)
+        size = slot.end - slot.start
+        high = pairs[behind][1] if behind < len(pairs) else pairs[before][1] + 1 + size
+        low = pairs[before][1] + 1 if before >= 0 else max(0, high - size)
+        stretch = words[low : min(high, low + size + 3)]
+        value = _deciding(stretch, slot.family)
+        if value == slot.value:
+            continue
+        # neighbours that stand side by side in the text leave the slot out
+        left_out = not stretch and places[before] == slot.start - 1 and behind < len(pairs) and places[behind] == slot.end
+        if value or line or left_out:
+            return True
+    return False
+
+
 def matches(template: Template, hits: list[tuple[int, str]], words: list[str], least: float) -> Iterator[Match]:
     """Alignments at the places of a template, each also with the words that the template has before and after it."""
     size = len(template.words)
@@ -219,7 +340,7 @@ def matches(template: Template, hits: list[tuple[int, str]], words: list[str], l
                 continue
             tried.add((start, end))
             pairs = pairs if (start, end) == place else align(template.words, words[start:end])
-            if len(pairs) >= need:
+            if len(pairs) >= need and not contradicted(template, [(i, start + j) for i, j in pairs], words):
                 yield Match(template.name, len(pairs) / size, start + pairs[0][1], start + pairs[-1][1] + 1)
 
 

@@ -133,3 +133,39 @@ def test_every_range_that_reaches_the_coverage_holds_a_place():
                     reached += 1
                     assert any(start <= s and e <= end for s, e in found)
     assert reached > 1000
+
+
+def test_related_notices_are_named_alone():
+    titles = ["", "Copyright (c) 2020 Jane Doe", "GNU General Public License", "This file is part of Foo, version 1.1 of 2019.", "BSD License"]
+    for name, text in lic.TEMPLATES.items():
+        for title in titles:
+            found = scan(f"{title} {text} 3 more words of 2 files")
+            assert [(m.name, m.coverage) for m in found] == [(name, 1.0)], (name, title)
+
+
+def test_right_license_or_none():
+    gpl, apache, bsd = (lic.TEMPLATES[n] for n in ("gpl-3.0-notice", "apache-2.0-notice", "bsd-3-clause"))
+    wrong = [
+        gpl.replace("version 3", "version 4"),
+        gpl.replace("GNU General", "GNU Library General"),
+        lic.TEMPLATES["lgpl-2.1-notice"].replace("2.1", "2.2"),
+        apache.replace("Version 2.0", "Version 1.0").replace("LICENSE-2.0", "LICENSE-1.0"),
+        lic.TEMPLATES["mpl-2.0-notice"].replace("2.0", "1.1"),
+        "Licensed under the Apache License, Version 1.0.",
+        "Licensed under CC BY 3.0.",
+        "Released under the BSD License.",
+        "Released under the Foo License.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 1.",
+    ]
+    for text in wrong:
+        assert scan(text) == [], text
+    right = [
+        ("apache-2.0-line", "Licensed under the Apache License, Version 2."),
+        ("gpl-2.0-notice", lic.TEMPLATES["gpl-2.0-notice"].replace("version 2", "version 2.0")),
+        ("gpl-3.0-notice", gpl.replace("This program", "Foo").replace("MERCHANTABILITY", "SALE")),
+        ("bsd-3-clause", bsd.replace("copyright holder", "University of Somewhere and Elsewhere")),
+        ("lgpl-3.0-notice", lic.TEMPLATES["lgpl-3.0-notice"].replace("This program", "This library")),
+    ]
+    for name, text in right:
+        assert [m.name for m in scan(text)] == [name], text
