@@ -11,8 +11,8 @@ signature; nothing is missed. With k up to three there is one first-level partit
 1. One pass writes, per document, the size and a digest of its set and, for its two instances, the counts of its members per cell.
 2. A second pass emits signatures, packed per bucket, and finds in each bucket those that several documents share. The
    members of a signature become rows of a *unit*, named by the smallest member: as many rows as members, never pairs.
-   A signature frequent within one batch is dealt over several buckets and is a unit of its own. From here on the smallest document of
-   each set stands for all its copies, so a group of copies is one member wherever it was signed.
+   A signature frequent within one batch is dealt over several buckets and is a unit of its own. The smallest document of each set
+   stands for all its copies; the others are not signed, so a group of copies is one member however many tasks hold it.
 3. A unit's members are compared by cell counts, whose differences bound that of the sets from below; who is close to nobody leaves.
 4. The sets of the few remaining documents are computed again and compared exactly. Members that are close to each other in any unit
    form a cluster; a cluster of up to ``unit_docs`` documents and ``unit_shingles`` members of their sets is compared as a whole, so each
@@ -21,7 +21,7 @@ signature; nothing is missed. With k up to three there is one first-level partit
    Each comparison gives the edges of a forest.
 5. Components over those edges and those between equal sets, by distributed star contraction.
 
-Copies of a set are signed once per task. A first-level partition is strong if none of its subsets is empty. At most
+A first-level partition is strong if none of its subsets is empty. At most
 ``D // (k2 + 1)`` partitions hold more than ``k2`` of a set's D possible differences, so a set with more strong partitions than that
 meets its partners in one of them. A set with fewer also signs under the next draw of the hash, as its partner then does unless it
 has enough itself; after ``DRAWS`` of them, which hardly a set needs, empty subsets are signed too.
@@ -62,7 +62,7 @@ BROADCAST_IDS = 1_000_000
 SIGNATURES_HELD, FREQUENT = 1_500_000, 500
 #: Hashes of the domain tried for a set with few strong partitions.
 DRAWS = 5
-#: Sets remembered by a task so that copies are signed once.
+#: Sets remembered by a task so that repeated rows are signed once.
 SETS_HELD = 500_000
 
 _LARGEST = 1 << 32
@@ -209,7 +209,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return full.view("<u8").reshape(-1)
 
 
-def signed_buckets(docs: DataFrame, id_col: str, text_col: str, buckets: int, frequent: int) -> DataFrame:
+def without(docs: DataFrame, column: Column, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the written one-column table ``ids``; that is broadcast only up to a bound."""
+    name = ids.columns[0]
+    if ids.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    return docs.join(ids, column == ids[name], "left_anti")
+
+
+def signed_buckets(source: DataFrame, buckets: int, frequent: int) -> DataFrame:
     """Signatures and their documents, packed into one row per bucket for every ``SIGNATURES_HELD`` of a task."""
 
     def rows_of(signature: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
@@ -270,7 +278,7 @@ def signed_buckets(docs: DataFrame, id_col: str, text_col: str, buckets: int, fr
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
     names = [field.split()[0] for field in PACKED_SCHEMA.split(", ")]
-    return _source(docs, id_col, text_col).mapInArrow(run, PACKED_SCHEMA)
+    return source.mapInArrow(run, PACKED_SCHEMA)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -324,14 +332,6 @@ def shared_units(packed: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, UNIT_SCHEMA).distinct()
 
 
-def of_representatives(units: DataFrame, copies: DataFrame) -> DataFrame:
-    """Units in which each document is replaced by the smallest one of its set. Only ids are shuffled."""
-    members = copies.select(F.col("copy").alias("doc_id"), F.col("first_id").alias("first_doc"))
-    names = copies.select(F.col("copy").alias("unit"), F.col("first_id").alias("first_unit"), F.lit(False).alias("frequent"))
-    joined = units.join(members, "doc_id", "left").join(names, ["unit", "frequent"], "left")
-    return joined.select(F.coalesce("first_unit", "unit").alias("unit"), "instance", "frequent", F.coalesce("first_doc", "doc_id").alias("doc_id")).distinct()
-
-
 def joined_units(units: DataFrame) -> DataFrame:
     """Units whose first member belongs to a smaller one go into that one as a whole.
 
@@ -511,11 +511,11 @@ def equal_sets(profile: DataFrame) -> DataFrame:
 
 
 def copies_of(profile: DataFrame, first: DataFrame) -> DataFrame:
-    """``copy`` and ``first_id`` for the documents whose set a smaller document has. An id of several rows may have several sets;
+    """The documents, as ``copy``, whose set a smaller document has. An id of several rows may have several sets;
     it then stays as it is, since only one of its sets has that representative."""
     single = profile.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"))
     same = single.filter("digest = other").join(first, "digest").filter("doc_id > first_id")
-    return same.select(F.col("doc_id").alias("copy"), "first_id")
+    return same.select(F.col("doc_id").alias("copy"))
 
 
 def linked_components(
@@ -532,11 +532,11 @@ def linked_components(
     profile = profiles(docs, id_col, text_col)
     shingles = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(shingles * 3 / 4 / bucket_signatures))
-    packed = signed_buckets(docs, id_col, text_col, buckets, frequent)
     first = materialise(equal_sets(profile))
     copies = materialise(copies_of(profile, first))
-    shared = materialise(of_representatives(shared_units(packed, buckets), copies))
-    units = materialise(joined_units(shared))
+    source = _source(docs, id_col, text_col)
+    packed = signed_buckets(without(source, source["doc_id"], copies, broadcast_ids), buckets, frequent)
+    units = materialise(joined_units(materialise(shared_units(packed, buckets))))
     close = close_members(units, profile, unit_docs, unit_shingles)
     members = materialise(in_clusters(close, profile, unit_docs, unit_shingles))
     edges = links(members, docs, id_col, text_col, broadcast_ids)
@@ -567,6 +567,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = linked_components(docs, id_col, text_col, **options)
     lost = materialise(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("lost_id")).distinct())
-    if lost.count() <= options.get("broadcast_ids", BROADCAST_IDS):
-        lost = F.broadcast(lost)
-    return docs.join(lost, docs[id_col].cast("long") == lost["lost_id"], "left_anti")
+    return without(docs, docs[id_col].cast("long"), lost, options.get("broadcast_ids", BROADCAST_IDS))
