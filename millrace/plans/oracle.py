@@ -472,3 +472,24 @@ ORACLE = {
 # A published mart must equal the mart computed straight from the given tables.
 ORACLE["published_daily_sales"] = ORACLE["mart_daily_sales"]
 ORACLE["published_shipping_sla"] = ORACLE["mart_shipping_sla"]
+ORACLE["published_fact_sales"] = (
+    _with("sales")
+    + """ SELECT order_id * 10 + line_no AS sales_id, order_id, customer_id, product_id, order_date, ship_date, due_date, quantity,
+                 CAST(amount AS DOUBLE) AS amount, c_mktsegment AS region, p_type AS category, r_name AS zone, soft_date, line_eligible
+          FROM sales JOIN heads USING (order_id, customer_id, order_date, location_id, registered) JOIN customer ON customer_id = c_custkey
+          JOIN part ON product_id = p_partkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
+)
+# A line enters its class once, and replays publish nothing.
+ORACLE["replay_idempotence"] = (
+    _with("classified")
+    + """ SELECT CASE WHEN registered AND product_known THEN 'ACCEPTED' ELSE 'REJECTED' END AS dq_class, count(*) AS lines,
+                 CAST(sum(amount) AS DOUBLE) AS amount, count(*) AS entries, CAST(0 AS BIGINT) AS replayed_versions
+          FROM classified GROUP BY 1"""
+)
+ORACLE["baseline_equals_increments"] = """
+    SELECT 'sales_classified' AS table_name, count(DISTINCT (l_orderkey, l_linenumber)) AS rows, CAST(0 AS BIGINT) AS differing FROM lineitem
+    UNION ALL SELECT 'shipment_status_event', count(DISTINCT (l_orderkey, l_linenumber)), 0 FROM lineitem
+    UNION ALL SELECT 'order_status_event', count(DISTINCT o_orderkey), 0 FROM orders
+    UNION ALL SELECT 'payment_status_event', count(DISTINCT o_orderkey), 0 FROM orders
+    UNION ALL SELECT 'customer_history', count(DISTINCT c_custkey), 0 FROM customer
+    UNION ALL SELECT 'product_history', count(DISTINCT p_partkey), 0 FROM part"""

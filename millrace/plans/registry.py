@@ -20,7 +20,7 @@ from millrace.operators.status import current_status, event_fact
 from millrace.plans import audit, marts
 from millrace.plans.binding import LINE_KEY, Source
 from millrace.plans.measures import calendar, measures
-from millrace.plans.pipeline import run_in_shared_dir
+from millrace.plans.pipeline import baseline_evidence, replay_evidence, run_in_shared_dir
 from millrace.session import tune
 from millrace.sources.bronze import watermark_slice
 from millrace.sources.contracts import field_drift
@@ -30,6 +30,7 @@ Query = Callable[[Source], DataFrame]
 
 FULL_YEARS = (1995, 2000)
 BOUNDARY = "1999-01-01"
+SECOND_BOUNDARY = "2000-07-01"
 
 
 # -- rows and rules ------------------------------------------------------------------------------
@@ -487,6 +488,23 @@ def published_shipping_sla(s: Source) -> DataFrame:
     return run_in_shared_dir(s, [None], FULL_YEARS).read("mart_shipping_sla")
 
 
+def published_fact_sales(s: Source) -> DataFrame:
+    """Lines of the served fact after three increments, each of which rewrites only the months it touches."""
+    facts = run_in_shared_dir(s, [BOUNDARY, SECOND_BOUNDARY, None], FULL_YEARS).read("fact_sales")
+    return facts.select(
+        "sales_id", "order_id", "customer_id", "product_id", "order_date", "ship_date", "due_date", "quantity",
+        F.col("amount").cast("double").alias("amount"), "region", "category", "zone", "soft_date", "line_eligible",
+    )
+
+
+def replay_idempotence(s: Source) -> DataFrame:
+    return replay_evidence(s, [BOUNDARY, None])
+
+
+def baseline_equals_increments(s: Source) -> DataFrame:
+    return baseline_evidence(s, [BOUNDARY, SECOND_BOUNDARY, None])
+
+
 # -- text and files ------------------------------------------------------------------------------
 
 
@@ -581,6 +599,9 @@ QUERIES: dict[str, Query] = {
     "file_rules": file_rules,
     "published_daily_sales": published_daily_sales,
     "published_shipping_sla": published_shipping_sla,
+    "published_fact_sales": published_fact_sales,
+    "replay_idempotence": replay_idempotence,
+    "baseline_equals_increments": baseline_equals_increments,
 }
 
 

@@ -1,8 +1,9 @@
 """Versioned tables on plain Parquet and the publish log that makes a version visible.
 
-A table is split into buckets by a hash of its key. A version writes only the buckets it touches,
-as ``<table>/version=N/bucket=B``; a reader takes, for each bucket, the newest published version.
-The number of buckets stands in the log; a store opened with another number takes that one.
+A dated table is partitioned by month. A version writes only the months it touches, as
+``<table>/version=N/part_month=YYYY-MM``; a reader takes, for each month, the newest published version.
+A month that lost its last row is published as gone. Overwriting months in place would be shorter, but
+a reader would then see some months of an increment without the others.
 Publishing appends one file to the log, so all tables of a version appear at the same instant and an
 unpublished or half-written version is never read. One writer runs at a time.
 """
@@ -13,7 +14,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
@@ -21,10 +22,17 @@ from millrace.sources.bronze import append_entry, read_log
 
 LOG_SCHEMA = "version bigint, kind string, table_name string, item string"
 WHOLE = "whole"
+MONTH = "part_month"
+UNDATED = "undated"
 
 Entry = tuple[int, str, str | None, str | None]
 
 
+def month_of(at: str) -> Column:
+    """Name of the month a date or time falls into; rows without one share a name of their own."""
+    return F.coalesce(F.date_format(F.to_date(at), "yyyy-MM"), F.lit(UNDATED))
+
+
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate result that several branches read."""
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
@@ -36,7 +44,7 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
 class Snapshot:
     """One published state: where each table's parts are and which input batches it contains.
 
-    Only this map, at most one entry per table and bucket, is held on the driver.
+    Only this map, at most one entry per table and month, is held on the driver.
     """
 
     store: TableStore
@@ -44,30 +52,32 @@ class Snapshot:
     parts: dict[str, dict[str, int]] = field(default_factory=dict)
     batches: set[str] = field(default_factory=set)
 
-    def read(self, table: str, schema: str | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
-        """Rows of a table, from all buckets or some. None, or no rows under ``schema``, if there are none."""
+    def read(self, table: str, schema: str | None = None, months: Sequence[str] | None = None) -> DataFrame | None:
+        """Rows of a table, from all months or some. None, or no rows under ``schema``, if there are none."""
         spark, parts = self.store.spark, self.parts.get(table, {})
-        if buckets is not None:
-            wanted = {str(b) for b in buckets}
+        if months is not None:
+            wanted = set(months)
             parts = {item: version for item, version in parts.items() if item in wanted}
         if not parts:
             return spark.createDataFrame([], schema) if schema else None
         base = f"{self.store.root}/{table}"
         paths = [
-            f"{base}/version={version}" + ("" if item.startswith(WHOLE) else f"/bucket={item}")
+            f"{base}/version={version}" + ("" if item.startswith(WHOLE) else f"/{MONTH}={item}")
             for item, version in parts.items()
         ]
         reader = spark.read.option("basePath", base)
         if schema:
             reader = reader.schema(schema)
-        return reader.parquet(*paths).drop("version", "bucket")
+        return reader.parquet(*paths).drop("version", MONTH)
+
+    def months(self, table: str) -> list[str]:
+        return sorted(self.parts.get(table, {}))
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
-        self.buckets = buckets
 
     @property
     def _log_path(self) -> str:
@@ -81,14 +91,12 @@ class TableStore:
         rows = log.groupBy("kind", "table_name", "item").agg(F.max("version").alias("version")).collect()
         rebuilt = max((r.version for r in rows if r.kind == "reset"), default=0)
         state = Snapshot(self, max((r.version for r in rows), default=0))
+        gone = {(r.table_name, r.item): r.version for r in rows if r.kind == "gone"}
         for r in rows:
-            if r.kind == "part" and r.version >= rebuilt:
+            if r.kind == "part" and r.version >= rebuilt and r.version > gone.get((r.table_name, r.item), 0):
                 state.parts.setdefault(r.table_name, {})[r.item] = r.version
             elif r.kind == "batch" and r.version >= rebuilt:
                 state.batches.add(r.item)
-        counts = [r for r in rows if r.kind == "buckets"]
-        if counts:  # the count a store was begun with holds for its life
-            self.buckets = int(min(counts, key=lambda r: r.version).item)
         return state
 
     def version(self) -> int:
@@ -97,28 +105,24 @@ class TableStore:
     def read(self, table: str, schema: str | None = None, as_of: int | None = None) -> DataFrame | None:
         return self.snapshot(as_of).read(table, schema)
 
-    # -- buckets ----------------------------------------------------------------------------
-
-    def bucketed(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int"))
-
-    def touched(self, df: DataFrame, key: Sequence[str]) -> list[int]:
-        """Buckets the rows fall into; at most ``buckets`` numbers reach the driver."""
-        return [r.bucket for r in self.bucketed(df.select(*key), key).select("bucket").distinct().collect()]
+    # -- write ------------------------------------------------------------------------------
 
-    def write_buckets(self, table: str, df: DataFrame, key: Sequence[str], version: int) -> list[Entry]:
-        """Write the rows of the touched buckets and return the log entries that publish them.
+    def write_months(self, table: str, df: DataFrame, at: str, version: int, touched: Sequence[str] = ()) -> list[Entry]:
+        """Write all rows of the touched months and return the log entries that publish them.
 
-        The rebalance hint lets adaptive execution merge small and split large bucket outputs.
+        ``touched`` names months that were read for this version; one that has no row any more is gone.
+        The rebalance hint lets adaptive execution merge small and split large months.
         """
         path = f"{self.root}/{table}/version={version}"
-        rows = self.bucketed(df, key).hint("rebalance", "bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
-        present = self.spark.read.parquet(path).select("bucket").distinct().collect()
-        return [(version, "part", table, str(r.bucket)) for r in present]
+        rows = df.withColumn(MONTH, month_of(at)).hint("rebalance", MONTH)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(path)
+        stored = self.spark.read.schema(rows.schema).parquet(path).select(MONTH).distinct()
+        present = {r[MONTH] for r in stored.collect()}
+        kept = [(version, "part", table, month) for month in sorted(present)]
+        return kept + [(version, "gone", table, month) for month in sorted(set(touched) - present)]
 
     def write_whole(self, table: str, df: DataFrame, version: int, append: bool = False) -> list[Entry]:
-        """Write an unbucketed table; with ``append`` earlier versions stay part of it."""
+        """Write a table without months; with ``append`` earlier versions stay part of it."""
         df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.root}/{table}/version={version}")
         return [(version, "part", table, f"{WHOLE}-{version}" if append else WHOLE)]
 
@@ -127,9 +131,10 @@ class TableStore:
     def publish(self, version: int, parts: Sequence[Entry], batches: Sequence[str] = (), reset: bool = False) -> None:
         """Make a version visible; with ``reset`` it replaces everything published before."""
         head = (version, "reset" if reset else "version", None, None)
-        entries = [head, (version, "buckets", None, str(self.buckets)), *parts, *[(version, "batch", None, b) for b in batches]]
+        entries = [head, *parts, *[(version, "batch", None, b) for b in batches]]
         append_entry(self.spark.createDataFrame(entries, LOG_SCHEMA), self._log_path)
 
-    def candidate(self, table: str, version: int) -> DataFrame:
+    def candidate(self, table: str, version: int, schema: str | None = None) -> DataFrame:
         """A table of one version, published or not."""
-        return self.spark.read.parquet(f"{self.root}/{table}/version={version}")
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.root}/{table}/version={version}").drop(MONTH)

@@ -51,7 +51,7 @@ class Lakehouse:
     def __init__(self, spark, root: str):
         self.spark = spark
         self.root = root
-        self.silver = TableStore(spark, f"{root}/silver", buckets=4)
+        self.silver = TableStore(spark, f"{root}/silver")
         self.gold = TableStore(spark, f"{root}/gold")
 
     def arrive(self, object_name: str, rows: list[tuple]) -> str | None:

@@ -174,36 +174,32 @@ def test_jdbc_options_split_the_read():
 
 
 def test_store_publishes_all_tables_at_once(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path), buckets=4)
+    store = TableStore(spark, str(tmp_path))
+    dated = spark.range(100).withColumn("at", F.expr("date_add(date'2026-01-01', cast(id AS int))"))
     assert store.version() == 0 and store.read("t") is None and store.read("t", "id bigint").count() == 0
-    one = store.write_buckets("t", spark.range(100), ["id"], 1) + store.write_whole("u", spark.range(3), 1)
+    one = store.write_months("t", dated, "at", 1) + store.write_whole("u", spark.range(3), 1)
     assert store.read("t") is None
     store.publish(1, one, ["b1"])
     assert (store.version(), store.read("t").count(), store.read("u").count()) == (1, 100, 3)
+    assert store.snapshot().months("t") == ["2026-01", "2026-02", "2026-03", "2026-04"]
 
-    touched = store.touched(spark.range(1), ["id"])
-    assert len(touched) == 1
-    kept = store.snapshot().read("t", buckets=touched).where("id <> 0")
-    two = store.write_buckets("t", kept, ["id"], 2)
-    assert store.read("t").count() == 100
+    kept = store.snapshot().read("t", months=["2026-01"]).where("id <> 0")
+    two = store.write_months("t", kept, "at", 2, ["2026-01"])
+    assert two == [(2, "part", "t", "2026-01")] and store.read("t").count() == 100
     store.publish(2, two, ["b2"])
     assert (store.read("t").count(), store.read("t", as_of=1).count()) == (99, 100)
     assert store.snapshot().batches == {"b1", "b2"}
 
-    store.publish(3, store.write_buckets("t", spark.range(5), ["id"], 3), ["b3"], reset=True)
-    assert (store.read("t").count(), store.read("u"), store.snapshot().batches) == (5, None, {"b3"})
-
+    # A month that lost all its rows is gone, and may come back.
+    gone = store.write_months("t", dated.where("false"), "at", 3, ["2026-02"])
+    assert gone == [(3, "gone", "t", "2026-02")] and store.candidate("t", 3, "id bigint, at date").count() == 0
+    store.publish(3, gone)
+    assert store.read("t").where("month(at) = 2").count() == 0 and store.read("t").count() == 99 - 28
+    store.publish(4, store.write_months("t", dated.where("id = 40"), "at", 4, ["2026-02"]))
+    assert store.read("t").where("month(at) = 2").count() == 1
 
-def test_a_store_keeps_its_bucket_count(spark, tmp_path):
-    first = TableStore(spark, str(tmp_path), buckets=4)
-    first.publish(1, first.write_buckets("t", spark.range(50), ["id"], 1))
-    other = TableStore(spark, str(tmp_path), buckets=7)
-    before = other.snapshot()
-    assert other.buckets == 4
-    touched = other.touched(spark.range(1), ["id"])
-    kept = before.read("t", buckets=touched).where("id <> 0")
-    other.publish(2, other.write_buckets("t", kept, ["id"], 2))
-    assert sorted(r.id for r in other.read("t").collect()) == list(range(1, 50))
+    store.publish(5, store.write_months("t", dated.limit(5), "at", 5), ["b3"], reset=True)
+    assert (store.read("t").count(), store.read("u"), store.snapshot().batches) == (5, None, {"b3"})
 
 
 @pytest.mark.parametrize("upper,lower,expected", [("2024-01-01 00:00:00", "2024-01-01", True), ("2024-01-01 00:00:00.5", "2024-01-01 00:00:00", False), ("2023-12-31", "2024-01-01 00:00:01", True)])

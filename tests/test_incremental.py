@@ -6,7 +6,6 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.dedup import upsert
 from millrace.plans import gold
 from millrace.plans.binding import Source
 from millrace.plans.gold import AuditFailed, SchemaMismatch
@@ -14,6 +13,8 @@ from millrace.plans.measures import measures, prior_year_dates
 from millrace.plans.pipeline import source_object
 from millrace.plans.retail import SALES_COLUMNS, conform
 from millrace.sources import bronze
+from millrace.streaming import monthly
+from millrace.streaming.monthly import merge_by_month
 from tests.lakehouse import (
     BASELINE_LINES,
     CUSTOMER,
@@ -90,9 +91,7 @@ def test_late_dimension_version_moves_existing_facts(house):
 def lines_only(inc):
     """The smallest transform: current lines by key."""
     arrived = inc.arrived("sales_order_line").select(*SALES_COLUMNS)
-    touched = inc.store.touched(arrived, ["sales_id"])
-    merged = upsert(inc.current("lines", SALES, touched), arrived, ["sales_id"], ["dwh_load_ts"])
-    return inc.store.write_buckets("lines", merged, ["sales_id"], inc.version)
+    return merge_by_month(inc, "lines", SALES, "sales_id", "order_date", arrived, ["dwh_load_ts"])[2]
 
 
 def stored(house):
@@ -129,6 +128,55 @@ def test_interrupted_run_and_overlapping_commit(house):
     assert stored(house) == [1, 2, 7, 8]
 
 
+def months_of(house, table="lines"):
+    return house.silver.snapshot().parts[table]
+
+
+def test_an_increment_leaves_other_months_unwritten(house):
+    house.arrive("sales_order_line", [line(i, i, 1, day(m, 10), 1, "9.00", "9.00", at(4, 1)) for i, m in ((1, 1), (2, 1), (3, 2), (4, 3))])
+    house.run(lines_only)
+    assert months_of(house) == {"2026-01": 1, "2026-02": 1, "2026-03": 1}
+
+    # A new line in March and one without a date: nothing else is written.
+    house.arrive("sales_order_line", [line(5, 5, 1, day(3, 11), 1, "9.00", "9.00", at(4, 2)), line(6, 6, 1, None, 1, "9.00", "9.00", at(4, 2))])
+    house.run(lines_only)
+    assert months_of(house) == {"2026-01": 1, "2026-02": 1, "2026-03": 2, "undated": 2}
+
+    # The only line of February moves to January, and the undated one gets a date: their old months are gone.
+    house.arrive("sales_order_line", [line(3, 3, 1, day(1, 30), 1, "9.00", "9.00", at(4, 3)), line(6, 6, 1, day(3, 1), 1, "9.00", "9.00", at(4, 3))])
+    house.run(lines_only)
+    assert months_of(house) == {"2026-01": 3, "2026-03": 3}
+    assert stored(house) == [1, 2, 3, 4, 5, 6]
+    assert {r.sales_id for r in house.silver.read("lines", as_of=2).where("order_date IS NULL OR month(order_date) = 2").collect()} == {3, 6}
+
+    # An older copy that names another month changes no row and leaves the line where it is.
+    stale = house.spark.createDataFrame([line(3, 3, 1, day(5, 5), 1, "1.00", "1.00", at(1, 1))], SALES)
+    commit_by_hand(house, "stale", stale, "2026-01-01 12:00:00")
+    house.run(lines_only)
+    assert stored(house) == [1, 2, 3, 4, 5, 6] and "2026-05" not in months_of(house)
+    places = {r.sales_id: r.month for r in monthly._newest(house.silver.read("lines_places"), "sales_id").collect()}
+    assert places == {1: "2026-01", 2: "2026-01", 3: "2026-01", 4: "2026-03", 5: "2026-03", 6: "2026-03"}
+
+
+def test_places_are_written_as_one_after_many_increments(house, monkeypatch):
+    monkeypatch.setattr(monthly, "PLACE_PARTS", 2)
+    for i in range(1, 5):
+        moving = line(1, 1, 1, day(i, 1), 1, "9.00", "9.00", at(6, i))
+        house.arrive("sales_order_line", [moving, line(10 + i, 1, 1, day(i, 2), 1, "9.00", "9.00", at(6, i))])
+        house.run(lines_only)
+        assert stored(house) == [1, *range(11, 11 + i)]
+        assert len(months_of(house, "lines_places")) <= 2
+    assert {r.sales_id: r.month for r in monthly._newest(house.silver.read("lines_places"), "sales_id").collect()}[1] == "2026-04"
+
+
+def test_lines_without_a_key_count_as_one(house):
+    house.arrive("sales_order_line", [line(None, 1, 1, day(1, 1), 1, "9.00", "9.00", at(6, 1)), line(1, 1, 1, day(1, 1), 1, "9.00", "9.00", at(6, 1))])
+    house.run(lines_only)
+    house.arrive("sales_order_line", [line(None, 1, 1, day(2, 1), 1, "8.00", "8.00", at(6, 2))])
+    house.run(lines_only)
+    assert {(r.sales_id, r.order_date) for r in house.silver.read("lines").collect()} == {(None, day(2, 1)), (1, day(1, 1))}
+
+
 def test_failing_transform_changes_nothing(house):
     house.arrive("sales_order_line", BASELINE_LINES)
 
