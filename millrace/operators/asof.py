@@ -35,12 +35,17 @@ def asof_join(
 
 @dataclass(frozen=True)
 class Dimension:
-    """How a fact meets one history: its key column, the date that picks the version, what to take."""
+    """How a fact meets one history: its key column, the date that picks the version, what to take.
+
+    ``period`` is the time that deals versions and facts out. A month suits few entities with versions on most days. For many
+    entities with few versions each, a month gives far more rows than there are versions; a year keeps their number near it.
+    """
 
     history: DataFrame
     entity: str
     take: dict[str, str]
     at: str = "order_date"
+    period: str = "month"
 
 
 def date_range(dates: DataFrame, at: str) -> tuple[Column, Column]:
@@ -49,34 +54,36 @@ def date_range(dates: DataFrame, at: str) -> tuple[Column, Column]:
     return dates.agg(F.min(month)).scalar(), dates.agg(F.max(month)).scalar()
 
 
-def by_month(history: DataFrame, entity: str, take: Sequence[str], months: tuple[Column, Column]) -> DataFrame:
-    """Each version once per month it covers within the range, open ends cut at it.
+def by_month(
+    history: DataFrame, entity: str, take: Sequence[str], months: tuple[Column, Column], period: str = "month"
+) -> DataFrame:
+    """Each version once per month (or year, by ``period``) it covers within the range, open ends cut at it.
 
-    An entity has a row per month, plus one per version that starts within it: for dates 31 at most.
+    An entity has a row per period, plus one per version that starts within it: for dates 31 at most, or 366.
     """
-    first, last = months
+    first, last = (F.trunc(bound, period) for bound in months)
     final_day = F.date_sub(F.col("valid_to"), 1)
-    start = F.greatest(F.trunc("valid_from", "MM"), first)
-    stop = F.least(F.coalesce(F.trunc(final_day, "MM"), last), last)
-    covered = F.when(start <= stop, F.sequence(start, stop, F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
+    start = F.greatest(F.trunc("valid_from", period), first)
+    stop = F.least(F.coalesce(F.trunc(final_day, period), last), last)
+    covered = F.when(start <= stop, F.sequence(start, stop, F.expr(f"interval 1 {period}"))).otherwise(F.array().cast("array<date>"))
     return history.select(entity, "valid_from", "valid_to", *[c for c in take if c not in (entity, "valid_from", "valid_to")], F.explode(covered).alias("month"))
 
 
 def asof_join_all(facts: DataFrame, dimensions: Sequence[Dimension], months: tuple[Column, Column]) -> DataFrame:
     """Left join to several histories at once, the facts read a single time.
 
-    A fact meets only the versions that cover its month: an equi-join on entity and month with the interval as the rest of the
+    A fact meets only the versions that cover its month (or year, see ``Dimension``): an equi-join on entity and month with the interval as the rest of the
     condition. Nothing is resolved beforehand, so no distinct dates are taken from the facts. Months split an entity's rows, and
     adaptive execution can split a hot entity's month further. ``months`` must contain the facts' dates; facts outside
     find no version. Rows without entity or date are kept without one.
     """
     for number, d in enumerate(dimensions):
-        spread = by_month(d.history, d.entity, list(d.take), months)
+        spread = by_month(d.history, d.entity, list(d.take), months, d.period)
         names = {c: f"version_{number}_{c}" for c in spread.columns}
         versions = spread.select(*[F.col(c).alias(name) for c, name in names.items()])
         at = F.col(d.at)
         valid = (at >= F.col(names["valid_from"])) & (F.col(names["valid_to"]).isNull() | (at < F.col(names["valid_to"])))
-        same = (F.col(d.entity) == F.col(names[d.entity])) & (F.trunc(at, "MM") == F.col(names["month"]))
+        same = (F.col(d.entity) == F.col(names[d.entity])) & (F.trunc(at, d.period) == F.col(names["month"]))
         columns = facts.columns
         facts = facts.join(versions, same & valid, "left").select(*columns, *[F.col(names[c]).alias(out) for c, out in d.take.items()])
     return facts

@@ -169,11 +169,11 @@ class Source:
         """
         on_order, on_line = [], []
         if customer:
-            on_order.append(Dimension(self.customer_history(), "customer_id", {"tier": "customer_tier", "version_key": "customer_version"}))
+            on_order.append(Dimension(self.customer_history(), "customer_id", {"tier": "customer_tier", "version_key": "customer_version"}, period="year"))
         if location:
             on_order.append(Dimension(self.location_history(), "location_id", {"tier": "location_tier", "version_key": "location_version"}))
         if product:
-            on_line.append(Dimension(self.product_history(), "product_id", {"supplier_id": "supplier_id", "version_key": "product_version"}))
+            on_line.append(Dimension(self.product_history(), "product_id", {"supplier_id": "supplier_id", "version_key": "product_version"}, period="year"))
         months = self.order_months()
         headers = attach_versions(self.headers(), on_order, months)
         facts = attach_versions(self.sales(headers), on_line, months)

@@ -174,14 +174,14 @@ def asof_customer(s: Source) -> DataFrame:
     lines = s.line_columns().select(*LINE_KEY, "ship_date")
     orders = s.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
     months = date_range(s.table("lineitem").select("l_shipdate"), "l_shipdate")
-    tier = Dimension(s.customer_history(), "customer_id", {"tier": "tier", "valid_from": "valid_from"}, at="ship_date")
+    tier = Dimension(s.customer_history(), "customer_id", {"tier": "tier", "valid_from": "valid_from"}, at="ship_date", period="year")
     return asof_join_all(lines.join(orders, "order_id", "left"), [tier], months)
 
 
 def asof_product(s: Source) -> DataFrame:
     orders = s.table("orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").alias("order_date"))
     facts = s.line_columns().select(*LINE_KEY, "product_id").join(orders, "order_id", "left")
-    supplier = Dimension(s.product_history(), "product_id", {"supplier_id": "supplier_id", "valid_from": "valid_from"})
+    supplier = Dimension(s.product_history(), "product_id", {"supplier_id": "supplier_id", "valid_from": "valid_from"}, period="year")
     return asof_join_all(facts, [supplier], s.order_months())
 
 

@@ -83,6 +83,17 @@ def test_a_version_has_a_row_per_month_it_covers(spark, few_partitions):
     assert [(e, m.month) for e, _, m in rows] == [(1, 1), (1, 2), (1, 2), (1, 3)]
 
 
+def test_years_pick_the_same_versions_with_fewer_rows(spark, few_partitions):
+    facts, products = facts_of(spark, 1), history_of(spark, 3, 9, "product_id")
+    months = date_range(facts, "order_date")
+    take = {"state": "kind", "valid_from": "since"}
+    by = {p: asof_join_all(facts, [Dimension(products, "product_id", take, period=p)], months) for p in ("month", "year")}
+    assert sorted(map(str, by["year"].collect())) == sorted(map(str, by["month"].collect()))
+    assert {r.id: r.kind for r in by["year"].collect()} == expected(facts, products, "product_id", "kind")
+    spread = {p: by_month(products, "product_id", [], months, p).count() for p in ("month", "year")}
+    assert products.count() <= spread["year"] <= products.count() + 2 * 9 < spread["month"]
+
+
 def test_no_facts_and_no_versions(spark, few_partitions):
     none = facts_of(spark, 1, 0)
     some = facts_of(spark, 1, 20)
