@@ -1,11 +1,13 @@
 """Cases the golden fixture does not reach: transitions, staggered files, crashes and overlaps."""
 
+import random
 from decimal import Decimal
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.dedup import merge_unique, upsert
 from millrace.plans import gold
 from millrace.plans.binding import Source
 from millrace.plans.gold import AuditFailed, SchemaMismatch
@@ -169,6 +171,36 @@ def test_places_are_written_as_one_after_many_increments(house, monkeypatch):
     assert {r.sales_id: r.month for r in monthly._newest(house.silver.read("lines_places"), "sales_id").collect()}[1] == "2026-04"
 
 
+def test_rows_with_new_keys_are_not_matched(house, monkeypatch):
+    """A first load, an increment of new keys and a rebuild only deal rows to their months; a known key is matched."""
+    matched = []
+    merge = monthly.merge_unique
+    monkeypatch.setattr(monthly, "merge_unique", lambda *a: matched.append(1) or merge(*a))
+    house.arrive("sales_order_line", [line(i, i, 1, day(1, i), 1, "9.00", "9.00", at(6, 1)) for i in (1, 2)])
+    house.run(lines_only)
+    house.arrive("sales_order_line", [line(3, 3, 1, day(1, 3), 1, "9.00", "9.00", at(6, 2))])
+    house.run(lines_only)
+    assert matched == [] and stored(house) == [1, 2, 3]
+    house.arrive("sales_order_line", [line(3, 3, 1, day(2, 3), 1, "9.00", "9.00", at(6, 3))])
+    house.run(lines_only)
+    assert matched == [1] and stored(house) == [1, 2, 3]
+    house.run(lines_only, mode="baseline")
+    assert matched == [1] and stored(house) == [1, 2, 3] and set(months_of(house)) == {"2026-01", "2026-02"}
+
+
+def test_merge_of_unique_sides_equals_the_upsert(spark):
+    rnd = random.Random(7)
+
+    def side(keys):
+        rows = [(k, rnd.choice([None, 1, 2]), rnd.choice([None, "a", "b"]), rnd.choice([None, [], ["x"], ["x", "y"]])) for k in keys]
+        return spark.createDataFrame(rows, "k bigint, at int, name string, rules array<string>")
+
+    target, source = side([None, *range(60)]), side([None, *range(30, 90)])
+    merged, want = (f(target, source, ["k"], ["at"]) for f in (merge_unique, upsert))
+    assert merged.columns == want.columns
+    assert sorted(map(str, merged.collect())) == sorted(map(str, want.collect()))
+
+
 def test_lines_without_a_key_count_as_one(house):
     house.arrive("sales_order_line", [line(None, 1, 1, day(1, 1), 1, "9.00", "9.00", at(6, 1)), line(1, 1, 1, day(1, 1), 1, "9.00", "9.00", at(6, 1))])
     house.run(lines_only)
