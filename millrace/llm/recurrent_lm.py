@@ -8,9 +8,11 @@ the counts give three things: the add-one base score, the vocabulary of the netw
    ``CLASSES * CLASS_WORDS - 2`` of them, the end token and a token for all other words are the outputs of the network.
 3. The network is a gated recurrent unit with an input table instead of an embedding, and a class-factored softmax: the classes are
    runs of the frequency order, P(word) = P(class) * P(word | class). Output biases start at the logarithms of the corpus counts.
-   It is trained in one task by Adam with backpropagation truncated to windows of ``WINDOW`` tokens, the state being carried from
-   window to window, on ``TRAINING_DOCUMENTS`` documents at most, those first in the order of a hash, of each a run of at most
-   ``TRAINING_RUN`` tokens that starts at a hashed place. These bounds are those on what training reads; counts cover all.
+   It is trained by Adam with backpropagation truncated to windows of ``WINDOW`` tokens, the state being carried from window to
+   window. One task makes a starting point from runs of at most ``TRAINING_RUN`` tokens of ``TRAINING_DOCUMENTS`` documents. From there
+   each task reads all tokens of all its training documents, laid end to end in ``STREAMS`` streams in which every document
+   starts without memory, and the weights of the tasks are averaged by the tokens each has read. The average is taken block by block
+   on Spark; one set of weights, under 2 MB, reaches the driver.
 4. Scoring is a map over the texts. Documents of similar length advance side by side, window by window, the state carried to the end,
    so a text of any length is scored whole with the memory of one window. A word outside the network's outputs costs the
    network's probability for "other word" times ``(c + 1) / (tail tokens + tail words + 1)``; hence all probabilities sum to one.
@@ -19,7 +21,7 @@ the counts give three things: the add-one base score, the vocabulary of the netw
 Defined cases: a null text counts as empty and has the end token alone; a row without id is a training document; equal ids and
 repeated rows are scored one by one and each counts for training; a very long text is scored whole, a very long word is a word like
 others, outside the table; ties in frequency go by the bytes of the word; without training documents all counts are
-zero and the network keeps its initial weights; an empty table gives no rows; other columns are not read.
+zero and the network keeps its initial weights; the weights depend on how Spark deals documents to tasks; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ from millrace.llm.common import materialise, text_of
 TABLE_WORDS, TABLE_WORD_BYTES = 300_000, 64
 #: Outputs of the network, hidden units, tokens of a window.
 CLASSES, CLASS_WORDS, HIDDEN, WINDOW = 64, 64, 24, 32
-#: Bounds on what training reads.
+#: Bounds on what the starting point of training reads.
 TRAINING_DOCUMENTS, TRAINING_RUN = 2_048, 512
+#: The pass over all training documents: streams side by side, tokens dealt out at a time, rate, numbers of a block of weights.
+STREAMS, DEALT, PASS_RATE, BLOCK = 256, 2_000_000, 0.002, 4_096
 EPOCHS, BATCH, RATE, CLIP, SEED = 3, 64, 0.01, 1.0, 11
 #: Documents that advance side by side when scored.
 GROUP = 2_048
@@ -210,12 +214,14 @@ def score_documents(p: Parameters, documents: list[np.ndarray]) -> np.ndarray:
 def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, Parameters, np.ndarray]:
     """Loss, gradient and last state of one window; the gradient stops at the window's first state.
 
-    ``inputs``, ``targets`` and ``mask`` are steps by documents; masked targets do not count.
+    ``inputs``, ``targets`` and ``mask`` are steps by documents; masked targets do not count. An end token as input starts
+    a document, which knows nothing of the one before it.
     """
     steps, kept, states = len(inputs), [], []
     table = p["inputs"] + p["gate_bias"]
+    goes_on = (inputs != _END)[:, :, None].astype(h.dtype)
     for t in range(steps):
-        h, memo = step(p, table[inputs[t]], h)
+        h, memo = step(p, table[inputs[t]], h * goes_on[t])
         kept.append(memo)
         states.append(h)
     outer = {name: np.zeros_like(value) for name, value in p.items()}
@@ -251,19 +257,40 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
         d_new = d * (1 - keep) * (1 - new**2)
         d_gates = np.concatenate([d * (previous - new) * keep * (1 - keep), d_new * inner * reset * (1 - reset), d_new * reset], axis=1)
         outer["state"] += previous.T @ d_gates
-        back = d * keep + d_gates @ p["state"].T
+        back = (d * keep + d_gates @ p["state"].T) * goes_on[t]
         d_gates[:, 2 * HIDDEN :] = d_new
         d_entered[t] = d_gates
     outer["gate_bias"] = d_entered.sum(axis=(0, 1))
-    np.add.at(outer["inputs"], inputs.reshape(-1), d_entered.reshape(-1, 3 * HIDDEN))
+    order = np.argsort(inputs.reshape(-1), kind="stable")
+    found, firsts = np.unique(inputs.reshape(-1)[order], return_index=True)
+    outer["inputs"][found] = np.add.reduceat(d_entered.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
     return loss * float(scale), outer, h
 
 
+class Adam:
+    """Weights with the moments of their gradients."""
+
+    def __init__(self, p: Parameters):
+        self.p = {name: value.copy() for name, value in p.items()}
+        self.moments = {name: (np.zeros_like(v), np.zeros_like(v)) for name, v in p.items()}
+        self.updates = 0
+
+    def update(self, gradient: Parameters, rate: float) -> None:
+        self.updates += 1
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in gradient.values()))
+        clip = np.float32(min(1.0, CLIP / max(norm, 1e-12)))
+        rate *= math.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates)
+        for name, g in gradient.items():
+            g = g * clip
+            first, second = self.moments[name]
+            first += np.float32(0.1) * (g - first)
+            second += np.float32(0.001) * (g * g - second)
+            self.p[name] -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-8))
+
+
 def train(p: Parameters, runs: list[np.ndarray]) -> Parameters:
     """Adam over windows of documents that advance side by side. ``runs`` are token ids, each with the token before it in front."""
-    p = {name: value.copy() for name, value in p.items()}
-    moments = {name: (np.zeros_like(v), np.zeros_like(v)) for name, v in p.items()}
-    rng, updates = np.random.default_rng(SEED), 0
+    learner, rng = Adam(p), np.random.default_rng(SEED)
     runs = sorted((r for r in runs if len(r) > 1), key=len)
     batches = [runs[i : i + BATCH] for i in range(0, len(runs), BATCH)]
     planned = max(1, EPOCHS * sum(-(-(len(b[-1]) - 1) // WINDOW) for b in batches))
@@ -277,17 +304,32 @@ def train(p: Parameters, runs: list[np.ndarray]) -> Parameters:
             h = np.zeros((len(batch), HIDDEN), dtype=np.float32)
             for begin in range(0, longest - 1, WINDOW):
                 end = min(begin + WINDOW, longest - 1)
-                _, gradient, h = window_gradient(p, tokens[begin:end], tokens[begin + 1 : end + 1], mask[begin + 1 : end + 1], h)
-                updates += 1
-                norm = math.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in gradient.values()))
-                rate = RATE * (1 - 0.95 * updates / planned) * math.sqrt(1 - 0.999**updates) / (1 - 0.9**updates)
-                for name, g in gradient.items():
-                    g = g * np.float32(min(1.0, CLIP / max(norm, 1e-12)))
-                    first, second = moments[name]
-                    first += np.float32(0.1) * (g - first)
-                    second += np.float32(0.001) * (g * g - second)
-                    p[name] -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-8))
-    return p
+                _, gradient, h = window_gradient(learner.p, tokens[begin:end], tokens[begin + 1 : end + 1], mask[begin + 1 : end + 1], h)
+                learner.update(gradient, RATE * (1 - 0.95 * (learner.updates + 1) / planned))
+    return learner.p
+
+
+def read_whole(learner: Adam, documents: list[np.ndarray]) -> int:
+    """Learn once from every token of whole documents, each its words' ids and the end token. Returns the number of tokens."""
+    targets = np.concatenate(documents)
+    inputs = np.concatenate([[_END], targets[:-1]])  # the end of one document is what the next begins with
+    size = len(targets)
+    streams = min(STREAMS, -(-size // WINDOW))
+    length = -(-size // streams)
+    laid = [np.concatenate([x, np.zeros(streams * length - size, dtype=x.dtype)]).reshape(streams, length).T for x in (inputs, targets)]
+    mask = (np.arange(streams * length) < size).reshape(streams, length).T
+    h = np.zeros((streams, HIDDEN), dtype=np.float32)
+    for begin in range(0, length, WINDOW):
+        part = slice(begin, begin + WINDOW)
+        _, gradient, h = window_gradient(learner.p, laid[0][part], laid[1][part], mask[part], h)
+        learner.update(gradient, PASS_RATE)
+    return size
+
+
+def from_vector(p: Parameters, vector: np.ndarray) -> Parameters:
+    """Weights of the shapes of ``p`` from all their numbers in one row."""
+    ends = np.cumsum([x.size for x in p.values()])
+    return {name: part.reshape(p[name].shape) for name, part in zip(p, np.split(vector, ends[:-1]), strict=True)}
 
 
 # -- over Spark -----------------------------------------------------------------------------------
@@ -296,7 +338,58 @@ _PARAMETER_SCHEMA = "name string, shape array<int>, data binary"
 
 
 def trained(source: DataFrame, v: Vocabulary) -> Parameters:
-    """The network after training in one task on a bounded sample of the training documents."""
+    """The network after training on all training documents."""
+    return averaged(source, v, starting_point(source, v))
+
+
+def averaged(source: DataFrame, v: Vocabulary, start: Parameters) -> Parameters:
+    """Average, by tokens read, of the weights each task has after one pass over all its training documents."""
+    shared = source.sparkSession.sparkContext.broadcast((v.known, v.outputs, start))
+    names = ["block", "tokens", "data"]
+    schema = "block int, tokens bigint, data binary"
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, outputs, p = shared.value
+        learner, documents, held, tokens = Adam(p), [], 0, 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                ids = np.fromiter(map(known.get, words, repeat(_OTHER)), dtype=np.int64, count=len(words))
+                documents.append(np.append(np.where(ids < outputs, ids, _OTHER), _END))
+                held += len(words) + 1
+                if held >= DEALT:
+                    tokens += read_whole(learner, documents)
+                    documents, held = [], 0
+        if documents:
+            tokens += read_whole(learner, documents)
+        if tokens:
+            vector = np.concatenate([x.reshape(-1) for x in learner.p.values()])
+            blocks = [vector[i : i + BLOCK].astype("<f8") * tokens for i in range(0, len(vector), BLOCK)]
+            yield rows_of(range(len(blocks)), [tokens] * len(blocks), blocks)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for block, tokens, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sofar = sums.setdefault(block, [0, 0.0])
+                sofar[0], sofar[1] = sofar[0] + tokens, sofar[1] + np.frombuffer(data, dtype="<f8")
+        if sums:
+            yield rows_of(sums, [t for t, _ in sums.values()], [x for _, x in sums.values()])
+
+    def rows_of(blocks, tokens, data) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip((blocks, tokens, [x.tobytes() for x in data]), kinds, strict=True)], names=names)
+
+    learned = materialise(source.filter("NOT held_out").select("text").mapInArrow(learn, schema))
+    rows = learned.repartition("block").mapInArrow(add, schema).orderBy("block").collect()
+    if not rows:
+        return start
+    vector = np.concatenate([np.frombuffer(r.data, dtype="<f8") / r.tokens for r in rows])
+    return from_vector(start, vector.astype(np.float32))
+
+
+def starting_point(source: DataFrame, v: Vocabulary) -> Parameters:
+    """The network after training in one task on runs of a bounded number of training documents."""
     known = source.sparkSession.sparkContext.broadcast(v.known)
     start, outputs = initial(v), v.outputs
     place = F.xxhash64("doc_id")

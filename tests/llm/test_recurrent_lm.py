@@ -136,3 +136,63 @@ def test_training_learns_an_order_the_counts_do_not_show(monkeypatch):
     trained = lm.train(p, runs)
     before, after = (lm.score_documents(q, [runs[0][1:]])[0] / len(runs[0]) for q in (p, trained))
     assert before < -1.5 and after > -0.5
+
+
+def test_weights_come_from_all_training_documents(spark, few_partitions, monkeypatch):
+    """Two corpora with the same counts and the same starting point, but other word orders outside it, give other weights."""
+    monkeypatch.setattr(lm, "TRAINING_DOCUMENTS", 1)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = [f"w{i % 9}" for i in range(60)]
+    found = []
+    for changed in (None, 0, 1):
+        made = []
+        for i in ids:
+            made.append((i, " ".join(words)))
+        sources = lm._source(spark.createDataFrame(made, "doc_id bigint, text string"), "doc_id", "text")
+        place = F.xxhash64("doc_id")
+        last = [r.doc_id for r in sources.orderBy(place.desc()).limit(2).collect()]
+        if changed is not None:
+            made = [(i, " ".join(sorted(words)) if i == last[changed] else t) for i, t in made]
+        source = lm._source(spark.createDataFrame(made, "doc_id bigint, text string").coalesce(1), "doc_id", "text")
+        v = lm.vocabulary(lm.word_counts(source))
+        found.append((lm.starting_point(source, v), lm.trained(source, v)))
+    for name in found[0][0]:
+        assert all(np.array_equal(found[0][0][name], start[name]) for start, _ in found[1:])
+    assert not np.array_equal(found[0][1]["state"], found[1][1]["state"])
+    assert not np.array_equal(found[0][1]["state"], found[2][1]["state"])
+
+
+def test_the_average_is_that_of_plain_python(spark, few_partitions):
+    docs = [" ".join(f"w{(i * j) % 7}" for j in range(5 + i)) for i in range(12)]
+    rows = [(None, t) for t in docs]
+    whole = lm._source(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    v = lm.vocabulary(lm.word_counts(whole))
+    start, learned = lm.initial(v), []
+    parts = [docs[:6], docs[6:]]
+    for part in parts:
+        learner = lm.Adam(start)
+        encoded = [np.array([*(v.known[w.encode()] for w in t.split()), 0]) for t in part]
+        learned.append((lm.read_whole(learner, encoded), learner.p))
+    want = {name: sum(n * p[name].astype(float) for n, p in learned) / v.tokens for name in start}
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id bigint, text string")
+    got = lm.averaged(lm._source(dealt, "doc_id", "text"), v, start)
+    for name in start:
+        # a worker's matrix products may differ in the last bit, which a step of Adam makes large where a gradient is nearly zero
+        assert got[name].shape == start[name].shape and np.isclose(got[name], want[name], atol=1e-5).mean() > 0.95
+        assert np.abs(got[name] - want[name]).max() < 3 * lm.PASS_RATE
+
+
+def test_a_document_starts_without_memory(spark):
+    v = lm.Vocabulary([b"a", b"b"], [5, 5], 14, 3).with_end(4)
+    p = lm.initial(v)
+    one, two = np.array([2, 3, 0]), np.array([3, 3, 2, 0])
+    ones = [np.ones((n, 1), dtype=bool) for n in (3, 4, 7)]
+    h = np.zeros((1, lm.HIDDEN), dtype=np.float32)
+
+    def loss(targets, mask):
+        inputs = np.concatenate([[0], targets[:-1]])
+        return lm.window_gradient(p, inputs[:, None], targets[:, None], mask, h)[:2]
+
+    (a, da), (b, db), (both, d) = loss(one, ones[0]), loss(two, ones[1]), loss(np.concatenate([one, two]), ones[2])
+    assert abs((3 * a + 4 * b) / 7 - both) < 1e-5
+    assert all(np.allclose((3 * da[k] + 4 * db[k]) / 7, d[k], atol=1e-5) for k in d)
