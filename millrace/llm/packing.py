@@ -36,6 +36,8 @@ SEQUENCE_TOKENS = 2048
 END_ID = 1
 #: Distinct words a task remembers before it starts over.
 WORDS_HELD = 1_000_000
+#: Ids a task holds before it passes their pieces on, in bytes.
+IDS_HELD = 4 << 20
 
 # Fixed values of the vocabulary's pipeline: how a word is split, and the mark of a word's end.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -144,16 +146,18 @@ def pack(
         tokens, task, made = word_tokens(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows: list[tuple] = []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = tokens.document(text) + end
+            held = 0
+            for row, text in enumerate(batch.column("text")):
+                ids = tokens.document(text.as_py()) + end
+                held += len(ids)
                 total, start = len(ids) // 4, 0
                 for length in piece_lengths(total, longest):
                     sequence = length.bit_length() - 1 << 55 | task << 32 | made
                     rows.append((row, start, length, ids[4 * start : 4 * (start + length)], total, sequence, 0))
                     start, made = start + length, made + 1
-                if len(rows) >= 20_000:
+                if held >= IDS_HELD:
                     yield batch_of(batch.column("doc_id"), rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield batch_of(batch.column("doc_id"), rows)
 
