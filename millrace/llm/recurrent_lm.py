@@ -3,7 +3,7 @@
 A text is the words between white space, A-Z lower-cased, and one end token. Words are counted over all training documents, and
 the counts give three things: the add-one base score, the vocabulary of the network and the distribution of the words outside it.
 
-1. Each task counts the words of its training documents and flushes its table when it is full; one aggregation adds the tables up.
+1. Each task counts the words of its training documents, ``PORTION`` bytes of text at a time; one aggregation adds the tables up.
 2. The ``TABLE_WORDS`` most frequent words of at most ``TABLE_WORD_BYTES`` go to every task; that bounds the broadcast. The first
    ``CLASSES * CLASS_WORDS - 2`` of them, the end token and a token for all other words are the outputs of the network.
 3. The network is a gated recurrent unit with an input table instead of an embedding, and a class-factored softmax: the classes are
@@ -13,9 +13,10 @@ the counts give three things: the add-one base score, the vocabulary of the netw
    each task reads all tokens of all its training documents, laid end to end in ``STREAMS`` streams in which every document
    starts without memory, and the weights of the tasks are averaged by the tokens each has read. The average is taken block by block
    on Spark; one set of weights, under 2 MB, reaches the driver.
-4. Scoring is a map over the texts. Documents of similar length advance side by side, window by window, the state carried to the end,
-   so a text of any length is scored whole with the memory of one window. A word outside the network's outputs costs the
-   network's probability for "other word" times ``(c + 1) / (tail tokens + tail words + 1)``; hence all probabilities sum to one.
+   Texts are split and their words looked up once, by Arrow; the pass and the scoring read the tokens that this leaves.
+4. Scoring is a map over the tokens. Documents of similar length advance side by side, the state carried to the end, and the outputs of
+   some ``WINDOW * STREAMS`` tokens are worked out at a time, so a text of any length is scored whole with the states of a bounded number
+   of tokens. A word outside the network's outputs costs the network's probability for "other word" times ``(c + 1) / (tail tokens + tail words + 1)``; hence all probabilities sum to one.
 5. Words outside the table leave the map as rows (document, word, times), are joined with the counts by word and summed per document.
 
 Defined cases: a null text counts as empty and has the end token alone; a row without id is a training document; equal ids and
@@ -27,12 +28,11 @@ zero and the network keeps its initial weights; the weights depend on how Spark
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +49,10 @@ STREAMS, DEALT, PASS_RATE, BLOCK = 256, 2_000_000, 0.002, 4_096
 EPOCHS, BATCH, RATE, CLIP, SEED = 3, 64, 0.01, 1.0, 11
 #: Documents that advance side by side when scored.
 GROUP = 2_048
-#: Words a task counts before it passes its table on.
-COUNTED = 400_000
+#: Tokens whose output probabilities are worked out at a time, and weights updated at a time, few enough for the caches of a core.
+SLICE, UPDATED = 2_048, 32_768
+#: Bytes of text whose words are told apart at a time.
+PORTION = 16_000_000
 
 END = b""
 _END, _OTHER = 0, 1
@@ -59,8 +61,26 @@ _PAD = -1e4
 Parameters = dict[str, np.ndarray]
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches, at most ``PORTION`` bytes of text at a time, or one text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(sizes[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + PORTION, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def words_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, one after the other, and the number of words of each text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty part there
+    ends = np.cumsum(np.append(0, pc.list_value_length(parts).to_numpy(zero_copy_only=False)))
+    counts = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[ends])
+    return words.filter(real).cast(pa.binary()).dictionary_encode(), counts
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,19 +96,11 @@ def word_counts(source: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all training documents, the end token as the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                counts[END] += 1
-                if len(counts) >= COUNTED:
-                    yield flushed(counts)
-                    counts = Counter()
-        if counts:
-            yield flushed(counts)
-
-    def flushed(counts: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        for batch in portions(batches):
+            words, _ = words_of(batch.column("text"))
+            times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            columns = [pa.concat_arrays([words.dictionary, pa.array([END])]), pa.array(np.append(times, batch.num_rows))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
     partial = source.filter("NOT held_out").select("text").mapInArrow(run, "word binary, n bigint")
     return materialise(partial.groupBy("word").agg(F.sum("n").alias("n")))
@@ -112,6 +124,10 @@ class Vocabulary:
         self.tail_words = self.distinct - int((self.counts[: self.outputs] > 0).sum())
         return self
 
+    def words(self) -> pa.Array:
+        """The words of the table; the first is token 2."""
+        return pa.array([w for w in self.known if w != END], pa.binary())
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, distinct, end = counts.agg(
@@ -122,6 +138,53 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(table.column("word").to_pylist(), table.column("n").to_pylist(), int(tokens), int(distinct)).with_end(int(end))
 
 
+_ENCODED_SCHEMA = (
+    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, others bigint, other_logs double, "
+    "tail array<struct<word:binary,times:int>>, ids binary"
+)
+
+
+def encoded(source: DataFrame, v: Vocabulary) -> DataFrame:
+    """Each document as the network's tokens, what its words in the table give, and its words outside the table."""
+    shared = source.sparkSession.sparkContext.broadcast((v.words(), v.logs, v.outputs))
+    names = [c.split()[0] for c in _ENCODED_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, logs, outputs = shared.value
+        for batch in portions(batches):
+            words, counts = words_of(batch.column("text"))
+            size, codes = batch.num_rows, words.indices.to_numpy()
+            places = pc.index_in(words.dictionary, value_set=table).fill_null(_OTHER - 2).to_numpy() + 2
+            tokens, owner = places[codes], np.repeat(np.arange(size), counts)
+            rare = tokens >= outputs
+            outside = np.flatnonzero(tokens == _OTHER)
+            known = counts - np.bincount(owner[outside], minlength=size)
+            others = np.bincount(owner[rare], minlength=size) + counts - known
+            gained = [np.bincount(o, weights=logs[t], minlength=size) for o, t in ((owner, tokens), (owner[rare], tokens[rare]))]
+            met, times = np.unique(owner[outside] * np.int64(max(1, len(words.dictionary))) + codes[outside], return_counts=True)
+            holder, code = np.divmod(met, max(1, len(words.dictionary)))
+            pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(code)), pa.array(times, pa.int32())], names=["word", "times"])
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(holder, np.arange(size + 1)), pa.int32()), pairs)
+            ids = np.full(len(tokens) + size, _END, dtype="<u2")
+            ids[np.arange(len(tokens)) + owner] = np.where(rare, _OTHER, tokens)
+            ends = (2 * np.cumsum(np.append(0, counts + 1))).astype("<i4")
+            numbers = (counts + 1, known, gained[0] + logs[_END], others, gained[1].astype(float))  # without tokens bincount has integers
+            made = [pa.array(x) for x in numbers]
+            made += [tail, pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), pa.py_buffer(ids)])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *made], names=names)
+
+    return source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _ENCODED_SCHEMA)
+
+
+def _encoded(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """Documents as ``encoded`` returns them, from these or from their texts."""
+    return rows if "ids" in rows.columns else encoded(rows, v)
+
+
+def _documents(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u2") for x in ids]
+
+
 # -- network --------------------------------------------------------------------------------------
 
 
@@ -147,40 +210,79 @@ def initial(vocabulary: Vocabulary) -> Parameters:
     return {name: value.astype(np.float32) for name, value in made.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """View of the columns of the three gates as three blocks."""
+    return x.reshape(len(x), 3, -1).transpose(1, 0, 2)
 
 
 def step(p: Parameters, entered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One step of the recurrent unit; the second value is what its gradient needs."""
-    carried = h @ p["state"]
-    gates = _sigmoid(entered[:, : 2 * HIDDEN] + carried[:, : 2 * HIDDEN])
-    keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    inner = carried[:, 2 * HIDDEN :]
-    new = np.tanh(entered[:, 2 * HIDDEN :] + reset * inner)
-    return new + keep * (h - new), (h, keep, reset, inner, new)
+    carried, entered = np.matmul(h, _by_gate(p["state"])), _by_gate(entered)
+    gates = carried[:2]
+    gates += entered[:2]
+    gates *= 0.5  # the logistic function by the hyperbolic tangent
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    keep, reset, inner = carried
+    new = reset * inner
+    new += entered[2]
+    np.tanh(new, out=new)
+    following = h - new
+    following *= keep
+    following += new
+    return following, (h, keep, reset, inner, new)
+
+
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns the columns of ``x`` into exponentials; their sums, and the logarithm of the share of row ``at`` of each column."""
+    x -= x.max(axis=0)
+    found = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    found -= np.log(total)
+    return total, found
+
+
+def by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the targets by class, and where each class ends in it."""
+    classes = targets // CLASS_WORDS
+    return np.argsort(classes.astype(np.uint8), kind="stable"), np.cumsum(np.bincount(classes, minlength=CLASSES))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _slices(ends: np.ndarray, size: int) -> Iterator[tuple[slice, list[tuple[int, slice]]]]:
+    """``SLICE`` positions at a time, and the classes among them with their places in the slice."""
+    starts = np.append(0, ends[:-1])
+    for begin in range(0, size, SLICE):
+        end = min(begin + SLICE, size)
+        met = np.flatnonzero((ends > begin) & (starts < end) & (ends > starts))
+        yield slice(begin, end), [(int(c), slice(max(int(starts[c]), begin) - begin, min(int(ends[c]), end) - begin)) for c in met]
 
 
-def by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of the targets of each class that occurs."""
-    classes = targets // CLASS_WORDS
-    order = np.argsort(classes.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
-    for c in np.flatnonzero(np.diff(ends, prepend=0)):
-        yield int(c), order[(ends[c - 1] if c else 0) : ends[c]]
+def _outputs(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of words with their biases as a last row."""
+    return np.vstack([p["class_weights"], p["class_bias"]]), np.concatenate([p["word_weights"], p["word_bias"][:, None]], axis=1)
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    made = np.ones((len(states), HIDDEN + 1), dtype=states.dtype)
+    made[:, :HIDDEN] = states
+    return made
 
 
 def log_likelihood(p: Parameters, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's probability given the state before it."""
-    found = _log_softmax(states @ p["class_weights"] + p["class_bias"])[np.arange(len(targets)), targets // CLASS_WORDS]
-    for c, at in by_class(targets):
-        inside = _log_softmax(states[at] @ p["word_weights"][c] + p["word_bias"][c])
-        found[at] += inside[np.arange(len(at)), targets[at] % CLASS_WORDS]
+    class_weights, word_weights = _outputs(p)
+    order, ends = by_class(targets)
+    wanted, found = targets[order], np.empty(len(targets), dtype=states.dtype)
+    space = np.empty((CLASS_WORDS, min(SLICE, len(targets))), dtype=states.dtype)
+    for part, runs in _slices(ends, len(order)):
+        some, at = _with_one(states[order[part]]), wanted[part]
+        _, classes = _softmax(class_weights.T @ some.T, at // CLASS_WORDS)
+        inside = space[:, : len(at)]
+        for c, run in runs:
+            np.matmul(word_weights[c].T, some[run].T, out=inside[:, run])
+        found[order[part]] = classes + _softmax(inside, at % CLASS_WORDS)[1]
     return found
 
 
@@ -195,19 +297,20 @@ def score_documents(p: Parameters, documents: list[np.ndarray]) -> np.ndarray:
         lengths = sizes[group]
         flat = np.concatenate([documents[i] for i in group])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        h, before = np.zeros((len(group), HIDDEN), dtype=np.float32), np.full(len(group), _END)
-        for begin in range(0, int(lengths[0]) if len(group) else 0, WINDOW):
-            states, targets, owners = [], [], []
-            for t in range(begin, min(begin + WINDOW, int(lengths[0]))):
-                active = int(np.searchsorted(-lengths, -t, side="left"))
-                h, before = h[:active], before[:active]
-                h, _ = step(p, table[before], h)
-                before = flat[starts[:active] + t]
-                states.append(h)
-                targets.append(before)
-                owners.append(np.arange(active))
-            found = log_likelihood(p, np.concatenate(states), np.concatenate(targets))
-            total[group] += np.bincount(np.concatenate(owners), weights=found, minlength=len(group))
+        actives = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
+        h, before = np.zeros((len(group), HIDDEN), dtype=table.dtype), np.full(len(group), _END)
+        states, targets, held = [], [], 0
+        for t, active in enumerate(actives):
+            h, _ = step(p, table[before[:active]], h[:active])
+            before = flat[starts[:active] + t]
+            states.append(h)
+            targets.append(before)
+            held += active
+            if held >= WINDOW * STREAMS or t + 1 == len(actives):
+                found = log_likelihood(p, np.concatenate(states), np.concatenate(targets))
+                owners = np.concatenate([np.arange(len(x)) for x in targets])
+                total[group] += np.bincount(owners, weights=found, minlength=len(group))
+                states, targets, held = [], [], 0
     return total
 
 
@@ -218,53 +321,86 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
     a document, which knows nothing of the one before it.
     """
     steps, kept, states = len(inputs), [], []
-    table = p["inputs"] + p["gate_bias"]
-    goes_on = (inputs != _END)[:, :, None].astype(h.dtype)
+    table, kind = p["inputs"] + p["gate_bias"], p["state"].dtype
+    begun = [np.flatnonzero(row == _END) for row in inputs]
     for t in range(steps):
-        h, memo = step(p, table[inputs[t]], h * goes_on[t])
+        if len(begun[t]):
+            h = h.copy()
+            h[begun[t]] = 0
+        h, memo = step(p, table[inputs[t]], h)
         kept.append(memo)
         states.append(h)
-    outer = {name: np.zeros_like(value) for name, value in p.items()}
-    flat, wanted = np.concatenate(states), targets.reshape(-1)
+    flat = np.concatenate(states)
     counted = np.flatnonzero(mask.reshape(-1))
-    some, wanted = flat[counted], wanted[counted]
-    scale = np.float32(1 / max(1, len(counted)))
-    classes = _log_softmax(some @ p["class_weights"] + p["class_bias"])
-    loss = -float(classes[np.arange(len(wanted)), wanted // CLASS_WORDS].sum())
-    wrong = np.exp(classes)
-    wrong[np.arange(len(wanted)), wanted // CLASS_WORDS] -= 1
-    wrong *= scale
-    outer["class_weights"] = some.T @ wrong
-    outer["class_bias"] = wrong.sum(axis=0)
-    pulled = wrong @ p["class_weights"].T
-    for c, at in by_class(wanted):
-        inside = _log_softmax(some[at] @ p["word_weights"][c] + p["word_bias"][c])
-        loss -= float(inside[np.arange(len(at)), wanted[at] % CLASS_WORDS].sum())
-        wrong = np.exp(inside)
-        wrong[np.arange(len(at)), wanted[at] % CLASS_WORDS] -= 1
-        wrong *= scale
-        outer["word_weights"][c] = some[at].T @ wrong
-        outer["word_bias"][c] = wrong.sum(axis=0)
-        pulled[at] += wrong @ p["word_weights"][c].T
-    d_states = np.zeros_like(flat)
-    d_states[counted] = pulled
+    wanted = targets.reshape(-1)[counted]
+    order, ends = by_class(wanted)
+    counted, wanted = counted[order], wanted[order]
+    scale = kind.type(1 / max(1, len(counted)))
+    class_weights, word_weights = _outputs(p)
+    d_class, d_word = np.zeros_like(class_weights.T), np.zeros_like(word_weights.transpose(0, 2, 1), order="C")
+    d_states, loss = np.zeros_like(flat), 0.0
+    classes, inside = (np.empty((n, min(SLICE, len(counted))), dtype=kind) for n in (CLASSES, CLASS_WORDS))
+    for part, runs in _slices(ends, len(counted)):
+        some, at = _with_one(flat[counted[part]]), wanted[part]
+        x, y = classes[:, : len(at)], inside[:, : len(at)]
+        np.matmul(class_weights.T, some.T, out=x)
+        for c, run in runs:
+            np.matmul(word_weights[c].T, some[run].T, out=y[:, run])
+        for wrong, row in ((x, at // CLASS_WORDS), (y, at % CLASS_WORDS)):
+            total, found = _softmax(wrong, row)
+            loss -= float(found.sum())
+            wrong *= scale / total
+            wrong[row, np.arange(len(row))] -= scale
+        d_class += x @ some
+        pulled = x.T @ p["class_weights"].T
+        for c, run in runs:
+            d_word[c] += y[:, run] @ some[run]
+            pulled[run] += y[:, run].T @ p["word_weights"][c].T
+        d_states[counted[part]] = pulled
     d_states = d_states.reshape(steps, -1, HIDDEN)
-    d_entered = np.zeros((steps, d_states.shape[1], 3 * HIDDEN), dtype=np.float32)
-    back = np.zeros_like(h)
+    d_inputs = np.empty((steps, d_states.shape[1], 3 * HIDDEN), dtype=kind)
+    d_state, back = np.zeros((3, HIDDEN, HIDDEN), dtype=kind), np.zeros_like(h)
+    returned = _by_gate(p["state"]).transpose(0, 2, 1)
+    d_gates = np.empty((3, *h.shape), dtype=kind)
     for t in range(steps - 1, -1, -1):
         previous, keep, reset, inner, new = kept[t]
-        d = d_states[t] + back
-        d_new = d * (1 - keep) * (1 - new**2)
-        d_gates = np.concatenate([d * (previous - new) * keep * (1 - keep), d_new * inner * reset * (1 - reset), d_new * reset], axis=1)
-        outer["state"] += previous.T @ d_gates
-        back = (d * keep + d_gates @ p["state"].T) * goes_on[t]
-        d_gates[:, 2 * HIDDEN :] = d_new
-        d_entered[t] = d_gates
-    outer["gate_bias"] = d_entered.sum(axis=(0, 1))
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    found, firsts = np.unique(inputs.reshape(-1)[order], return_index=True)
-    outer["inputs"][found] = np.add.reduceat(d_entered.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
-    return loss * float(scale), outer, h
+        d_keep, d_reset, d_inner = d_gates
+        d, leave = d_states[t], 1 - keep
+        d += back
+        d_new = new * new
+        np.subtract(1, d_new, out=d_new)
+        d_new *= leave
+        d_new *= d
+        np.subtract(previous, new, out=d_keep)
+        d_keep *= d
+        d_keep *= keep
+        d_keep *= leave
+        np.multiply(d_new, reset, out=d_inner)
+        np.multiply(d_inner, inner, out=d_reset)
+        d_reset *= 1 - reset
+        d_state += np.matmul(previous.T, d_gates)
+        back = d * keep
+        for gate, weights in zip(d_gates, returned, strict=True):
+            back += gate @ weights
+        back[begun[t]] = 0
+        entered = _by_gate(d_inputs[t])
+        entered[:2], entered[2] = d_gates[:2], d_new
+    d_inputs = d_inputs.reshape(-1, 3 * HIDDEN)
+    entered = inputs.reshape(-1).astype(np.uint16)
+    order = np.argsort(entered, kind="stable")
+    met, firsts = np.unique(entered[order], return_index=True)
+    d_table = np.zeros_like(p["inputs"])
+    d_table[met] = np.add.reduceat(d_inputs[order], firsts, axis=0)
+    gradient = {
+        "inputs": d_table,
+        "gate_bias": d_inputs.sum(axis=0),
+        "state": d_state.transpose(1, 0, 2).reshape(HIDDEN, -1),
+        "class_weights": d_class[:, :HIDDEN].T,
+        "class_bias": d_class[:, HIDDEN],
+        "word_weights": d_word[:, :, :HIDDEN].transpose(0, 2, 1),
+        "word_bias": d_word[:, :, HIDDEN],
+    }
+    return loss * float(scale), {name: np.ascontiguousarray(g) for name, g in gradient.items()}, h
 
 
 class Adam:
@@ -281,11 +417,22 @@ class Adam:
         clip = np.float32(min(1.0, CLIP / max(norm, 1e-12)))
         rate *= math.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates)
         for name, g in gradient.items():
-            g = g * clip
-            first, second = self.moments[name]
-            first += np.float32(0.1) * (g - first)
-            second += np.float32(0.001) * (g * g - second)
-            self.p[name] -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-8))
+            whole = [x.reshape(-1) for x in (g, *self.moments[name], self.p[name])]
+            for begin in range(0, g.size, UPDATED):
+                part, first, second, weights = (x[begin : begin + UPDATED] for x in whole)
+                part = part * clip
+                squared = part * part
+                part -= first
+                part *= np.float32(0.1)
+                first += part
+                squared -= second
+                squared *= np.float32(0.001)
+                second += squared
+                np.sqrt(second, out=squared)
+                squared += np.float32(1e-8)
+                np.divide(first, squared, out=part)
+                part *= np.float32(rate)
+                weights -= part
 
 
 def train(p: Parameters, runs: list[np.ndarray]) -> Parameters:
@@ -338,25 +485,22 @@ _PARAMETER_SCHEMA = "name string, shape array<int>, data binary"
 
 
 def trained(source: DataFrame, v: Vocabulary) -> Parameters:
-    """The network after training on all training documents."""
+    """The network after training on all training documents, given as texts or encoded."""
     return averaged(source, v, starting_point(source, v))
 
 
 def averaged(source: DataFrame, v: Vocabulary, start: Parameters) -> Parameters:
     """Average, by tokens read, of the weights each task has after one pass over all its training documents."""
-    shared = source.sparkSession.sparkContext.broadcast((v.known, v.outputs, start))
+    shared = source.sparkSession.sparkContext.broadcast(start)
     names = ["block", "tokens", "data"]
     schema = "block int, tokens bigint, data binary"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, outputs, p = shared.value
-        learner, documents, held, tokens = Adam(p), [], 0, 0
+        learner, documents, held, tokens = Adam(shared.value), [], 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                ids = np.fromiter(map(known.get, words, repeat(_OTHER)), dtype=np.int64, count=len(words))
-                documents.append(np.append(np.where(ids < outputs, ids, _OTHER), _END))
-                held += len(words) + 1
+            for document in _documents(batch.column(0)):
+                documents.append(document)
+                held += len(document)
                 if held >= DEALT:
                     tokens += read_whole(learner, documents)
                     documents, held = [], 0
@@ -380,7 +524,7 @@ def averaged(source: DataFrame, v: Vocabulary, start: Parameters) -> Parameters:
         kinds = (pa.int32(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip((blocks, tokens, [x.tobytes() for x in data]), kinds, strict=True)], names=names)
 
-    learned = materialise(source.filter("NOT held_out").select("text").mapInArrow(learn, schema))
+    learned = materialise(_encoded(source, v).filter("NOT held_out").select("ids").mapInArrow(learn, schema))
     rows = learned.repartition("block").mapInArrow(add, schema).orderBy("block").collect()
     if not rows:
         return start
@@ -390,20 +534,18 @@ def averaged(source: DataFrame, v: Vocabulary, start: Parameters) -> Parameters:
 
 def starting_point(source: DataFrame, v: Vocabulary) -> Parameters:
     """The network after training in one task on runs of a bounded number of training documents."""
-    known = source.sparkSession.sparkContext.broadcast(v.known)
-    start, outputs = initial(v), v.outputs
+    start, rows = initial(v), _encoded(source, v)
     place = F.xxhash64("doc_id")
     chosen = source.filter("NOT held_out AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(place, "doc_id").limit(TRAINING_DOCUMENTS)
 
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for place, text in zip(batch.column("place").to_pylist(), batch.column("text"), strict=True):
-                ids = [_END, *map(known.value.get, words_of(text.as_py()), repeat(_OTHER)), _END]
-                ids = np.where(np.array(ids) < outputs, ids, _OTHER).astype("<u2")
+            runs = []
+            for place, document in zip(batch.column("place").to_pylist(), _documents(batch.column("ids")), strict=True):
+                ids = np.append(np.array([_END], dtype="<u2"), document)
                 first = place % max(1, len(ids) - TRAINING_RUN)
-                rows.append(ids[first : first + TRAINING_RUN + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(rows, pa.binary())], names=["place", "ids"])
+                runs.append(ids[first : first + TRAINING_RUN + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(runs, pa.binary())], names=["place", "ids"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((place, ids) for batch in batches for place, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -412,49 +554,24 @@ def starting_point(source: DataFrame, v: Vocabulary) -> Parameters:
         kinds = (pa.string(), pa.list_(pa.int32()), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "shape", "data"])
 
-    sample = source.filter("NOT held_out").join(F.broadcast(chosen), "doc_id", "left_semi").select(place.alias("place"), "text")
+    sample = rows.filter("NOT held_out").join(F.broadcast(chosen), "doc_id", "left_semi").select(place.alias("place"), "ids")
     runs = materialise(sample.mapInArrow(to_runs, "place bigint, ids binary"))
     rows = runs.coalesce(1).mapInArrow(learn, _PARAMETER_SCHEMA).collect()
     return {r.name: np.frombuffer(r.data, dtype="<f4").reshape(r.shape) for r in rows} or start
 
 
-_SCORED_SCHEMA = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, others bigint, other_logs double, "
-    "network double, tail array<struct<word:binary,times:int>>"
-)
-
-
-def scored(source: DataFrame, v: Vocabulary, p: Parameters) -> DataFrame:
-    """What a document's own words give, and its words outside the table."""
-    shared = source.sparkSession.sparkContext.broadcast((v.known, v.logs, v.outputs, p))
-    tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), tail_kind]
+def scored(rows: DataFrame, p: Parameters) -> DataFrame:
+    """Encoded documents with the network's log-likelihood instead of their tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(p)
+    schema = rows.drop("tail", "ids").schema.add("network", "double")
+    names, kept = schema.names, schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs, outputs, p = shared.value
         for batch in batches:
-            rows, documents = [], []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                ids = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                ids = np.append(ids, _END)
-                outside = np.flatnonzero(ids < 0)
-                inside = ids[ids >= 0]
-                rare = inside[inside >= outputs]
-                tail = Counter([words[i] for i in outside.tolist()])
-                rows.append(
-                    (len(ids), int((inside > _OTHER).sum()), float(logs[inside].sum()), len(outside) + len(rare), float(logs[rare].sum()), [(w, n) for w, n in tail.items()])
-                )
-                documents.append(np.where((ids < 0) | (ids >= outputs), _OTHER, ids).astype(np.int32))
-            network = score_documents(p, documents)
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(6)]
-            columns.insert(5, network)
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "held_out")), *made], names=names)
-
-    names = [c.split()[0] for c in _SCORED_SCHEMA.split(", ")]
-    numbered = source.withColumn("row", F.monotonically_increasing_id())
-    return materialise(numbered.mapInArrow(run, _SCORED_SCHEMA))
+            network = score_documents(shared.value, _documents(batch.column("ids")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(network)], names=names)
+
+    return materialise(rows.drop("tail").mapInArrow(run, schema))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,11 +579,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     source = _source(docs, id_col, text_col)
     counts = word_counts(source)
     v = vocabulary(counts)
-    rows = scored(source, v, trained(source, v))
+    rows = materialise(encoded(source, v))
+    network = scored(rows, trained(rows, v))
     logs = F.log10(F.col("n") + F.lit(1.0))
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
     met = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * logs).alias("tail_logs"))
-    joined = rows.drop("tail").join(met, "row", "left").withColumns(
+    joined = network.join(met, "row", "left").withColumns(
         {"tail_known": F.coalesce("tail_known", F.lit(0)), "tail_logs": F.coalesce("tail_logs", F.lit(0.0))}
     )
     end_known = F.lit(1 if v.counts[_END] else 0)

@@ -196,3 +196,72 @@ def test_a_document_starts_without_memory(spark):
     (a, da), (b, db), (both, d) = loss(one, ones[0]), loss(two, ones[1]), loss(np.concatenate([one, two]), ones[2])
     assert abs((3 * a + 4 * b) / 7 - both) < 1e-5
     assert all(np.allclose((3 * da[k] + 4 * db[k]) / 7, d[k], atol=1e-5) for k in d)
+
+
+def test_documents_are_encoded_as_by_plain_python(spark, few_partitions, monkeypatch):
+    """Portions of a few bytes, so that their edges fall everywhere, and a small table."""
+    monkeypatch.setattr(lm, "PORTION", 40)
+    monkeypatch.setattr(lm, "TABLE_WORDS", 5)
+    monkeypatch.setattr(lm, "CLASSES", 1)
+    monkeypatch.setattr(lm, "CLASS_WORDS", 4)
+    odd = [(2000, " \t lead and trail \x0b\x0c\r\n"), (2001, "a\xa0b c \x85 İ \xc9"), (2002, "The THE the tHe"), (2003, "\x1c \x1f")]
+    rows = [(doc, text) for doc, text in corpus(7) + odd if doc is not None]
+    source = lm._source(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    counts = Counter(t for doc, text in rows if not held_out(doc) for t in tokens(text))
+    assert {bytes(r.word): r.n for r in lm.word_counts(source).collect()} == counts
+    v = lm.vocabulary(lm.word_counts(source))
+    assert (len(v.known), v.outputs) == (6, 4)
+
+    def plain(doc, text):
+        own = tokens(text)[:-1]
+        places = [v.known.get(w, 1) for w in own]
+        rare = [p for p in places if p >= v.outputs]
+        tail = sorted(Counter(w for w, p in zip(own, places, strict=True) if p == 1).items())
+        ids = np.array([p if p < v.outputs else 1 for p in places] + [0], dtype="<u2").tobytes()
+        return (doc, held_out(doc), len(own) + 1, sum(p > 1 for p in places), len(rare) + places.count(1), tail, ids), (
+            sum(v.logs[p] for p in places if p > 1) + v.logs[0], sum(v.logs[p] for p in rare))
+
+    found = lm.encoded(source, v).collect()
+    got = [((r.doc_id, r.held_out, r.n_tokens, r.known, r.others, sorted((bytes(t.word), t.times) for t in r.tail), bytes(r.ids)), (r.logs, r.other_logs)) for r in found]
+    want = [plain(*row) for row in rows]
+    assert sorted(x for x, _ in got) == sorted(x for x, _ in want)
+    for (_, a), (_, b) in zip(sorted(got), sorted(want), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_texts_are_not_needed_after_they_are_encoded(spark, few_partitions):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(5 + i))) for i in range(20)]
+    source = lm._source(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), "doc_id", "text")
+    v = lm.vocabulary(lm.word_counts(source))
+    encoded = lm.encoded(source, v)
+    assert "text" not in encoded.columns
+    from_texts, from_tokens = lm.trained(source, v), lm.trained(encoded, v)
+    assert all(np.array_equal(from_texts[name], from_tokens[name]) for name in from_texts)
+
+
+def test_slices_cut_classes_anywhere(monkeypatch):
+    _, p = small(monkeypatch)
+    rng = np.random.default_rng(5)
+    inputs, targets = rng.integers(0, 12, (9, 4)), rng.integers(0, 12, (9, 4))
+    mask, h = rng.random((9, 4)) < 0.8, rng.normal(size=(4, 5))
+    states, wanted = rng.normal(size=(31, 5)), rng.integers(0, 12, 31)
+    whole, (loss, gradient, last) = lm.log_likelihood(p, states, wanted), lm.window_gradient(p, inputs, targets, mask, h)
+    for size in (1, 2, 5, 7):
+        monkeypatch.setattr(lm, "SLICE", size)
+        assert np.allclose(lm.log_likelihood(p, states, wanted), whole)
+        cut = lm.window_gradient(p, inputs, targets, mask, h)
+        assert cut[0] == pytest.approx(loss) and np.allclose(cut[2], last)
+        assert all(np.allclose(cut[1][name], g, atol=1e-6) for name, g in gradient.items())
+    none = lm.window_gradient(p, inputs, targets, np.zeros_like(mask), h)
+    assert none[0] == 0 and not any(g.any() for g in none[1].values())
+
+
+def test_each_output_is_exponentiated_once(monkeypatch):
+    """The cost of a token: one exponential for each class and each word of its class, in learning as in scoring."""
+    _, p = small(monkeypatch)
+    exp, done = np.exp, []
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (done.append(np.size(x)), exp(x, *a, **k))[1])
+    rng = np.random.default_rng(6)
+    inputs, targets = rng.integers(0, 12, (2, 6, 3))
+    lm.window_gradient(p, inputs, targets, np.ones((6, 3), dtype=bool), np.zeros((3, 5)))
+    assert sum(done) == 18 * (lm.CLASSES + lm.CLASS_WORDS)
