@@ -73,14 +73,14 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = end
 
 
-def words_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+def words_of(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
     """The words of all texts, one after the other, and the number of words of each text."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words = parts.flatten()
     real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty part there
     ends = np.cumsum(np.append(0, pc.list_value_length(parts).to_numpy(zero_copy_only=False)))
     counts = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[ends])
-    return words.filter(real).cast(pa.binary()).dictionary_encode(), counts
+    return (words if pc.all(real).as_py() else words.filter(real)).cast(pa.binary()), counts
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +97,7 @@ def word_counts(source: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            words, _ = words_of(batch.column("text"))
+            words = words_of(batch.column("text"))[0].dictionary_encode()
             times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
             columns = [pa.concat_arrays([words.dictionary, pa.array([END])]), pa.array(np.append(times, batch.num_rows))]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
@@ -153,17 +153,18 @@ def encoded(source: DataFrame, v: Vocabulary) -> DataFrame:
         table, logs, outputs = shared.value
         for batch in portions(batches):
             words, counts = words_of(batch.column("text"))
-            size, codes = batch.num_rows, words.indices.to_numpy()
-            places = pc.index_in(words.dictionary, value_set=table).fill_null(_OTHER - 2).to_numpy() + 2
-            tokens, owner = places[codes], np.repeat(np.arange(size), counts)
+            size, owner = batch.num_rows, np.repeat(np.arange(batch.num_rows), counts)
+            tokens = pc.index_in(words, value_set=table).fill_null(_OTHER - 2).to_numpy() + 2
             rare = tokens >= outputs
             outside = np.flatnonzero(tokens == _OTHER)
             known = counts - np.bincount(owner[outside], minlength=size)
             others = np.bincount(owner[rare], minlength=size) + counts - known
             gained = [np.bincount(o, weights=logs[t], minlength=size) for o, t in ((owner, tokens), (owner[rare], tokens[rare]))]
-            met, times = np.unique(owner[outside] * np.int64(max(1, len(words.dictionary))) + codes[outside], return_counts=True)
-            holder, code = np.divmod(met, max(1, len(words.dictionary)))
-            pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(code)), pa.array(times, pa.int32())], names=["word", "times"])
+            unknown = words.take(pa.array(outside)).dictionary_encode()
+            distinct = max(1, len(unknown.dictionary))
+            met, times = np.unique(owner[outside] * distinct + unknown.indices.to_numpy(), return_counts=True)
+            holder, code = np.divmod(met, distinct)
+            pairs = pa.StructArray.from_arrays([unknown.dictionary.take(pa.array(code)), pa.array(times, pa.int32())], names=["word", "times"])
             tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(holder, np.arange(size + 1)), pa.int32()), pairs)
             ids = np.full(len(tokens) + size, _END, dtype="<u2")
             ids[np.arange(len(tokens)) + owner] = np.where(rare, _OTHER, tokens)
@@ -211,8 +212,13 @@ def initial(vocabulary: Vocabulary) -> Parameters:
 
 
 def _by_gate(x: np.ndarray) -> np.ndarray:
-    """View of the columns of the three gates as three blocks."""
-    return x.reshape(len(x), 3, -1).transpose(1, 0, 2)
+    """View of the columns of the three gates as three blocks, or the blocks themselves."""
+    return x if x.ndim == 3 else x.reshape(len(x), 3, -1).transpose(1, 0, 2)
+
+
+def _table(p: Parameters) -> np.ndarray:
+    """What each token enters into each gate, by gate."""
+    return np.ascontiguousarray(_by_gate(p["inputs"] + p["gate_bias"]))
 
 
 def step(p: Parameters, entered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -264,20 +270,15 @@ def _outputs(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
     return np.vstack([p["class_weights"], p["class_bias"]]), np.concatenate([p["word_weights"], p["word_bias"][:, None]], axis=1)
 
 
-def _with_one(states: np.ndarray) -> np.ndarray:
-    made = np.ones((len(states), HIDDEN + 1), dtype=states.dtype)
-    made[:, :HIDDEN] = states
-    return made
-
-
 def log_likelihood(p: Parameters, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's probability given the state before it."""
     class_weights, word_weights = _outputs(p)
     order, ends = by_class(targets)
     wanted, found = targets[order], np.empty(len(targets), dtype=states.dtype)
+    states = np.hstack([states, np.ones((len(states), 1), dtype=states.dtype)])
     space = np.empty((CLASS_WORDS, min(SLICE, len(targets))), dtype=states.dtype)
     for part, runs in _slices(ends, len(order)):
-        some, at = _with_one(states[order[part]]), wanted[part]
+        some, at = states.take(order[part], axis=0), wanted[part]
         _, classes = _softmax(class_weights.T @ some.T, at // CLASS_WORDS)
         inside = space[:, : len(at)]
         for c, run in runs:
@@ -291,7 +292,7 @@ def score_documents(p: Parameters, documents: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(documents))
     sizes = np.array([len(d) for d in documents], dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
-    table = p["inputs"] + p["gate_bias"]
+    table = _table(p)
     for first in range(0, len(order), GROUP):
         group = order[first : first + GROUP]
         lengths = sizes[group]
@@ -301,7 +302,7 @@ def score_documents(p: Parameters, documents: list[np.ndarray]) -> np.ndarray:
         h, before = np.zeros((len(group), HIDDEN), dtype=table.dtype), np.full(len(group), _END)
         states, targets, held = [], [], 0
         for t, active in enumerate(actives):
-            h, _ = step(p, table[before[:active]], h[:active])
+            h, _ = step(p, table.take(before[:active], axis=1), h[:active])
             before = flat[starts[:active] + t]
             states.append(h)
             targets.append(before)
@@ -320,17 +321,18 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
     ``inputs``, ``targets`` and ``mask`` are steps by documents; masked targets do not count. An end token as input starts
     a document, which knows nothing of the one before it.
     """
-    steps, kept, states = len(inputs), [], []
-    table, kind = p["inputs"] + p["gate_bias"], p["state"].dtype
+    steps, kept = len(inputs), []
+    table, kind = _table(p), p["state"].dtype
+    flat = np.ones((*inputs.shape, HIDDEN + 1), dtype=kind)
     begun = [np.flatnonzero(row == _END) for row in inputs]
     for t in range(steps):
         if len(begun[t]):
             h = h.copy()
             h[begun[t]] = 0
-        h, memo = step(p, table[inputs[t]], h)
+        h, memo = step(p, table.take(inputs[t], axis=1), h)
         kept.append(memo)
-        states.append(h)
-    flat = np.concatenate(states)
+        flat[t, :, :HIDDEN] = h
+    flat = flat.reshape(-1, HIDDEN + 1)
     counted = np.flatnonzero(mask.reshape(-1))
     wanted = targets.reshape(-1)[counted]
     order, ends = by_class(wanted)
@@ -338,10 +340,10 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
     scale = kind.type(1 / max(1, len(counted)))
     class_weights, word_weights = _outputs(p)
     d_class, d_word = np.zeros_like(class_weights.T), np.zeros_like(word_weights.transpose(0, 2, 1), order="C")
-    d_states, loss = np.zeros_like(flat), 0.0
+    d_states, loss = np.zeros((len(flat), HIDDEN), dtype=kind), 0.0
     classes, inside = (np.empty((n, min(SLICE, len(counted))), dtype=kind) for n in (CLASSES, CLASS_WORDS))
     for part, runs in _slices(ends, len(counted)):
-        some, at = _with_one(flat[counted[part]]), wanted[part]
+        some, at = flat.take(counted[part], axis=0), wanted[part]
         x, y = classes[:, : len(at)], inside[:, : len(at)]
         np.matmul(class_weights.T, some.T, out=x)
         for c, run in runs:
@@ -360,7 +362,7 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
     d_states = d_states.reshape(steps, -1, HIDDEN)
     d_inputs = np.empty((steps, d_states.shape[1], 3 * HIDDEN), dtype=kind)
     d_state, back = np.zeros((3, HIDDEN, HIDDEN), dtype=kind), np.zeros_like(h)
-    returned = _by_gate(p["state"]).transpose(0, 2, 1)
+    returned = np.ascontiguousarray(_by_gate(p["state"]).transpose(0, 2, 1))
     d_gates = np.empty((3, *h.shape), dtype=kind)
     for t in range(steps - 1, -1, -1):
         previous, keep, reset, inner, new = kept[t]
@@ -380,8 +382,8 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
         d_reset *= 1 - reset
         d_state += np.matmul(previous.T, d_gates)
         back = d * keep
-        for gate, weights in zip(d_gates, returned, strict=True):
-            back += gate @ weights
+        for part in np.matmul(d_gates, returned):
+            back += part
         back[begun[t]] = 0
         entered = _by_gate(d_inputs[t])
         entered[:2], entered[2] = d_gates[:2], d_new
@@ -389,11 +391,11 @@ def window_gradient(p: Parameters, inputs: np.ndarray, targets: np.ndarray, mask
     entered = inputs.reshape(-1).astype(np.uint16)
     order = np.argsort(entered, kind="stable")
     met, firsts = np.unique(entered[order], return_index=True)
-    d_table = np.zeros_like(p["inputs"])
-    d_table[met] = np.add.reduceat(d_inputs[order], firsts, axis=0)
+    d_table, sums = np.zeros_like(p["inputs"]), np.add.reduceat(d_inputs.take(order, axis=0), firsts, axis=0)
+    d_table[met] = sums
     gradient = {
         "inputs": d_table,
-        "gate_bias": d_inputs.sum(axis=0),
+        "gate_bias": sums.sum(axis=0),
         "state": d_state.transpose(1, 0, 2).reshape(HIDDEN, -1),
         "class_weights": d_class[:, :HIDDEN].T,
         "class_bias": d_class[:, HIDDEN],
