@@ -12,7 +12,7 @@ from millrace.operators.asof import Dimension, asof_join_all, date_range, period
 from millrace.operators.dedup import merge_unique, upsert
 from millrace.operators.enrich import days_between, snapshot_enrich
 from millrace.plans.binding import Source
-from millrace.plans.pipeline import source_object
+from millrace.plans.pipeline import digests, source_object
 from millrace.session import shared_dir
 from millrace.sources import bronze
 from tests.lakehouse import Lakehouse, at, day, line
@@ -108,3 +108,8 @@ def test_few_versions_are_not_spread_over_years(spark):
     assert alone == yearly and len(alone) == 160
     many = spark.sql("SELECT 1L AS e, date_add(date'2000-01-01', cast(id AS int)) AS valid_from FROM range(32)")
     assert (period_for(history, "e"), period_for(many, "e"), period_for(history.limit(0), "e")) == (None, "year", None)
+
+
+def test_digests_tell_nulls_and_values_apart(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, null, array('a')), (null, 1, array('a')), (1, null, array('b')), (1, null, array('a')), (1, null, null) AS t (a, b, c)")
+    assert digests(rows).distinct().count() == 4
